@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, bpe_tree, cuckoo, langid
+from . import bpe_counts, bpe_tree, chat, cuckoo, fertility, langid, minhash, mixing, toxicity
 from ._common import documents, held_out
 
 
@@ -18,6 +18,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model, keep=("doc_id", "held_out"))
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return fertility.quality(documents(spark, sf_dir), vocabularies)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=4, threshold=0.8)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicate_groups(documents(spark, sf_dir))
 
@@ -26,15 +35,39 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic")
+    grammar = toxicity.learn(docs.join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    return toxicity.toxicity(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), grammar, keep=("doc_id", "held_out"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.formatted_turns(rows.unionByName(extra), ranks), ranks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_fertility": op2_fertility,
+    "op3_minhash": op3_minhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_tree": op6_bpe_tree,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
