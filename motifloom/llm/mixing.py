@@ -9,8 +9,9 @@ A document is wanted target / source_size times: the whole part is certain, the
 documents' fractions are paired and mass (fraction times size) is moved from one to the other at random, with expected
 values kept, until one of them is 0 or 1; the other carries on. Chunks of about ``chunk`` documents are folded like this
 in one task each; the at most one fractional document that a chunk leaves goes up to the next level of a tree with
-``chunk``-fold fan-in. The mass of a source never changes until its last document, which is drawn by its fraction, so
-the words taken differ from the target by less than that document's size (plus what is lost to float addition).
+``chunk``-fold fan-in. The mass of a source never changes until its last document, whose fraction goes to the nearer
+side, so the words taken differ from the target by at most half that document's size (and what float addition loses).
+Chunks are folded from their largest documents down, which leaves a small one last where there are enough to settle.
 
 All draws are hashes of the seed, the level and the two ids: reruns agree and do not depend on partitioning. No source
 is ever gathered in one task: chunks are dealt by a hash of the id, also in the largest source.
@@ -29,7 +30,7 @@ from ._common import WORD_PATTERN, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: A chunk is a hash bucket; its number of rows spreads like a Poisson variable around this mean.
-CHUNK = 64
+CHUNK = 512
 
 
 def text_size(text: str) -> Column:
@@ -90,25 +91,32 @@ def _fold(rows: Column, level: int, seed: int) -> Column:
 
 
 def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Rounds units (source, id string, w > 0, p in (0, 1)): source, id, extra (0 or 1).
+    """Rounds units (source, id string, w > 0, p in (0, 1), n: at least the units of its source): source, id, extra (0 or 1).
 
-    n_units is the number of units of the largest source; it sets the height of the tree.
+    n_units is the largest n; it sets the height of the tree. About `chunk` units of each source, chosen by hash, wait
+    for the root, so that the large documents that tend to be left over still find others to settle with.
     """
-    level, decided = 0, []
-    n = max(1, n_units)
+    waiting = F.pmod(F.xxhash64(F.lit(seed), F.lit("root"), "id"), F.lit(1 << 40)) * F.col("n") < F.lit(float(chunk * (1 << 40)))
+    root = units.where(waiting)
+    units = units.where(~waiting)
+    level, decided, most = 0, [], max(1, n_units)
     while True:
-        chunks = -(-n // chunk)
-        dealt = units.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "id"), F.lit(chunks)))
-        rows = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id", "w", "p")))
-        folded = dealt.groupBy("source", "chunk").agg(F.transform(rows, lambda x: F.struct(x["id"].alias("id"), x["w"].alias("w"), x["p"].alias("p"))).alias("rows"))
-        folded = materialize(folded.select("source", _fold(F.col("rows"), level, seed).alias("f")))
+        last = most <= chunk
+        units = (units.unionByName(root) if last else units).withColumn("n", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
+        most = -(-most // chunk)
+        dealt = units.withColumn("chunk", F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "id"), F.col("n")))
+        # large documents first: what carries on at the end of a chunk is then likely small
+        order = F.struct((-F.col("w")).alias("o"), F.xxhash64(F.lit(seed), "id").alias("h"), "id", "w", "p")
+        rows = F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["id"].alias("id"), x["w"].alias("w"), x["p"].alias("p")))
+        folded = dealt.groupBy("source", "chunk").agg(rows.alias("rows"), F.max("n").alias("n"))
+        folded = materialize(folded.select("source", "n", _fold(F.col("rows"), level, seed).alias("f")))
         decided.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.extra"))
-        units = folded.select("source", "f.carry.id", "f.carry.w", "f.carry.p")
-        if chunks == 1:
+        units = folded.select("source", "f.carry.id", "f.carry.w", "f.carry.p", "n")
+        if last:
             break
-        n, level = chunks, level + 1
-    last = F.when(_draw(F.lit(seed), F.lit("last"), "id") < F.col("p"), 1).otherwise(0)
-    decided.append(units.select("source", "id", last.alias("extra")))
+        level += 1
+    end = F.when(F.col("p") >= 0.5, 1).otherwise(0)
+    decided.append(units.select("source", "id", end.alias("extra")))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
@@ -123,7 +131,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     rows = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     key = F.concat_ws("/", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
     rows = rows.withColumn("_key", key).withColumn("_whole", F.floor("rate")).withColumn("_part", F.col("rate") - F.floor("rate"))
-    units = rows.where((F.col("size") > 0) & (F.col("_part") > 0)).groupBy("source", F.col("_key").alias("id")).agg(F.sum("size").cast("double").alias("w"), F.max("_part").alias("p"))
+    units = rows.where((F.col("size") > 0) & (F.col("_part") > 0)).groupBy("source", F.col("_key").alias("id")).agg(F.sum("size").cast("double").alias("w"), F.max("_part").alias("p"), F.max("n_docs").alias("n"))
     extra = rounded(units, largest, seed, chunk).select(F.col("source").alias("_s"), F.col("id").alias("_k"), "extra")
     found = rows.join(extra, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")), "left")
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
