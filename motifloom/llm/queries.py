@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, bpe_tree, chat, cuckoo, fertility, langid, minhash, mixing, toxicity
+from . import bpe_counts, bpe_tree, chat, cuckoo, fertility, langid, license_scan, minhash, mixing, toxicity
 from ._common import documents, held_out
 
 
@@ -27,6 +27,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4, threshold=0.8)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicate_groups(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_fertility": op2_fertility,
     "op3_minhash": op3_minhash,
+    "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_toxicity": op7_toxicity,
@@ -71,10 +76,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.oracle(),
     "op5_exact_dedup": """
         with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents)
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                coalesce(doc_id = max(doc_id) over g, max(doc_id) over g is null) as kept, text_sha256
         from d window g as (partition by text_sha256)
     """,
+    "op10_chat": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        k(control) as (values ('### System:'), ('### User:'), ('### Assistant:'), ('### Other:'), ('</role>'), ('</turn>'), ('\')),
+        e as (select *, length(text) + list_sum([(length(text) - length(replace(text, x, ''))) // length(x) for x in (select list(control) from k)]) as escaped,
+              length(role) + list_sum([(length(role) - length(replace(role, x, ''))) // length(x) for x in (select list(control) from k)]) as escaped_role from c),
+        f as (select *, escaped + 8 + case role when 'system' then 11 when 'user' then 9 when 'assistant' then 14 else 10 + escaped_role + 7 end as chars from e)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+               sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+               sum(chars)::bigint as formatted_chars
+        from f group by conv_id
+    """,
 }
