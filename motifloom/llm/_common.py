@@ -60,6 +60,15 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """df as one column `row` (a struct of all of its own) beside new columns, whose names cannot clash with its own."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def blocks(texts: Iterable[str | None], max_chars: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of consecutive texts (null: empty) of about max_chars, so that what is built for one run stays bounded."""
     held: list[str] = []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, packed, unpacked
 
 SLOTS = 4
 NO_ID = np.iinfo(np.int64).min
@@ -221,7 +221,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     The kept ids are found from digests alone; the texts are joined once, on (doc_id, digest).
     """
-    index = digest_index(docs, text, doc_id).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    marked = docs.withColumn("_own_digest", F.unhex(text_digest(text)))
-    same = (F.col("_own_digest") == F.col("_digest")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_keep"))
-    return marked.join(index, same, "left_semi").select(*(F.col(c) for c in docs.columns))
+    index = digest_index(docs, text, doc_id)
+    marked = packed(docs, own_digest=F.unhex(text_digest(text)), own_id=F.col(doc_id).cast("long"))
+    same = (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
+    return unpacked(marked.join(index, same, "left_semi"))

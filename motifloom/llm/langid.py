@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import packed, unpacked
+
 ORDERS = (1, 2, 3)
 SEGMENT = 1 << 20
 GAP = max(ORDERS) - 1
@@ -157,5 +159,5 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """The rows of docs whose language is recognised with at least min_score, all columns as they were."""
-    rows = docs.withColumn("_language", predicted(F.col(text), model, docs.sparkSession))
-    return rows.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= min_score)).select(*(F.col(c) for c in docs.columns))
+    rows = packed(docs, language=predicted(F.col(text), model, docs.sparkSession))
+    return unpacked(rows.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= min_score)))

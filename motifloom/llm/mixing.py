@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_PATTERN, materialize
+from ._common import WORD_PATTERN, materialize, packed, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -140,8 +140,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
 
 def resampled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns. Rows that are taken 0 times go."""
-    copies = mixed(docs, text, doc_id, source, **options).where(F.col("copies") > 0).groupBy(F.col(doc_id).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies"))
-    sized = docs.withColumn("_own_size", text_size(text))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size"))
-    taken = sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*(F.col(c) for c in docs.columns))
+    copies = mixed(docs, text, doc_id, source, **options).where(F.col("copies") > 0).groupBy(F.col(doc_id).alias("id2"), F.col("source").alias("source2"), F.col("size").alias("size2")).agg(F.max("copies").cast("int").alias("n"))
+    sized = packed(docs, id1=F.col(doc_id), source1=F.col(source), size1=text_size(text))
+    same = F.col("id1").eqNullSafe(F.col("id2")) & F.col("source1").eqNullSafe(F.col("source2")) & (F.col("size1") == F.col("size2"))
+    return unpacked(sized.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))))
