@@ -1,13 +1,16 @@
 """Near-duplicate documents: MinHash with banding, verified links, connected components.
 
 1. Each text becomes its set of word shingles, many universal hash minima of it, and from these `bands` bucket numbers
-   and a packed signature of one bit for each minimum. Equal sets are one class from here on (a partial aggregate on the
+   and a packed signature of one bit for each minimum. An odd sketch of the set (parities of hash bins; Mitzenmacher,
+   Pagh and Pham, 2014) stands beside it: two sets differ in at least as many shingles as their sketches do in bits, a
+   bound that never rules out a link. Equal sets are one class from here on (a partial aggregate on the
    set's digest), so exact copies cost one row for each task and never meet in pairs.
-2. In each bucket every class is paired with a centre only (four different choices of centre over the bands). Pairs that
-   sizes and signature bits leave possible are verified on their full shingle sets; components follow.
+2. In each bucket every class is paired with a centre only: the member that meets most others over all its buckets,
+   which in a group of copies is the text that they derive from, or the one nearest to it. Pairs that sizes and
+   sketches leave possible are verified on their full shingle sets; components follow.
 3. What may still be linked shares a bucket but not a component. In such buckets the members outside the bucket's
-   dominant component meet the others, as far as sizes and signature bits leave it possible, and are verified too. So
-   every pair that shares a bucket is decided, without expanding a group of copies into its pairs.
+   dominant component meet the others, as far as sizes and sketches leave it possible, and are verified too. So every
+   pair that shares a bucket is decided, without expanding a group of copies into its pairs.
 
 With the defaults (36 bands of 5 minima), a link of similarity 0.8 shares no bucket with probability 6e-7, and its
 signature bits differ in more than 48 of 180 places with probability below 1e-8; all links that are kept are exact.
@@ -29,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize
+from ._common import WORD, materialize, packed, unpacked
 from .components import connected_components
 
 BANDS, ROWS = 36, 5
 MAX_BITS = 48
-CENTRES = 4
+ODD_BITS = 2048
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,15 +102,22 @@ class MinHasher:
         return value.view(np.int64)
 
     def bits(self, minima: np.ndarray) -> np.ndarray:
+        """The signature: 180 bits in three longs."""
         packed = np.packbits((minima & np.uint64(1)).astype(bool))
         return np.concatenate([packed, np.zeros(24 - len(packed), np.uint8)]).view(np.int64)
 
 
-SKETCH = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+_LONGS = pa.list_(pa.int64())
+SKETCH = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", _LONGS), ("bits", _LONGS)])
 
 
 def sketched(text: Column, words: int) -> Column:
-    """A struct of the set's size, its digest, bucket numbers and signature bits."""
+    """A struct of the set's size, its digest, bucket numbers, and signature and odd sketch in one array."""
 
     @F.arrow_udf("n long, key binary, bands array<long>, bits array<long>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -125,18 +135,24 @@ def sketched(text: Column, words: int) -> Column:
                     if len(recent) > 20_000:
                         recent.clear()
                     minima = hasher.minima(shingles)
-                    recent[key] = hasher.bands(minima), hasher.bits(minima)
+                    recent[key] = hasher.bands(minima), np.concatenate([hasher.bits(minima), odd_sketch(shingles)])
                 rows.append((len(shingles), key, *recent[key]))
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SKETCH, strict=True)] if rows else [pa.array([], f.type) for f in SKETCH], fields=list(SKETCH))
 
     return sketch(text)
 
 
+def _differing(first: int, last: int) -> Column:
+    """Bits in which the longs from first to before last of s1 and s2 differ."""
+    return sum((F.bit_count(F.col("s1")[k].bitwiseXOR(F.col("s2")[k])) for k in range(first + 1, last)), F.bit_count(F.col("s1")[first].bitwiseXOR(F.col("s2")[first])))
+
+
 def _could_link(threshold: float) -> Column:
-    """Sizes and signature bits of a pair (n1, s1, n2, s2) do not rule the similarity out."""
-    differ = sum((F.bit_count(F.col("s1")[k].bitwiseXOR(F.col("s2")[k])) for k in range(1, 3)), F.bit_count(F.col("s1")[0].bitwiseXOR(F.col("s2")[0])))
+    """Sizes, signatures and odd sketches of a pair (n1, s1, n2, s2) do not rule the similarity out."""
     percent = round(100 * threshold)
-    return (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (differ <= MAX_BITS)
+    near = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    few = _differing(3, 3 + ODD_BITS // 64) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
+    return near & (_differing(0, 3) <= MAX_BITS) & few
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -175,10 +191,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tex
     nodes = classes.where(F.col("rep").isNotNull())
     sizes = nodes.select("rep", "n", "bits")
 
-    members = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    order = F.struct(F.xxhash64("rep", F.col("band") % CENTRES).alias("h"), F.col("rep"))
-    centres = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(order).alias("centre")).where(F.col("size") > 1)
-    shared = materialize(members.join(centres.select("bucket", F.col("centre.rep").alias("centre")), "bucket").select("bucket", "rep", "centre"))
+    members = nodes.select("rep", F.explode("bands").alias("bucket"))
+    sizes_of = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = materialize(members.join(sizes_of, "bucket"))
+    popular = shared.groupBy("rep").agg(F.sum("size").alias("popularity"))
+    best = F.max(F.struct("popularity", (-F.col("rep")).alias("r")))["r"]
+    centres = shared.join(popular, "rep").groupBy("bucket").agg((-best).alias("centre"))
+    shared = materialize(shared.join(centres, "bucket").select("bucket", "rep", "centre"))
 
     tried = shared.where(F.col("rep") != F.col("centre")).select(F.col("rep").alias("x"), F.col("centre").alias("y")).distinct()
     tried = tried.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("s1")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("s2")), "y")
@@ -214,5 +233,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tex
 
 def representatives(docs: DataFrame, words: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs with the smallest doc_id of each component, with all their columns."""
-    gone = near_duplicates(docs, words, threshold, text, doc_id).where(~F.col("kept")).select(F.col(doc_id).cast("long").alias("_gone"))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, words, threshold, text, doc_id).where(~F.col("kept")).select(F.col(doc_id).cast("long").alias("gone"))
+    return unpacked(packed(docs, own_id=F.col(doc_id).cast("long")).join(gone, F.col("own_id") == F.col("gone"), "left_anti"))
