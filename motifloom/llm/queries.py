@@ -41,8 +41,8 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic")
-    grammar = toxicity.learn(docs.join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
+    grammar = toxicity.learn(docs.select("doc_id", "text"), labels)
     return toxicity.toxicity(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), grammar, keep=("doc_id", "held_out"))
 
 

@@ -33,6 +33,7 @@ from ._common import materialize
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, REST = range(7)
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
 KINDS = 5
+AHEAD = 5  # a threat, if its target follows
 
 SEEDS: dict[int, str] = {
     INSULT: "idiot idiots idiotic moron morons stupid scum loser losers pathetic worthless disgusting trash clown clowns imbecile dumbass abruti imbécile salaud crétin dummkopf arschloch trottel abschaum idiota imbécil estúpido basura",
@@ -73,8 +74,8 @@ def compose() -> Machine:
                         hit = -1
                         if symbol == INSULT:
                             hit = NEGATED if n < REACH else REPORTED if r else TARGETED if t < REACH else PLAIN
-                        elif symbol == THREAT and i < REACH and t < REACH and n == REACH and not r:
-                            hit = THREATENED
+                        elif symbol == THREAT and i < REACH and n == REACH and not r:
+                            hit = THREATENED if t < REACH else AHEAD
                         events.append(hit)
                     move.append(moves)
                     event.append(events)
@@ -127,8 +128,9 @@ class Grammar:
             symbols = [self.symbol(w) for w in _WORD.findall(clause)]
             for at, (symbol, weight) in enumerate(symbols):
                 kind = MACHINE.event[state][symbol]
-                if kind == PLAIN and any(s == TARGET for s, _ in symbols[at + 1 : at + 1 + REACH]):
-                    kind = TARGETED
+                if kind in (PLAIN, AHEAD):
+                    follows = any(s == TARGET for s, _ in symbols[at + 1 : at + 1 + REACH])
+                    kind = (TARGETED if kind == PLAIN else THREATENED) if follows else PLAIN if kind == PLAIN else -1
                 if kind >= 0:
                     sums[kind] += weight
                 state = MACHINE.move[state][symbol]
@@ -146,15 +148,22 @@ def stems_of(word: str) -> list[str]:
     return [word[:n] for n in STEM_LENGTHS if n <= len(word)] + [word + "$"]
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_docs_per_class: int = 4000, max_stems: int = 500, min_docs: int = 6, min_contexts: int = 4, min_precision: float = 0.7) -> Grammar:
-    """Learns stems and weights from rows of labelled with label 0 or 1; others are left out."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_000)).alias("h"))
-    rows = rows.where(F.col("y").isin(0, 1) & F.col("text").isNotNull())
-    n = {r["y"]: r["count"] for r in labelled.select(F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_docs_per_class: int = 4000, max_stems: int = 500, min_docs: int = 6, min_contexts: int = 4, min_precision: float = 0.7) -> Grammar:
+    """Learns stems and weights from the texts of docs with a label 0 or 1 in labels (doc_id, label); others are left out.
+
+    The labels are sampled before they meet the texts, so that only a table of bounded size is broadcast and no text
+    is shuffled.
+    """
+    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_id").isNotNull())
+    n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(n) < 2:
         return Grammar({})
     share = {y: min(1.0, max_docs_per_class / n[y]) for y in n}
-    sample = materialize(rows.where(F.col("h") < F.when(F.col("y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0]))).select("text", "y"))
+    drawn = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < F.when(F.col("y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0]))
+    marks = materialize(marks.where(drawn))
+    if marks.count() <= 4 * max_docs_per_class:  # twice what is expected; more (one id repeated) is joined without a broadcast
+        marks = F.broadcast(marks)
+    sample = materialize(docs.join(marks, F.col(doc_id) == F.col("_id")).where(F.col(text).isNotNull()).select(F.col(text).alias("text"), "y"))
     weight = {y: 1 / share[y] for y in n}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
