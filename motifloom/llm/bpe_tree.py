@@ -162,8 +162,10 @@ def encoded(text: Column, ranks_path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(data)
         for batch in batches:
-            ids = [code.encode(x) for block in blocks(_texts(batch)) for x in block]
-            yield pa.array([{"ids": x, "decoded": code.decode(x)} for x in ids], ENCODED)
+            done = [pa.array([], ENCODED)]
+            for block in blocks(_texts(batch)):  # Python's lists of ids are held for a block at a time
+                done.append(pa.array([{"ids": (ids := code.encode(x)), "decoded": code.decode(ids)} for x in block], ENCODED))
+            yield pa.concat_arrays(done)
 
     return encode(text)
 

@@ -29,7 +29,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import read_bounded
+from ._common import blocks, read_bounded
 from .bpe_tree import parse_ranks
 
 ROLES = ("system", "user", "assistant")
@@ -126,8 +126,12 @@ def formatted_turns(conversations: DataFrame, ranks_path: str, conv_id: str = "c
     def assemble(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         code = codec(data)
         for roles, texts in batches:
-            made = [code.format_turn(r.as_py() or "", t.as_py() or "") for r, t in zip(roles, texts, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array([m[0] for m in made], FORMATTED[0].type), pa.array([m[1] for m in made], FORMATTED[1].type)], fields=list(FORMATTED))
+            done, at = [pa.array([], FORMATTED)], 0
+            for block in blocks(t.as_py() for t in texts):
+                made = [code.format_turn(r.as_py() or "", t) for r, t in zip(roles[at : at + len(block)], block, strict=True)]
+                done.append(pa.StructArray.from_arrays([pa.array([m[0] for m in made], FORMATTED[0].type), pa.array([m[1] for m in made], FORMATTED[1].type)], fields=list(FORMATTED)))
+                at += len(block)
+            yield pa.concat_arrays(done)
 
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     return rows.withColumn("_f", assemble(F.col("role"), F.col("text"))).select("conv_id", "turn", "role", "text", F.col("_f.ids").alias("ids"), F.col("_f.mask").alias("mask"))
