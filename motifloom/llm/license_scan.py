@@ -1,26 +1,26 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A text is compared as a whole, by paragraphs (parted by blank lines) and by lines. Each of these units is normalised (A-Z
-lower-cased, runs of anything but letters and digits to one blank) and becomes its set of word bigrams. A Dice
-coefficient of t needs sizes within a factor of (2 - t) / t of each other, so units outside the bounds of all templates are
-dropped before their bigrams are expanded, and a bigram meets only templates whose bounds hold the unit's size.
+A text is compared as a whole, by paragraphs (parted by empty lines) and by lines. Each of these units is normalised
+(lower case; words are runs of letters and digits) and taken as the bag of its word bigrams: the coefficient is twice the
+common bigrams over the bigrams of both. A coefficient of t needs sizes within a factor of (2 - t) / t of each other. A
+unit's size is its number of words less one, so units outside the bounds of all templates are dropped before a bigram
+is built (most whole texts), and a bigram meets only templates whose bounds hold its unit's size.
 
 DataFrame functions only. The templates' bigrams are a small table (its size is checked) that is broadcast; what is
-shuffled are matching bigrams of units that could reach the threshold.
+shuffled are matching bigrams alone, counted in each task first. Words are split once, for lines and whole texts alike.
 
-Null and empty texts match nothing. Ties go to the larger template, then to the name that sorts first. Rows that share a
+Null and empty texts match nothing. Ties go to the larger template, then to the one named first. Rows that share a
 doc_id share one result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
-
 THRESHOLD = 0.8
 MAX_TEMPLATE_BIGRAMS = 100_000
 
@@ -65,15 +65,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
-def template_bigrams(text: str) -> list[str]:
-    """The distinct word bigrams of a template (ASCII text)."""
+def template_bigrams(text: str) -> Counter[str]:
+    """The word bigrams of a template (ASCII text) and how often each occurs."""
     words = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
-def template_table(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, int, int, str]]:
-    """Rows of license, template (its number), template_size and bigram."""
-    rows = [(name, i, len(own), b) for i, (name, text) in enumerate(templates) for own in (template_bigrams(text),) for b in own]
+def template_table(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, int, int, str, int]]:
+    """Rows of license, template (its number), template_size, bigram and how often the template has it."""
+    rows = [(name, i, own.total(), b, n) for i, (name, text) in enumerate(templates) for own in (template_bigrams(text),) for b, n in sorted(own.items())]
     if not rows:
         raise ValueError("no template has a bigram")
     if len(rows) > MAX_TEMPLATE_BIGRAMS:
@@ -81,34 +81,48 @@ def template_table(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[t
     return rows
 
 
-def units(text: str) -> Column:
-    """Lines, paragraphs where there are several, and the whole where it has several lines."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines, paragraphs = F.split(whole, "\n"), F.split(whole, "\n[ \t]*\n")
-    none = F.array().cast("array<string>")
-    return F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, F.array(whole)).otherwise(none))
+def _words(unit: Column) -> Column:
+    return F.array_remove(F.split(unit, _SEPARATORS), "")
+
+
+def units(text: str, least: float, most: float) -> Column:
+    """Words of lines, of paragraphs where there are several, and of the whole where it has several lines; array<array<string>>.
+
+    Units with fewer bigrams than least or more than most become empty.
+    """
+    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
+    none = F.array().cast("array<array<string>>")
+    lines = F.transform(F.split(whole, "\n"), _words)
+    paragraphs = F.when(F.contains(whole, F.lit("\n\n")), F.transform(F.split(whole, "\n\n"), _words)).otherwise(none)
+
+    def with_whole(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda n, x: n + F.size(x))
+        joined = F.when((F.size(found) > 1) & (total - 1 <= most), F.array(F.flatten(found))).otherwise(none)
+        return F.concat(found, joined)
+
+    # a one-element transform holds the lines, so that both uses read the same words
+    both = F.flatten(F.transform(F.array(lines), with_whole))
+    return F.transform(F.concat(both, paragraphs), lambda u: F.when((F.size(u) - 1 >= least) & (F.size(u) - 1 <= most), u).otherwise(F.array().cast("array<string>")))
 
 
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Units that reach the threshold: doc_id, unit (number), unit_text (normalised), license, template, dice."""
+    """Units that reach the threshold: doc_id, unit (number), size, license, template, template_size, dice."""
     spark: SparkSession = docs.sparkSession
     table = template_table(templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    sizes = [size for _, _, size, _ in table]
-    known = F.broadcast(spark.createDataFrame(table, "license string, template int, template_size int, known string"))
-    u = docs.select(F.col(doc_id).alias("_id"), F.posexplode(units(text)).alias("unit", "raw"))
-    u = u.select("_id", "unit", F.trim(F.regexp_replace(ascii_lower(F.col("raw")), _SEPARATORS, " ")).alias("unit_text"))
-    words = F.split("unit_text", " ")
-    u = u.withColumn("words", words).where(F.size("words") > int(low * min(sizes)))
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    u = u.select("_id", "unit", "unit_text", F.array_distinct(pairs).alias("bigrams")).withColumn("size", F.size("bigrams"))
-    u = u.where((F.col("size") >= low * min(sizes)) & (F.col("size") <= high * max(sizes)))
-    own = u.select("_id", "unit", F.xxhash64("unit_text").alias("_hash"), F.when(F.col("size") <= 64, F.col("unit_text")).alias("unit_text"), "size", F.explode("bigrams").alias("bigram"))
+    sizes = [row[2] for row in table]
+    known = F.broadcast(spark.createDataFrame(table, "license string, template int, template_size int, known string, times long"))
+    u = docs.select(F.col(doc_id).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(units(text, low * min(sizes), high * max(sizes))).alias("unit", "words")).where(F.size("words") > 1)
+    n = F.size("words")
+    pairs = F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    own = u.select("_id", "_row", "unit", (n - 1).alias("size"), F.explode(pairs).alias("bigram"))
     fits = (F.col("size") >= low * F.col("template_size")) & (F.col("size") <= high * F.col("template_size"))
-    hits = own.join(known, (F.col("bigram") == F.col("known")) & fits)
-    common = hits.groupBy("_id", "unit", "_hash", "size", "license", "template", "template_size").agg(F.size(F.collect_set("bigram")).alias("common"), F.first("unit_text").alias("unit_text"))
+    unit = ("_id", "_row", "unit", "size", "license", "template", "template_size")
+    hits = own.join(known, (F.col("bigram") == F.col("known")) & fits).groupBy(*unit, "bigram", "times").agg(F.count("*").alias("n"))
+    common = hits.groupBy(*unit).agg(F.sum(F.least("n", "times")).alias("common"))
     dice = 2 * F.col("common") / (F.col("size") + F.col("template_size"))
-    return common.where(2 * F.col("common") >= F.lit(threshold) * (F.col("size") + F.col("template_size"))).select(F.col("_id").alias(doc_id), "unit", "unit_text", "license", "template", "template_size", dice.alias("dice"))
+    reached = 2 * F.col("common") >= F.lit(threshold) * (F.col("size") + F.col("template_size"))
+    return common.where(reached).select(F.col("_id").alias(doc_id), "unit", "size", "license", "template", "template_size", dice.alias("dice"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -121,20 +135,21 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The scan as one DuckDB statement over documents."""
-    values = ", ".join("('{}', {}, {}, '{}')".format(*row) for row in template_table(templates))
+    values = ", ".join("('{}', {}, {}, '{}', {})".format(*row) for row in template_table(templates))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    words = "list_filter(regexp_split_to_array(x, '[^\\p{L}\\p{N}]+'), lambda y: y <> '')"
     return f"""
-        with t(license, template, template_size, bigram) as (values {values}),
-        l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n') as paragraphs, coalesce(text, '') as whole from documents),
-        u as (select doc_id, lines || (case when len(paragraphs) > 1 then paragraphs else [] end) || (case when len(lines) > 1 then [whole] else [] end) as raws from l),
-        e as (select doc_id, unnest(range(len(raws))) as unit, unnest(raws) as raw from u),
-        w as (select doc_id, unit, string_split(trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as words from e),
-        b as (select doc_id, unit, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) as bigrams from w where len(words) > 1),
-        s as (select doc_id, unit, len(bigrams) as size, unnest(bigrams) as bigram from b),
-        c as (select doc_id, unit, size, license, template, template_size, count(*) as common from s join t using (bigram)
+        with t(license, template, template_size, bigram, times) as (values {values}),
+        l as (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as lines, string_split(lower(coalesce(text, '')), chr(10) || chr(10)) as paragraphs, lower(coalesce(text, '')) as whole from documents),
+        u as (select doc_id, lines || (case when len(lines) > 1 then [whole] else [] end) || (case when len(paragraphs) > 1 then paragraphs else [] end) as raws from l),
+        e as (select doc_id, unnest(range(len(raws))) as unit, unnest(raws) as x from u),
+        w as (select doc_id, unit, {words} as words from e),
+        b as (select doc_id, unit, len(words) - 1 as size, unnest([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) as bigram from w where len(words) > 1),
+        h as (select doc_id, unit, size, license, template, template_size, bigram, times, count(*) as n from b join t using (bigram)
               where size >= {low!r}::double * template_size and size <= {high!r}::double * template_size group by all),
-        m as (select *, 2.0::double * common / (size + template_size) as dice from c where 2 * common >= {threshold!r}::double * (size + template_size)),
-        r as (select *, row_number() over (partition by doc_id order by dice desc, template_size desc, template) as k, count(*) over (partition by doc_id) as rows_ from m),
+        c as (select doc_id, unit, size, license, template, template_size, sum(least(n, times)) as common from h group by all),
+        m as (select *, (2 * common)::double / (size + template_size) as dice from c where 2 * common >= {threshold!r}::double * (size + template_size)),
+        r as (select *, row_number() over (partition by doc_id order by dice desc, template_size desc, template) as k from m),
         n as (select doc_id, count(distinct unit) as n from m group by 1)
         select d.doc_id, r.license, coalesce(r.dice, 0.0::double) as dice, coalesce(n.n, 0) as n_matches
         from documents d left join r on r.doc_id = d.doc_id and r.k = 1 left join n on n.doc_id = d.doc_id
