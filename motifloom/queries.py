@@ -70,8 +70,8 @@ def seq_patterns_order_priority(spark, d):
 
 
 def seq_patterns_levelwise(spark, d):
-    records = priority_sequences(spark, d)
-    return framework.mine(framework.ItemSequences(), projection.events_of(records), support.record_count(records), PRIORITY)
+    lines = priority_sequences(spark, d).select(F.array_join("items", ",").alias("value"))
+    return framework.run(framework.ItemSequences(), lines, PRIORITY)
 
 
 def itemset_seq_patterns_ptype(spark, d):

@@ -45,7 +45,7 @@ def both(spark, content, threshold, parts=1):
     records = text.parse_item_lines(lines(spark, content, parts)).cache()
     one = result(sequences.frequent_item_sequences(records, threshold))
     two = result(framework.mine(framework.ItemSequences(), projection.events_of(records), support.record_count(records), threshold))
-    assert one == two
+    assert one == two == result(framework.run(framework.ItemSequences(), lines(spark, content, parts), threshold))
     return one
 
 
@@ -84,7 +84,7 @@ def itemset_result(spark, content, threshold):
     records = text.parse_itemset_lines(lines(spark, content, 2)).cache()
     one = result(sequences.frequent_itemset_sequences(records, threshold))
     two = result(framework.mine(framework.ItemsetSequences(), projection.set_events_of(records), support.record_count(records), threshold))
-    assert one == two
+    assert one == two == result(framework.run(framework.ItemsetSequences(), lines(spark, content), threshold))
     return one
 
 
@@ -129,6 +129,21 @@ def test_itemsets_brute_force(spark):
     assert result(itemsets.frequent_itemsets(records, 0.2)) == expected
     db = records.selectExpr("tran_id", "explode(items) as item")
     assert result(framework.mine(framework.Itemsets(), db, 31, 0.2)) == expected
+    assert result(framework.run(framework.Itemsets(), lines(spark, "a,b\nb,a,a\nc"), 0.5)) == {"a": 2, "b": 2, "a,b": 2}
+
+
+def test_miner_of_ones_own(spark):
+    class Weighted(framework.ItemSequences):
+        """Counts occurrences of first items by record parity only."""
+
+        def support(self):
+            from pyspark.sql import functions as F
+
+            return F.countDistinct(F.col("tran_id") % 2)
+
+    assert isinstance(Weighted(), framework.Miner)
+    db = spark.createDataFrame([(i, 0, "a") for i in range(6)] + [(2, 1, "b")], "tran_id long, pos int, item string")
+    assert result(framework.mine(Weighted(), db, 2, 1.0)) == {"a": 2}
 
 
 def test_pruning(spark):
