@@ -59,7 +59,7 @@ class Shingler:
     def hashes(self, text: str) -> np.ndarray:
         found = WORD.findall(text)
         memo = self.memo
-        if len(memo) > 300_000:
+        if len(memo) > 150_000:
             memo.clear()
         for w in set(found).difference(memo):
             memo[w] = xxhash.xxh64_intdigest(w.translate(_LOWER).encode("utf-8", "replace"))
@@ -132,7 +132,7 @@ def sketched(text: Column, words: int) -> Column:
                     continue
                 key = xxhash.xxh3_128_digest(shingles.tobytes())
                 if key not in recent:
-                    if len(recent) > 20_000:
+                    if len(recent) > 10_000:
                         recent.clear()
                     minima = hasher.minima(shingles)
                     recent[key] = hasher.bands(minima), np.concatenate([hasher.bits(minima), odd_sketch(shingles)])
@@ -192,11 +192,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tex
     sizes = nodes.select("rep", "n", "bits")
 
     members = nodes.select("rep", F.explode("bands").alias("bucket"))
-    sizes_of = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    # small tables by bucket are written before they are joined, so that a hot bucket's other side can be split
+    sizes_of = materialize(members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1))
     shared = materialize(members.join(sizes_of, "bucket"))
     popular = shared.groupBy("rep").agg(F.sum("size").alias("popularity"))
     best = F.max(F.struct("popularity", (-F.col("rep")).alias("r")))["r"]
-    centres = shared.join(popular, "rep").groupBy("bucket").agg((-best).alias("centre"))
+    centres = materialize(shared.join(popular, "rep").groupBy("bucket").agg((-best).alias("centre")))
     shared = materialize(shared.join(centres, "bucket").select("bucket", "rep", "centre"))
 
     tried = shared.where(F.col("rep") != F.col("centre")).select(F.col("rep").alias("x"), F.col("centre").alias("y")).distinct()
@@ -207,10 +208,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tex
     label = F.coalesce(F.col("component"), F.col("rep"))
     placed = shared.select("bucket", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", label.alias("component"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
+    spread = materialize(spread)
     mixed = materialize(placed.join(spread, "bucket", "left_semi"))
     counted = mixed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = counted.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
-    full = mixed.join(sizes, "rep").join(main, "bucket")
+    main = materialize(counted.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main")))
+    full = materialize(mixed.join(main, "bucket").join(sizes, "rep"))
     one = full.where(F.col("component") != F.col("main")).select("bucket", F.col("rep").alias("x"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("bits").alias("s1"))
     two = full.select(F.col("bucket").alias("b2"), F.col("rep").alias("y"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("bits").alias("s2"), "main")
     # of two members outside the dominant component each pair is met once
