@@ -42,7 +42,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class TreeCodec:
     """Encoder and decoder for one table of ranks. memo_size bounds each of its tables of remembered pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], split: regex.Pattern = SPLIT, leaf_chars: int = 8192, memo_size: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], split: regex.Pattern = SPLIT, leaf_chars: int = 8192, memo_size: int = 120_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks must hold every single byte")
         self.ranks, self.split, self.leaf_chars, self.memo_size = ranks, split, leaf_chars, memo_size

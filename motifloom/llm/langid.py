@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import packed, unpacked
+from ._common import blocks, packed, unpacked
 
 ORDERS = (1, 2, 3)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 GAP = max(ORDERS) - 1
 MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -100,11 +100,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(labels), buckets + 1), np.int64)
         for batch in batches:
-            own = np.array([index[x] for x in batch.column("label").to_pylist()], np.int64)
-            for owner, parts, starts in _segments([x or "" for x in batch.column("text").to_pylist()]):
-                grams, begins, _ = hashed(parts, starts, buckets)
-                which = np.repeat(own[owner], np.diff(np.append(begins, grams.shape[1])))
-                total += np.bincount((which * (buckets + 1) + grams).ravel(), minlength=total.size).reshape(total.shape)
+            own, at = np.array([index[x] for x in batch.column("label").to_pylist()], np.int64), 0
+            for block in blocks((x.as_py() for x in batch.column("text")), SEGMENT):
+                for owner, parts, starts in _segments(block):
+                    grams, begins, _ = hashed(parts, starts, buckets)
+                    which = np.repeat(own[at + np.array(owner)], np.diff(np.append(begins, grams.shape[1])))
+                    total += np.bincount((which * (buckets + 1) + grams).ravel(), minlength=total.size).reshape(total.shape)
+                at += len(block)
         kind, bucket = np.nonzero(total[:, :buckets])
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket), pa.array(total[kind, bucket])], names=["kind", "bucket", "n"])
 
@@ -145,7 +147,11 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            labels, scores = score(shared.value, [x or "" for x in batch.to_pylist()])
+            labels, scores = [], []
+            for block in blocks((x.as_py() for x in batch), SEGMENT):
+                found, posterior = score(shared.value, block)
+                labels += found
+                scores += posterior.tolist()
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
 
     return predict(text)
@@ -157,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
     return rows.select(*keep, F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
 
 
-def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is recognised with at least min_score, all columns as they were."""
+def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The rows of docs whose language is recognised with a posterior of at least min_score (one-word texts are seldom sure), all columns as they were."""
     rows = packed(docs, language=predicted(F.col(text), model, docs.sparkSession))
     return unpacked(rows.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= min_score)))
