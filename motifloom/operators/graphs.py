@@ -46,12 +46,20 @@ def _path(code: Column) -> Column:
 
 
 class Subgraphs:
-    """The gSpan miner over symmetric edges (gid, u, v, lu, lv, el, eid)."""
+    """The gSpan miner over symmetric edges (gid, u, v, lu, lv, el, eid). A delta is a code edge."""
+
+    uses_pattern = True
+
+    def start(self, delta: Column) -> Column:
+        return F.array(delta)
+
+    def grow(self, pattern: Column, delta: Column) -> Column:
+        return F.concat(pattern, F.array(delta))
 
     def root(self, db: DataFrame) -> DataFrame:
-        code = F.array(_edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv")))
+        edge = _edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv"))
         return db.where(F.col("lu") <= F.col("lv")).select(
-            code.alias("pattern"), F.lit(1).alias("size"), F.col("gid").alias("tran_id"), F.array("u", "v").alias("vertices"), F.array("lu", "lv").alias("labels"), F.array("eid").alias("used")
+            edge.alias("delta"), F.col("gid").alias("tran_id"), F.array("u", "v").alias("vertices"), F.array("lu", "lv").alias("labels"), F.array("eid").alias("used")
         )
 
     def expand(self, projected: DataFrame, db: DataFrame) -> DataFrame:
@@ -78,8 +86,8 @@ class Subgraphs:
         g = g.where(forward | backward)
         is_new = F.col("target") < 0
         return g.select(
-            F.concat("pattern", F.array(F.when(is_new, made_forward).otherwise(made_backward))).alias("pattern"),
-            (F.col("size") + 1).alias("size"),
+            "pid",
+            F.when(is_new, made_forward).otherwise(made_backward).alias("delta"),
             "tran_id",
             F.when(is_new, F.concat("vertices", F.array("v"))).otherwise(F.col("vertices")).alias("vertices"),
             F.when(is_new, F.concat("labels", F.array("lv"))).otherwise(F.col("labels")).alias("labels"),
