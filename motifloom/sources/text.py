@@ -65,12 +65,17 @@ def _graph_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["graph_id", "kind", "a", "b", "label"]).astype({c: "Int32" for c in ("graph_id", "a", "b", "label")})
 
 
-def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_graphs(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files of `t # id`, `v id label`, `e from to label` lines -> graphs(graph_id), vertices(graph_id, vid, label), edges(graph_id, u, v, label).
 
-    A file is read as a whole, as lines depend on those before; split large collections into files. `t # -1` ends a file.
+    Records are parted at `t # `, so files of any size are split over tasks, and a task holds one graph at a time; the end
+    marker `t # -1` is no graph. With whole_files each file is read as a whole, and what follows its end marker is left out.
     """
-    rows = spark.read.text(path, wholetext=True).select("value").mapInPandas(_graph_rows, GRAPH_LINES)
+    if whole_files:
+        records = spark.read.text(path, wholetext=True).select("value")
+    else:
+        records = spark.read.text(path, lineSep="t # ").select(F.concat(F.lit("t # "), "value").alias("value")).where(F.col("value") != "t # ")
+    rows = records.mapInPandas(_graph_rows, GRAPH_LINES)
     graphs = rows.where(F.col("kind") == "t").select("graph_id").distinct()
     vertices = rows.where(F.col("kind") == "v").select("graph_id", F.col("a").alias("vid"), "label")
     edges = rows.where(F.col("kind") == "e").select("graph_id", F.col("a").alias("u"), F.col("b").alias("v"), "label")

@@ -35,7 +35,6 @@ v 2 0
 e 0 1 1
 e 1 2 0
 t # -1
-t # 9
 """
 EXPECTED = {
     "0 1 0 0 0": 3,
@@ -74,6 +73,16 @@ def test_single_graphs(spark, tmp_path):
     assert mined(spark, one(0) + "e 0 1 0\n", 1.0, tmp_path) == mined(spark, one(0), 1.0, tmp_path)
 
 
+def test_files_are_split_at_graphs(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "part_0000").write_text(FOUR + "t # 9\nv 0 1\n")
+    (tmp_path / "g" / "part_0001").write_text(FOUR.replace("t # ", "t # 1").replace("t # 1-1", "t # -1"))
+    split, whole = (text.read_graphs(spark, str(tmp_path / "g"), whole_files=w) for w in (False, True))
+    assert {r[0] for r in whole[0].collect()} == {0, 1, 2, 3, 10, 11, 12, 13}
+    assert {r[0] for r in split[0].collect()} == {0, 1, 2, 3, 9, 10, 11, 12, 13}
+    assert sorted(map(tuple, split[2].collect())) == sorted(map(tuple, whole[2].collect()))
+
+
 def test_edge_before_its_vertices(spark, tmp_path):
     with pytest.raises(Exception, match="edge before its vertices"):
         mined(spark, "t # 0\nv 0 1\ne 0 1 1\nv 1 1\n", 1.0, tmp_path)
