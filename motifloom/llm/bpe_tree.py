@@ -42,13 +42,17 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class TreeCodec:
     """Encoder and decoder for one table of ranks. memo_size bounds each of its tables of remembered pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], split: regex.Pattern = SPLIT, leaf_chars: int = 8192, memo_size: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], split: regex.Pattern = SPLIT, leaf_chars: int = 8192, memo_size: int = 200_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks must hold every single byte")
         self.ranks, self.split, self.leaf_chars, self.memo_size = ranks, split, leaf_chars, memo_size
         self.token = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.token[rank] = piece
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what is remembered; tasks do so at their end, as Python workers live on with other operators."""
         self._window: dict[Tokens, Tokens] = {}
         self._part: dict[bytes, Tokens] = {}
         self._piece: dict[str, Tokens] = {}
@@ -166,6 +170,7 @@ def encoded(text: Column, ranks_path: str) -> Column:
             for block in blocks(_texts(batch)):  # Python's lists of ids are held for a block at a time
                 done.append(pa.array([{"ids": (ids := code.encode(x)), "decoded": code.decode(ids)} for x in block], ENCODED))
             yield pa.concat_arrays(done)
+        code.forget()
 
     return encode(text)
 
@@ -196,6 +201,8 @@ def encoding_digests(docs: DataFrame, ranks_path: str, text: str = "text", keep:
                 of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(code.decode(ids)).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], fields=list(DIGESTS))
+        code.forget()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(*keep, digest(F.col(text)).alias("_digests"))
     return rows.select(*keep, *(F.col(f"_digests.{f.name}").alias(f.name) for f in DIGESTS))
