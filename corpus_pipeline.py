@@ -13,19 +13,30 @@ from motifloom.llm import bpe_tree, cuckoo, langid, minhash, mixing
 from motifloom.llm._common import documents, held_out, materialize
 
 
+#: Rows of whole texts are large: smaller Arrow batches keep the memory of executors and their Python workers low.
+ARROW_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (1): drops documents without a recognised language."""
+    _small_batches(spark)
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
     return langid.identified(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup (5): of equal texts the row with the largest doc_id stays."""
+    _small_batches(spark)
     return cuckoo.deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup (3), five-word shingles, similarity 0.8: the smallest doc_id of each group stays."""
+    _small_batches(spark)
     return minhash.representatives(docs)
 
 
@@ -36,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding and decoding (6): the digests of each document's ids and decoded bytes."""
+    _small_batches(spark)
     return bpe_tree.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
