@@ -4,7 +4,11 @@ A text is compared as a whole, by paragraphs (parted by empty lines) and by line
 (lower case; words are runs of letters and digits) and taken as the bag of its word bigrams: the coefficient is twice the
 common bigrams over the bigrams of both. A coefficient of t needs sizes within a factor of (2 - t) / t of each other. A
 unit's size is its number of words less one, so units outside the bounds of all templates are dropped before a bigram
-is built (most whole texts), and a bigram meets only templates whose bounds hold its unit's size.
+is built, and a bigram meets only templates whose bounds hold its unit's size. A unit that reaches t has a share of
+t / (2 - t) of its bigrams in templates, so units below that share are dropped before their bigrams become rows.
+
+Templates are one-line notices, notices of several sentences and whole licences (files in ``licenses``). AGPL-3.0,
+CC-BY-4.0 and CC-BY-NC-4.0 were made from the texts of GPL-3.0 and CC-BY-SA-4.0 by the known differences.
 
 DataFrame functions only. The templates' bigrams are a small table (its size is checked) that is broadcast; what is
 shuffled are matching bigrams alone, counted in each task first. Words are split once, for lines and whole texts alike.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,12 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 MAX_TEMPLATE_BIGRAMS = 100_000
 
+#: Whole licences, a file each, named by SPDX identifier.
+WHOLE = tuple((p.name.removesuffix(".txt"), p.read_text("ascii")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
+
 #: Fixed texts: notices and licence texts by SPDX identifier; several texts may share one.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -60,6 +71,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    *WHOLE,
 )
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -105,6 +121,14 @@ def units(text: str, least: float, most: float) -> Column:
     return F.transform(F.concat(both, paragraphs), lambda u: F.when((F.size(u) - 1 >= least) & (F.size(u) - 1 <= most), u).otherwise(F.array().cast("array<string>")))
 
 
+def _likely(column: str, known: list[str], share: float) -> str:
+    """The units with those emptied that have less than the share of their bigrams among the known ones, as SQL."""
+    # one bigram of slack keeps rounding out of the comparison
+    pairs = "zip_with(slice(u, 1, size(u) - 1), slice(u, 2, size(u) - 1), (a, b) -> concat(a, ' ', b))"
+    among = ", ".join(f"'{b}'" for b in known)
+    return f"transform({column}, u -> case when size(u) > 1 and size(filter({pairs}, x -> x in ({among}))) + 1 >= {share!r}D * (size(u) - 1) then u else cast(array() as array<string>) end)"
+
+
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Units that reach the threshold: doc_id, unit (number), size, license, template, template_size, dice."""
     spark: SparkSession = docs.sparkSession
@@ -112,7 +136,8 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [row[2] for row in table]
     known = F.broadcast(spark.createDataFrame(table, "license string, template int, template_size int, known string, times long"))
-    u = docs.select(F.col(doc_id).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(units(text, low * min(sizes), high * max(sizes))).alias("unit", "words")).where(F.size("words") > 1)
+    u = docs.select(F.col(doc_id).alias("_id"), F.monotonically_increasing_id().alias("_row"), units(text, low * min(sizes), high * max(sizes)).alias("_units"))
+    u = u.select("_id", "_row", F.posexplode(F.expr(_likely("_units", sorted({row[3] for row in table}), low))).alias("unit", "words")).where(F.size("words") > 1)
     n = F.size("words")
     pairs = F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     own = u.select("_id", "_row", "unit", (n - 1).alias("size"), F.explode(pairs).alias("bigram"))
