@@ -1,6 +1,10 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A text is compared as a whole, by paragraphs (parted by empty lines) and by lines. Each of these units is normalised
+A text is compared as a whole, by paragraphs (parted by blank lines, whatever white space they hold), by lines and by
+runs of paragraphs. A run begins at each paragraph that has ``threshold / 2`` of its bigrams in the head of a template (a
+worse first paragraph only lowers a coefficient, and a licence that lacks its first third is below 0.8) and is taken to
+the paragraph ends just below and just above that template's size. A licence that no line, paragraph or whole text
+matches but a run counts as one match. Each of these units is normalised
 (lower case; words are runs of letters and digits) and taken as the bag of its word bigrams: the coefficient is twice the
 common bigrams over the bigrams of both. A coefficient of t needs sizes within a factor of (2 - t) / t of each other. A
 unit's size is its number of words less one, so units outside the bounds of all templates are dropped before a bigram
@@ -20,7 +24,9 @@ doc_id share one result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +85,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 _SEPARATORS = r"[^\p{L}\p{N}]+"
+_BLANK_LINES = r"\n(?:[ \t\r\f\x0B]*\n)+"
+#: A run of paragraphs begins in this part of a template.
+HEAD = 0.4
+_PAIRS = "zip_with(slice({0}, 1, size({0}) - 1), slice({0}, 2, size({0}) - 1), (a, b) -> concat(a, ' ', b))"
 
 
 def template_bigrams(text: str) -> Counter[str]:
@@ -109,7 +119,8 @@ def units(text: str, least: float, most: float) -> Column:
     whole = F.lower(F.coalesce(F.col(text), F.lit("")))
     none = F.array().cast("array<array<string>>")
     lines = F.transform(F.split(whole, "\n"), _words)
-    paragraphs = F.when(F.contains(whole, F.lit("\n\n")), F.transform(F.split(whole, "\n\n"), _words)).otherwise(none)
+    parts = F.split(whole, _BLANK_LINES)
+    paragraphs = F.when(F.size(parts) > 1, F.transform(parts, _words)).otherwise(none)
 
     def with_whole(found: Column) -> Column:
         total = F.aggregate(found, F.lit(0), lambda n, x: n + F.size(x))
@@ -121,45 +132,82 @@ def units(text: str, least: float, most: float) -> Column:
     return F.transform(F.concat(both, paragraphs), lambda u: F.when((F.size(u) - 1 >= least) & (F.size(u) - 1 <= most), u).otherwise(F.array().cast("array<string>")))
 
 
-def _likely(column: str, known: list[str], share: float) -> str:
-    """The units with those emptied that have less than the share of their bigrams among the known ones, as SQL."""
+def _among(unit: str, known: Iterable[str], share: float) -> str:
+    """SQL: the unit has that share of its bigrams among the known ones, or of such that collide with them in a bitmap."""
+    known = set(known)
+    slots = bytearray(1 << (8 * len(known)).bit_length())
+    for bigram in known:
+        slots[zlib.crc32(bigram.encode()) % len(slots)] = 1
+    found = f"substring(X'{slots.hex()}', int(crc32(x) % {len(slots)}) + 1, 1) = X'01'"
     # one bigram of slack keeps rounding out of the comparison
-    pairs = "zip_with(slice(u, 1, size(u) - 1), slice(u, 2, size(u) - 1), (a, b) -> concat(a, ' ', b))"
-    among = ", ".join(f"'{b}'" for b in known)
-    return f"transform({column}, u -> case when size(u) > 1 and size(filter({pairs}, x -> x in ({among}))) + 1 >= {share!r}D * (size(u) - 1) then u else cast(array() as array<string>) end)"
+    return f"(size({unit}) > 1 and size(filter({_PAIRS.format(unit)}, x -> {found})) + 1 >= {share!r}D * (size({unit}) - 1))"
+
+
+def _likely(column: str, known: Iterable[str], share: float) -> str:
+    """SQL: the units with those emptied that have less than the share of their bigrams among the known ones."""
+    return f"transform({column}, u -> case when {_among('u', known, share)} then u else cast(array() as array<string>) end)"
+
+
+def _with_runs(docs: DataFrame, text: str, templates: tuple[tuple[str, str], ...], known: Iterable[str], threshold: float) -> DataFrame:
+    """Adds _runs: the words of runs of two paragraphs or more (not the whole) that may match a template."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    heads: dict[int, set[str]] = {}
+    for _, t in templates:
+        words = [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+        if len(words) > 1:
+            heads.setdefault(len(words), set()).update(template_bigrams(" ".join(words[: int(HEAD * len(words)) + 2])))
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _BLANK_LINES)
+    several = F.when(F.size(parts) > 2, F.transform(parts, _words)).otherwise(F.array().cast("array<array<string>>"))
+    d = docs.withColumn("_parts", F.filter(several, lambda p: F.size(p) > 0))
+    # _at: the paragraph of each word; _starts: the first word of each paragraph, and the end
+    d = d.withColumn("_all", F.flatten("_parts")).withColumn("_at", F.flatten(F.transform("_parts", lambda p, i: F.array_repeat(i, F.size(p)))))
+    d = d.withColumn("_starts", F.expr("case when size(_all) > 0 then filter(sequence(0, size(_all)), k -> k = 0 or k = size(_all) or _at[k] <> _at[k - 1]) else cast(array() as array<int>) end"))
+    sizes = ", ".join(f"case when {_among('p', head, threshold / 2)} then {n} end" for n, head in sorted(heads.items()))
+    d = d.withColumn("_wanted", F.expr(f"transform(_parts, p -> case when {_among('p', known, threshold / 2)} or size(p) = 1 then array_compact(array({sizes})) else cast(array() as array<int>) end)"))
+    end = "_starts[_at[least(_starts[i] + n, size(_all)) - 1] + {0}]"
+    one = "named_struct('s', _starts[i], 'e', {0}, 'n', n)"
+    runs = f"flatten(transform(_wanted, (w, i) -> flatten(transform(w, n -> array({one.format(end.format(0))}, {one.format(end.format(1))})))))"
+    d = d.withColumn("_spans", F.expr(f"""array_distinct(transform(filter({runs}, (r, k) -> r.e - r.s - 1 between {low!r}D * (r.n - 1) and {high!r}D * (r.n - 1)
+        and _at[r.e - 1] > _at[r.s] and r.e - r.s < size(_all)), r -> named_struct('s', r.s, 'e', r.e)))"""))
+    return d.withColumn("_runs", F.expr("transform(_spans, r -> slice(_all, r.s + 1, r.e - r.s))"))
 
 
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Units that reach the threshold: doc_id, unit (number), size, license, template, template_size, dice."""
+    """Units that reach the threshold: doc_id, unit (number), run (of paragraphs), size, license, template, template_size, dice."""
     spark: SparkSession = docs.sparkSession
     table = template_table(templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [row[2] for row in table]
     known = F.broadcast(spark.createDataFrame(table, "license string, template int, template_size int, known string, times long"))
-    u = docs.select(F.col(doc_id).alias("_id"), F.monotonically_increasing_id().alias("_row"), units(text, low * min(sizes), high * max(sizes)).alias("_units"))
-    u = u.select("_id", "_row", F.posexplode(F.expr(_likely("_units", sorted({row[3] for row in table}), low))).alias("unit", "words")).where(F.size("words") > 1)
+    bigrams = {row[3] for row in table}
+    u = docs.select(F.col(doc_id).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    u = _with_runs(u, "_text", templates, bigrams, threshold).select("_id", "_row", units("_text", low * min(sizes), high * max(sizes)).alias("_units"), "_runs")
+    u = u.select("_id", "_row", F.size("_units").alias("_plain"), F.concat("_units", "_runs").alias("_units"))
+    u = u.select("_id", "_row", "_plain", F.posexplode(F.expr(_likely("_units", bigrams, low))).alias("unit", "words")).where(F.size("words") > 1)
+    u = u.withColumn("run", F.col("unit") >= F.col("_plain"))
     n = F.size("words")
     pairs = F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    own = u.select("_id", "_row", "unit", (n - 1).alias("size"), F.explode(pairs).alias("bigram"))
+    own = u.select("_id", "_row", "unit", "run", (n - 1).alias("size"), F.explode(pairs).alias("bigram"))
     fits = (F.col("size") >= low * F.col("template_size")) & (F.col("size") <= high * F.col("template_size"))
-    unit = ("_id", "_row", "unit", "size", "license", "template", "template_size")
+    unit = ("_id", "_row", "unit", "run", "size", "license", "template", "template_size")
     hits = own.join(known, (F.col("bigram") == F.col("known")) & fits).groupBy(*unit, "bigram", "times").agg(F.count("*").alias("n"))
     common = hits.groupBy(*unit).agg(F.sum(F.least("n", "times")).alias("common"))
     dice = 2 * F.col("common") / (F.col("size") + F.col("template_size"))
     reached = 2 * F.col("common") >= F.lit(threshold) * (F.col("size") + F.col("template_size"))
-    return common.where(reached).select(F.col("_id").alias(doc_id), "unit", "size", "license", "template", "template_size", dice.alias("dice"))
+    return common.where(reached).select(F.col("_id").alias(doc_id), "unit", "run", "size", "license", "template", "template_size", dice.alias("dice"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, license (null if none), dice (0 if none), n_matches (units that match)."""
+    """One row for each row of docs: doc_id, license (null if none), dice (0 if none), n_matches (units that match; of a licence's runs one, if nothing else of the text matches it)."""
     best = F.max(F.struct("dice", "template_size", F.expr("-template").alias("t"), "license")).alias("best")
-    found = matches(docs, templates, threshold, text, doc_id).groupBy(F.col(doc_id).alias("_found")).agg(best, F.countDistinct("unit").alias("n"))
+    found = matches(docs, templates, threshold, text, doc_id).groupBy(F.col(doc_id).alias("_found")).agg(best, F.countDistinct(F.when(~F.col("run"), F.col("unit"))).alias("plain"), F.collect_set("license").alias("all"), F.collect_set(F.when(~F.col("run"), F.col("license"))).alias("seen"))
+    found = found.select("_found", "best", (F.col("plain") + F.size(F.array_except("all", "seen"))).alias("n"))
     rows = docs.select(doc_id).join(found, F.col(doc_id).eqNullSafe(F.col("_found")), "left")
     return rows.select(doc_id, F.col("best.license").alias("license"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The scan as one DuckDB statement over documents."""
+    """The scan as one DuckDB statement over documents; without runs of paragraphs, which it parts at empty lines only."""
     values = ", ".join("('{}', {}, {}, '{}', {})".format(*row) for row in template_table(templates))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     words = "list_filter(regexp_split_to_array(x, '[^\\p{L}\\p{N}]+'), lambda y: y <> '')"

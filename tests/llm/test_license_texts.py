@@ -34,3 +34,22 @@ def test_notices_name_their_version(spark):
     gpl = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and 200 < len(t) < 2000)
     texts = [gpl, gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Affero General")]
     assert licenses_of(spark, texts) == ["GPL-3.0", "GPL-2.0", "AGPL-3.0"]
+
+
+def test_licences_inside_larger_texts(spark):
+    mit = [t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 200][0]
+    cut = [mit.index("The above"), mit.index("THE SOFTWARE IS")]
+    mit = "\n\n".join((mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]))
+    gpl = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and 200 < len(t) < 2000).replace(" This program is dist", "\n\nThis program is dist").replace(" See the", "\n\nSee the")
+    whole = dict(license_scan.WHOLE)
+    story = "\n\n".join(f"Chapter {i} tells how the keeper of lamp number {i} went down to the harbour and what was found there." for i in range(40))
+    names = ["MIT", "GPL-3.0", "BSD-3-Clause", "Apache-2.0"]
+    texts = []
+    for one in (mit, gpl, whole["BSD-3-Clause"], whole["Apache-2.0"]):
+        wrapped = "\n".join(textwrap.fill(line, 60) for line in one.split("\n"))
+        larger = f"{story}\n\n{wrapped}\n\n{story}"
+        texts += [larger, larger.replace("\n", "\r\n"), larger.replace("\n\n", "\n \t\n")]
+    # a paragraph that is hard-wrapped, between blank lines that hold blanks or end in CRLF
+    flat = textwrap.fill(mit.replace("\n\n", " "), 60)
+    texts += [f"{story}\n \n{flat}\n\t\n{story}", f"{story}\n\n{flat}\n\n{story}".replace("\n", "\r\n"), story]
+    assert licenses_of(spark, texts) == [n for n in names for _ in range(3)] + ["MIT", "MIT", None]
