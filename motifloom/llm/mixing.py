@@ -96,7 +96,8 @@ def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK) -
     n_units is the largest n; it sets the height of the tree. About `chunk` units of each source, chosen by hash, wait
     for the root, so that the large documents that tend to be left over still find others to settle with.
     """
-    waiting = F.pmod(F.xxhash64(F.lit(seed), F.lit("root"), "id"), F.lit(1 << 40)) * F.col("n") < F.lit(float(chunk * (1 << 40)))
+    # doubles: a product of longs would pass 2^63 in sources of many rows
+    waiting = F.pmod(F.xxhash64(F.lit(seed), F.lit("root"), "id"), F.lit(1 << 40)).cast("double") * F.col("n").cast("double") < F.lit(float(chunk * (1 << 40)))
     root = units.where(waiting)
     units = units.where(~waiting)
     level, decided, most = 0, [], max(1, n_units)
