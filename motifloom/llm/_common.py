@@ -6,14 +6,17 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
+#: Rows of ids that are broadcast at most: some 32 MB as a hashed relation.
+BROADCAST_ROWS = 1 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -34,13 +37,12 @@ def held_out(doc_id):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests, local runs), under a temporary folder that is then set."""
+    """A new folder under spark.checkpoint.dir; where that is unset (tests, local runs), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "motifloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -52,12 +54,60 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the folder of a frame that materialize() returned, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
     for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, name.rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """materialize(), with folders that are deleted when the block ends: what outlives the block must not read them."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(shared_dir(spark))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            _delete(spark, path)
+
+
+def bounded(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written frame of a few numbers a row, marked for broadcast where it has at most `most` rows; beyond that its joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def kept_names(keep: Iterable[str], results: Iterable[str]) -> dict[str, str]:
+    """What the columns of keep are called beside results: one that is named like a result, in any case, gets `_in` appended."""
+    taken = {r.lower() for r in results}
+    names: dict[str, str] = {}
+    for column in dict.fromkeys(keep):
+        name = column
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names[column] = name
+    return names
+
+
+def with_results(docs: DataFrame, keep: Iterable[str], made: Column, results: Iterable[str]) -> DataFrame:
+    """The columns of keep (named by kept_names) and the fields `results` of the struct column made."""
+    results = tuple(results)
+    names = kept_names(keep, results)
+    # both sides stand in structs, so no name of docs can clash on the way
+    kept = F.struct(*(F.col(c).alias(n) for c, n in names.items())) if names else F.lit(None)
+    rows = docs.select(kept.alias("kept"), made.alias("made"))
+    return rows.select(*(F.col("kept").getField(n).alias(n) for n in names.values()), *(F.col("made").getField(r).alias(r) for r in results))
 
 
 def packed(df: DataFrame, **columns) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import blocks, read_bounded
 from .bpe_tree import parse_ranks
+from .pretoken import encode_ordinary
 
 ROLES = ("system", "user", "assistant")
 #: The text that each reserved id renders to, in the order of the ids.
@@ -62,11 +63,11 @@ class ChatCodec:
 
     def format_turn(self, role: str, text: str) -> tuple[list[int], np.ndarray]:
         """Ids and loss mask of a turn."""
-        content = self.coder.encode_ordinary(escape(text))
+        content = encode_ordinary(self.coder, escape(text))
         if role in ROLES:
             ids = [self.base + ROLES.index(role)]
         else:
-            ids = [self.base + OTHER, *self.coder.encode_ordinary(escape(role)), self.base + ROLE_END]
+            ids = [self.base + OTHER, *encode_ordinary(self.coder, escape(role)), self.base + ROLE_END]
         begin = len(ids)
         ids += [*content, self.base + TURN_END, *self.between]
         change = np.zeros(len(ids), np.int8)

@@ -5,14 +5,18 @@ the token distribution are held against rejection bands for the text's main scri
 stand beside them. Row-local, without a shuffle or a broadcast that grows.
 
 Null and empty texts have no words and no tokens; they fail the base rules. A text without letters has the script
-`none`. A script without a band of its own has that of `other`. Repeated rows give repeated rows.
+`none`; of scripts with equally many letters the one named first in SCRIPTS counts. A script without a band of its own
+has that of `other`. Repeated rows give repeated rows, an empty table an empty table. A column of keep that is named
+like a result comes back with `_in` appended.
 
-Very long texts are encoded in segments cut at white space (``SEGMENT``); all figures are of the whole text.
+Texts of any length are encoded as wholes: the runs in which long ones go through the libraries end where the libraries
+would not merge across anyway (``pretoken.SEAM``), so ids and all figures are those of the whole text. What a task holds beyond the two bounded tables of short parts is one text's tokens.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +30,14 @@ import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
-from ._common import WORD, blocks, read_bounded
+from ._common import WORD, read_bounded, with_results
 from .bpe_tree import parse_ranks
+from .pretoken import encode_ordinary, seamed
 
-SEGMENT = 1 << 18
 SYMBOLS = "#*$%&|<>"
+_ASCII_LETTER = re.compile("[A-Za-z]")
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI")
 
 
@@ -51,7 +57,7 @@ class Band:
 BANDS = {
     "LATIN": Band(1.5, 2.0, 7.0, 0.10, 4.5),
     "CYRILLIC": Band(0.6, 0.8, 6.0, 0.60, 4.5),
-    "GREEK": Band(0.5, 0.6, 6.0, 0.70, 4.5),
+    "GREEK": Band(0.5, 0.6, 6.0, 0.70, 3.5),
     "CJK": Band(0.3, 0.3, 2.5, 0.90, 4.5),
     "HIRAGANA": Band(0.3, 0.3, 3.0, 0.90, 4.5),
     "HANGUL": Band(0.3, 0.3, 3.0, 0.90, 4.5),
@@ -61,17 +67,27 @@ BANDS = {
 
 
 class Pieces:
-    """A sentencepiece model with byte fallback."""
+    """A sentencepiece model with byte fallback.
+
+    Where no piece has its blank mark after another character and the normaliser changes nothing, no merge crosses a
+    blank that follows another character, so runs of a long text between such blanks are encoded apart: the mark that
+    the model puts before each of them stands for the blank. Other models encode all texts in one piece.
+    """
 
     least = "min_chars_per_piece"
 
     def __init__(self, data: bytes):
+        proto = sentencepiece_model_pb2.ModelProto.FromString(data)
+        norm = proto.normalizer_spec
+        plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        self.parted = plain and not proto.trainer_spec.treat_whitespace_as_suffix and not any("\u2581" in p.piece.lstrip("\u2581") for p in proto.pieces)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         size = self.model.get_piece_size()
         self.fallback = np.fromiter((self.model.is_byte(i) or self.model.is_unknown(i) for i in range(size)), bool, size)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        runs = seamed(text) if self.parted else [text]
+        return np.concatenate([np.array(self.model.encode(run[1:] if i else run), np.int64) for i, run in enumerate(runs)])
 
 
 class Ranks:
@@ -86,8 +102,8 @@ class Ranks:
         for token, rank in ranks.items():
             self.fallback[rank] = not _whole(token)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.coder.encode_ordinary(x) for x in texts]
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.array(encode_ordinary(self.coder, run), np.int64) for run in seamed(text)])
 
 
 def _whole(token: bytes) -> bool:
@@ -100,6 +116,7 @@ def _whole(token: bytes) -> bool:
 
 @lru_cache(maxsize=4)
 def vocabulary(name: str, data: bytes) -> Pieces | Ranks:
+    """Each vocabulary once a Python worker."""
     return Pieces(data) if name.endswith(".model") else Ranks(data)
 
 
@@ -116,7 +133,9 @@ def _script_table() -> np.ndarray:
 
 def main_script(text: str) -> str:
     """The script of most letters; ties go to the one named first."""
-    plain = text.encode("ascii", "ignore")
+    if text.isascii():
+        return "LATIN" if _ASCII_LETTER.search(text) else "none"
+    plain = text.encode("utf-8", "replace")
     if 2 * (len(plain) - len(plain.translate(None, ascii_letters.encode()))) > len(text):
         return "LATIN"
     n = np.bincount(_script_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], minlength=256)[: len(SCRIPTS) + 1]
@@ -131,39 +150,29 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
     if len(words) > 3:
         known: dict[str, int] = {}
         ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        pairs = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1]
-        _, at, n = np.unique(pairs[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(n[at] > 1)
-        covered = np.zeros(len(words), bool)
-        for k in range(3):
-            covered[twice + k] = True
-        repeat = int(covered.sum())
+        pairs = ids[:-1] * len(known) + ids[1:]
+        if len(known) ** 3 >= 1 << 62:  # pairs that occur are numbered first
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        windows = pairs[:-1] * len(known) + ids[2:]
+        ordered = np.sort(windows)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            covered = np.zeros(len(words), bool)
+            at = np.flatnonzero(np.isin(windows, twice))
+            for k in range(3):
+                covered[at + k] = True
+            repeat = int(covered.sum())
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def _segments(text: str) -> list[str]:
-    """The text in segments of about SEGMENT characters, cut before white space where there is any."""
-    out, at = [], 0
-    while len(text) - at > 2 * SEGMENT:
-        cut = max(text.rfind(" ", at + SEGMENT, at + 2 * SEGMENT), text.rfind("\n", at + SEGMENT, at + 2 * SEGMENT))
-        cut = cut if cut > 0 else at + 2 * SEGMENT
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
-
-def fertility(texts: list[str], vocab: Pieces | Ranks) -> Iterator[tuple[int, float, float]]:
-    """n_tokens, fallback share and entropy (bits) of each text."""
-    segments = [_segments(x) for x in texts]
-    coded = iter(vocab.encode([s for x in segments for s in x]))
-    for parts in segments:
-        ids = np.array([i for _ in parts for i in next(coded)], np.int64)
-        if not len(ids):
-            yield 0, 0.0, 0.0
-            continue
-        ordered = np.sort(ids)
-        n = np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
-        yield len(ids), float(vocab.fallback[ids].mean()), float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
+def fertility(text: str, vocab: Pieces | Ranks) -> tuple[int, float, float]:
+    """n_tokens, fallback share and entropy (bits) of a text."""
+    ids = vocab.encode(text)
+    if not len(ids):
+        return 0, 0.0, 0.0
+    ids.sort()
+    n = np.diff(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])))
+    return len(ids), float(vocab.fallback[ids].mean()), float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
 
 
 def within(band: Band, n_chars: int, figures: list[tuple[int, float, float]], vocabs: list[Pieces | Ranks]) -> bool:
@@ -179,23 +188,30 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
     bands = bands or BANDS
     shared = [(os.path.basename(p), read_bounded(p)) for p in vocabulary_paths]
 
-    @F.arrow_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, kept boolean")
+    def one(x: str, vocabs: list[Pieces | Ranks]) -> tuple:
+        figures = [fertility(x, v) for v in vocabs]
+        script, base = main_script(x), base_figures(x)
+        failed = base[0] < min_words or 100 * base[4] > max_repeat_percent * base[0]
+        kept = not failed and within(bands.get(script, bands["other"]), len(x), figures, vocabs)
+        return (*base, script, [len(x) / max(1, f[0]) for f in figures], [f[1] for f in figures], [f[2] for f in figures], failed, kept)
+
+    @F.arrow_udf(MEASURED_DDL)
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabs = [vocabulary(*x) for x in shared]
+        blank = one("", vocabs)
         for batch in batches:
-            rows = []
-            for block in blocks(x.as_py() for x in batch):
-                for x, *figures in zip(block, *(fertility(block, v) for v in vocabs), strict=True):
-                    script = main_script(x)
-                    rows.append((*base_figures(x), script, [len(x) / max(1, f[0]) for f in figures], [f[1] for f in figures], [f[2] for f in figures], within(bands.get(script, bands["other"]), len(x), figures, vocabs)))
+            distinct = batch.dictionary_encode()  # repeated texts of a batch are measured once
+            measured = [one(x.as_py() or "", vocabs) for x in distinct.dictionary]
+            rows = [blank if k is None else measured[k] for k in distinct.indices.to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(MEASURED)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEASURED, strict=True)], fields=list(MEASURED))
 
-    m = docs.select(*keep, measure(F.col(text)).alias("_m")).select(*keep, *(F.col(f"_m.{f.name}").alias(f.name) for f in MEASURED))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    plain = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "chars_per_token", "fallback_share", "token_entropy"]
-    return m.select(*keep, *plain, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return with_results(docs, keep, measure(F.col(text)), (f.name for f in MEASURED))
 
 
 _LIST = pa.list_(pa.float64())
-MEASURED = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("script", pa.string()), ("chars_per_token", _LIST), ("fallback_share", _LIST), ("token_entropy", _LIST), ("kept", pa.bool_())])
+MEASURED = pa.struct([
+    ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
+    ("script", pa.string()), ("chars_per_token", _LIST), ("fallback_share", _LIST), ("token_entropy", _LIST), ("base_failed", pa.bool_()), ("kept", pa.bool_()),
+])
+MEASURED_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, base_failed boolean, kept boolean"

@@ -1,9 +1,8 @@
-"""Row-local operators: language ID, fertility rules, BPE encoding, toxicity, token counts, chat formatting."""
+"""Row-local operators: language ID, BPE encoding, toxicity, token counts, chat formatting."""
 
 import hashlib
 import random
 import re
-from collections import Counter
 
 import public_tokenizers as tokenizers_of
 import pytest
@@ -11,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifloom.llm import bpe_counts, bpe_tree, chat, fertility, langid, queries, toxicity
+from motifloom.llm import bpe_counts, bpe_tree, chat, langid, queries, toxicity
 from motifloom.llm._common import held_out
 
 from .conftest import ODD
@@ -19,7 +18,6 @@ from .conftest import ODD
 SF = "/root/testdata/sf0.001"
 RANKS = tokenizers_of.path("byte_bpe_multi_50k.tiktoken")
 COUNTED = tokenizers_of.path("byte_bpe_50k.json")
-VOCABULARIES = (tokenizers_of.path("piece_bpe_32k.model"), RANKS)
 PIECES = ["a", "b", " ", "  ", "\n", "é", "1", "'s", "!", "ing", "the", "　", "xxxxxxx", "中", "<|endoftext|>", "aaaa", "0", "́", "👩"]
 
 
@@ -135,50 +133,6 @@ def test_segments_score_like_the_whole(docs, monkeypatch):
     assert whole[0] == parts[0] and abs(whole[1] - parts[1]).max() < 1e-3
 
 
-# --- fertility rules ------------------------------------------------------------------------------------------------
-
-
-def slow_base(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    windows = Counter(zip(words, words[1:], words[2:], strict=False))
-    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
-
-
-def test_base_figures(docs):
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) + rng.choice(["", "\n", "\na\na", " # |"]) for _ in range(300)]
-    for text in [*texts, *(t or "" for t in ODD), *(r["text"] for r in docs.limit(50).collect())]:
-        assert fertility.base_figures(text) == slow_base(text)
-
-
-def test_fertility_against_the_libraries(docs, odd, empty):
-    got = {r["doc_id"]: r for r in fertility.quality(docs, VOCABULARIES).collect()}
-    with open(VOCABULARIES[0], "rb") as f:
-        pieces = fertility.Pieces(f.read())
-    for r in docs.limit(40).collect():
-        ids = pieces.model.encode(r["text"])
-        row = got[r["doc_id"]]
-        assert row["chars_per_token"][0] == pytest.approx(len(r["text"]) / len(ids))
-        assert row["fallback_share"][0] == pytest.approx(sum(map(pieces.model.is_byte, ids)) / len(ids))
-        n = slow_base(r["text"])
-        assert row["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-        assert not (row["kept"] and row["base_failed"])
-    rows = {r["doc_id"]: r for r in fertility.quality(odd, VOCABULARIES).collect()}
-    assert len(rows) == len(ODD) + 1 and not rows[0]["kept"] and rows[0]["n_words"] == 0 and rows[6]["script"] == "none"
-    assert fertility.quality(empty, VOCABULARIES).count() == 0
-
-
-def test_clean_documents_are_kept(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    good = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
-    rows = [r for r in fertility.quality(docs, VOCABULARIES).collect() if r["doc_id"] in good and not r["base_failed"]]
-    assert all(r["kept"] for r in rows)
-    strewn = " ".join(w + "$$$ ***" for w in "some words that are strewn with symbols of all kinds".split() * 10)
-    assert not fertility.within(fertility.BANDS["LATIN"], len(strewn), [next(iter(fertility.fertility([strewn], fertility.Ranks(open(RANKS, "rb").read()))))], [fertility.Ranks])
-
-
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
