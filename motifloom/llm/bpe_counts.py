@@ -5,7 +5,9 @@ symbols. In each round every sequence applies its pair of lowest rank, at all it
 known pair is finished, and its surviving symbols are counted. That equals merging one pair at a time because a merge
 only makes pairs of higher rank, which is checked when the vocabulary is read.
 
-Row-local, without a shuffle. Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated rows.
+Row-local, without a shuffle. Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated rows, an empty
+table an empty table. Texts of any length are counted as wholes; a task holds the symbols of about a million characters,
+or of one longer text. A column of keep that is named like a result comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, read_bounded
+from ._common import blocks, read_bounded, with_results
 from .pretoken import SPLIT
 
 NONE = np.int64(1) << 40
@@ -136,14 +138,14 @@ def merger(data: bytes) -> RankMerger:
     return RankMerger(json.loads(data))
 
 
-COUNTS = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+COUNTS = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of docs with the columns of keep, n_bytes, n_tokens and over_limit (more than limit tokens)."""
     data = read_bounded(vocabulary_path)
 
-    @F.arrow_udf("n_bytes long, n_tokens long")
+    @F.arrow_udf("n_bytes long, n_tokens long, over_limit boolean")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = merger(data)
         for batch in batches:
@@ -151,7 +153,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text:
             for block in blocks(x.as_py() for x in batch):
                 tokens += own.count(block)
                 sizes += [len(x.encode("utf-8", "replace")) for x in block]
-            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], fields=list(COUNTS))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], fields=list(COUNTS))
 
-    rows = docs.select(*keep, count(F.col(text)).alias("_counts"))
-    return rows.select(*keep, F.col("_counts.n_bytes").alias("n_bytes"), F.col("_counts.n_tokens").alias("n_tokens"), (F.col("_counts.n_tokens") > limit).alias("over_limit"))
+    return with_results(docs, keep, count(F.col(text)), (f.name for f in COUNTS))

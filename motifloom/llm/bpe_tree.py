@@ -12,7 +12,9 @@ is halved down to leaves, and neighbours are joined up the tree. Two levels use
 Decoding joins token bytes up a tree of halves. Nothing is shuffled: each row is encoded where it is read.
 
 Null texts count as empty. An empty text has no tokens; its digests are those of the empty string. Repeated rows give
-repeated rows, an empty table an empty table. Columns beyond the id are passed only if named in ``keep``.
+repeated rows, an empty table an empty table. Texts of any length are encoded as wholes, one at a time; pre-tokens of any
+length keep short windows at their joins. Columns beyond the id are passed only if named in ``keep``; one that is named
+like a result comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, read_bounded
+from ._common import blocks, read_bounded, with_results
 from .pretoken import SPLIT, is_restart
 
 Tokens = tuple[int, ...]
@@ -177,8 +179,7 @@ def encoded(text: Column, ranks_path: str) -> Column:
 
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of docs with the columns of keep, ids (array of int) and decoded (binary)."""
-    rows = docs.select(*keep, encoded(F.col(text), ranks_path).alias("_encoded"))
-    return rows.select(*keep, F.col("_encoded.ids").alias("ids"), F.col("_encoded.decoded").alias("decoded"))
+    return with_results(docs, keep, encoded(F.col(text), ranks_path), (f.name for f in ENCODED))
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -204,8 +205,7 @@ def encoding_digests(docs: DataFrame, ranks_path: str, text: str = "text", keep:
         code.forget()
         pa.default_memory_pool().release_unused()
 
-    rows = docs.select(*keep, digest(F.col(text)).alias("_digests"))
-    return rows.select(*keep, *(F.col(f"_digests.{f.name}").alias(f.name) for f in DIGESTS))
+    return with_results(docs, keep, digest(F.col(text)), (f.name for f in DIGESTS))
 
 
 def _texts(batch: pa.Array) -> Iterable[str]:

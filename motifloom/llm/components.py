@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,15 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, write: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """From rows of two node ids (the first two columns, long): node, component, for nodes with an edge to another node.
 
-    The component is its smallest node. Each round writes the edges to the shared folder; no group of neighbours is
-    gathered: a node's smallest neighbour is a partial aggregate that is joined back to its edges.
+    The component is its smallest node. Each round writes the edges to the shared folder (by write) and deletes those of
+    the round before; no group of neighbours is gathered: a node's smallest neighbour is a partial aggregate that is
+    joined back to its edges. Rows with a null or with equal ends are no edges.
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
-    now = materialize(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where((a != b)).distinct())
+    now = write(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where((a != b)).distinct())
     before = _state(now)
     for _ in range(max_rounds):
         if not before[0]:
@@ -30,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = now.join(least, now["lo"] == least["u"]).select("hi", F.col("m").alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
         least = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = large.join(least, large["hi"] == least["u"]).where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = materialize(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
+        new = write(small.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
         after = _state(new)
         drop_written(now.sparkSession, now)
         now = new

@@ -2,14 +2,20 @@
 
 Digests of normalised texts are dealt out to shards by their own bits. Each shard keeps a cuckoo filter (four
 fingerprints of 16 bits a bucket, partial-key alternate buckets) whose slots point at the stored keys: a filter miss
-proves that a digest is new, a hit is verified against the full digests stored for that bucket. A failed insertion
-(too many displacements) doubles the table and rebuilds it from the stored keys. Digests can be deleted.
+proves that a digest is new, a hit is verified against the full SHA-256 digests stored for that bucket (the content's
+digest stands for the content). A failed insertion (too many displacements) doubles the table and rebuilds it from the
+stored keys. Digests can be deleted.
 
 A text that holds a third of all rows is no hot spot: every task first runs its rows through an index of its own and
-passes on one row for each digest, so a shard sees a digest at most once from each task. Texts are never shuffled.
+passes on one row for each digest, so a shard sees a digest at most once from each task. A shard reads its digests in
+order and hands its index on whenever it holds ``shard_limit`` digests, so its memory does not grow with the input.
+Each text is read and digested once; texts are never shuffled.
 
 Null texts count as empty, and empty texts equal each other. Among equal texts the largest doc_id stays; a null doc_id
-is smaller than any other. Rows that repeat a doc_id and text are the same document and are kept or dropped together.
+is smaller than any other. Rows that repeat a doc_id and text are the same document: ``duplicate_groups`` marks all of
+them alike, ``deduplicated`` returns one of them. Texts of any length are digested as wholes inside the JVM. An empty
+table gives an empty table. Columns of docs may have any names: a column of ``keep`` that is named like a result comes
+back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, packed, unpacked
+from ._common import ascii_lower, bounded, kept_names, materialize, packed, unpacked
 
 SLOTS = 4
 NO_ID = np.iinfo(np.int64).min
@@ -47,9 +53,9 @@ class CuckooIndex:
         self.entries = np.full((buckets, SLOTS), -1, np.int64)
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprint (never 0) and first bucket."""
+        """Fingerprint (never 0) and first bucket. The bytes that order digests come first, so neither is made of those."""
         prints = np.maximum(keys[:, 1] >> np.uint64(48), np.uint64(1)).astype(np.uint16)
-        return prints, (keys[:, 0] & np.uint64(self.buckets - 1)).astype(np.int64)
+        return prints, (keys[:, 2] & np.uint64(self.buckets - 1)).astype(np.int64)
 
     def _other(self, prints: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         step = (prints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
@@ -152,6 +158,14 @@ class CuckooIndex:
         if (gone := self.counts[entry] <= 0).any():
             self.delete(distinct[gone])
 
+    def take(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes one key out: its key, id and count, or none of each if it is not there."""
+        entry = self.find(key)
+        entry = entry[entry >= 0]
+        held = self.keys[entry].copy(), self.ids[entry].copy(), self.counts[entry].copy()
+        self.delete(key)
+        return held
+
     def rows(self) -> pa.RecordBatch:
         """What the index holds: digest, keep_id, group_size."""
         live = np.setdiff1d(np.arange(self.used), self.free)
@@ -161,10 +175,15 @@ class CuckooIndex:
 
 
 SCHEMA = "digest binary, keep_id long, group_size long"
+#: Digests that an index holds at most before it is handed on (some 100 bytes each).
+TASK_LIMIT, SHARD_LIMIT = 500_000, 1_000_000
+
 
+def _indexed(limit: int, ordered: bool = False):
+    """A mapInArrow function: rows of digest, keep_id, group_size through an index.
 
-def _indexed(limit: int | None):
-    """A mapInArrow function: rows of digest, keep_id, group_size through an index. With a limit it passes on what it holds and begins anew whenever it holds more digests."""
+    Beyond limit it passes on what it holds and begins anew; of ordered rows all but the last digest, which may go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
@@ -174,54 +193,93 @@ def _indexed(limit: int | None):
             digest = batch.column("digest").cast(pa.binary(32))
             keys = np.frombuffer(digest.buffers()[1], np.uint64).reshape(-1, 4)[digest.offset : digest.offset + len(digest)]
             index.add(keys, batch.column("keep_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), batch.column("group_size").to_numpy(zero_copy_only=False))
-            if limit is not None and len(index) > limit:
+            if len(index) > limit:
+                held = index.take(keys[-1:]) if ordered else None
                 yield index.rows()
                 index = CuckooIndex()
+                if held is not None and len(held[0]):
+                    index.add(*held)
         yield index.rows()
 
     return run
 
 
+def _merged(rows: DataFrame, shard_limit: int) -> DataFrame:
+    """One row for each digest. Of a digest what adds comes before what takes away."""
+    return rows.repartition("digest").sortWithinPartitions("digest", F.col("group_size").desc()).mapInArrow(_indexed(shard_limit, ordered=True), SCHEMA)
+
+
 def text_digest(text: str):
-    """SHA-256 (hex) of the text with A-Z lower-cased, null as empty."""
-    return F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")), 256)
+    """SHA-256 of the text with A-Z lower-cased, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")), 256))
 
 
-def digest_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", task_limit: int = 500_000) -> DataFrame:
+def _index(keyed: DataFrame, task_limit: int, shard_limit: int) -> DataFrame:
+    """The index of rows of digest and id."""
+    rows = keyed.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return _merged(rows.mapInArrow(_indexed(task_limit), SCHEMA), shard_limit)
+
+
+def digest_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", task_limit: int = TASK_LIMIT, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """The live digests of docs: digest, keep_id (largest doc_id), group_size. One shuffle, of one short row for each digest and task."""
-    rows = docs.select(F.unhex(text_digest(text)).alias("digest"), F.col(doc_id).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_indexed(task_limit), SCHEMA).repartition("digest").mapInArrow(_indexed(None), SCHEMA)
+    return _index(docs.select(text_digest(text).alias("digest"), F.col(doc_id).cast("long").alias("id")), task_limit, shard_limit)
 
 
-def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame, live: DataFrame, text: str = "text", doc_id: str = "doc_id", task_limit: int = TASK_LIMIT, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """The index after inserting and deleting documents. Digests without live documents leave it.
 
-    Counts stay exact; keep_id is the largest id ever seen of a live digest, as deleted ids are not looked up in the
-    remaining documents.
+    live are the documents that remain. They are read only for digests whose kept document was deleted, whose keep_id
+    becomes the largest doc_id that remains.
     """
-    added = digest_index(inserted, text, doc_id)
-    gone = digest_index(deleted, text, doc_id).select("digest", F.lit(None).cast("long").alias("keep_id"), (-F.col("group_size")).alias("group_size"))
-    combined = index.select("digest", "keep_id", "group_size").unionByName(added).unionByName(gone)
-    return combined.repartition("digest").sortWithinPartitions(F.col("group_size").desc()).mapInArrow(_indexed(None), SCHEMA)
+    added = digest_index(inserted, text, doc_id, task_limit, shard_limit)
+    gone = materialize(digest_index(deleted, text, doc_id, task_limit, shard_limit))
+    combined = index.select("digest", "keep_id", "group_size").unionByName(added).unionByName(gone.select("digest", F.lit(None).cast("long").alias("keep_id"), (-F.col("group_size")).alias("group_size")))
+    merged = materialize(_merged(combined, shard_limit))
+    lost = merged.join(gone.select("digest", F.col("keep_id").alias("gone_id")), "digest").where(F.col("keep_id").isNull() | (F.col("gone_id") >= F.col("keep_id"))).select("digest")
+    lost = materialize(lost)
+    rest = live.select(text_digest(text).alias("digest"), F.col(doc_id).cast("long").alias("id")).join(bounded(lost), "digest", "left_semi")
+    found = rest.groupBy("digest").agg(F.max("id").alias("id"))
+    settled = lost.join(found, "digest", "left").select(F.col("digest").alias("d"), F.lit(True).alias("lost"), "id")
+    both = merged.join(settled, F.col("digest") == F.col("d"), "left")
+    return both.select("digest", F.when(F.col("lost"), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size")
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str, **columns) -> DataFrame:
+    """digest, id and further columns of docs, written: texts are read and digested once."""
+    return materialize(docs.select(text_digest(text).alias("digest"), F.col(doc_id).cast("long").alias("id"), *(c.alias(n) for n, c in columns.items())))
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, the columns of keep, keep_id, group_size, kept, text_sha256."""
-    index = digest_index(docs, text, doc_id)
-    rows = docs.select(F.col(doc_id).alias("_id"), *(F.col(c).alias(f"_kept_{c}") for c in keep), text_digest(text).alias("_sha"), F.unhex(text_digest(text)).alias("_digest"))
-    joined = rows.join(index.withColumnRenamed("digest", "_index_digest"), F.col("_digest") == F.col("_index_digest"))
+    names = kept_names([c for c in keep if c != doc_id], (doc_id, "keep_id", "group_size", "kept", "text_sha256"))
+    keyed = _keyed(docs, text, doc_id, doc=F.col(doc_id), own=F.struct(*(F.col(c).alias(n) for c, n in names.items())) if names else F.lit(0))
+    index = _index(keyed, TASK_LIMIT, SHARD_LIMIT)
+    joined = keyed.join(index, "digest")
     return joined.select(
-        F.col("_id").alias(doc_id), *(F.col(f"_kept_{c}").alias(c) for c in keep if c != doc_id), "keep_id", "group_size",
-        F.col("_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"),
+        F.col("doc").alias(doc_id), *(F.col("own").getField(n).alias(n) for n in names.values()), "keep_id", "group_size",
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text one stays.
 
-    The kept ids are found from digests alone; the texts are joined once, on (doc_id, digest).
+    Which rows go is found from digests alone. The ids that go are broadcast where they are few (``bounded``); beyond
+    that the texts meet them in a join. Only ids that occur in several rows are looked at by text.
     """
-    index = digest_index(docs, text, doc_id)
-    marked = packed(docs, own_digest=F.unhex(text_digest(text)), own_id=F.col(doc_id).cast("long"))
-    same = (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
-    return unpacked(marked.join(index, same, "left_semi"))
+    keyed = _keyed(docs, text, doc_id)
+    index = _index(keyed, TASK_LIMIT, SHARD_LIMIT)
+    marked = keyed.join(index, "digest").groupBy("id").agg(
+        F.count("*").alias("rows"), F.max(F.col("id").eqNullSafe(F.col("keep_id"))).alias("some"), F.min(F.col("id").eqNullSafe(F.col("keep_id"))).alias("all"),
+    )
+    # an id is plain if it has one row: that stays or goes with its id
+    odd = materialize(marked.where(~F.col("all") | (F.col("rows") > 1)).select("id", (F.col("some") & (F.col("rows") > 1)).alias("mixed")))
+    rows = packed(docs, own_id=F.col(doc_id).cast("long"), own_text=F.col(text))
+    flagged = rows.join(bounded(odd), F.col("own_id").eqNullSafe(F.col("id")), "left").select("row", "own_id", "own_text", "mixed")
+    plain = flagged.where(F.col("mixed").isNull()).select("row")
+    if odd.where("mixed").isEmpty():
+        return unpacked(plain)
+    mixed = flagged.where(F.col("mixed")).select("row", "own_id", text_digest("own_text").alias("own_digest"))
+    wanted = index.join(odd.where("mixed"), F.col("keep_id").eqNullSafe(F.col("id")), "left_semi").select("digest", "keep_id")
+    first = mixed.join(wanted, (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["own_id", "own_digest"]).select("row")
+    return unpacked(plain.unionByName(first))

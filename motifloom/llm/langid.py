@@ -2,12 +2,14 @@
 
 Training counts hashed n-grams of one to three characters for each language over a bounded, hash-chosen sample of
 labelled rows (``max_docs_per_label``, stratified, about that many at most; a language with fewer rows gives them all).
-The matrix of log probabilities (buckets x languages; its size is checked) is broadcast, and each batch of texts is
+The matrix of log probabilities (buckets x languages; its bytes are checked) is broadcast, and each batch of texts is
 scored as a sparse product: the rows of the matrix at the n-grams of a text, summed. The posterior is the score.
 
 Text that is null or has no letter is `und` with score 0. Upper and lower case count alike, other characters than
 letters as a blank. Equal posteriors go to the language that sorts first. With nothing to learn from, all rows are
-`und`. Whole texts are scored, long ones in segments that overlap by the n-gram length.
+`und`. Whole texts are scored, long ones in segments that overlap by the n-gram length. Repeated rows give repeated
+rows, and count as often as they occur in learning; an empty table gives an empty table. A column of keep that is named
+like a result comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, packed, unpacked
+from ._common import blocks, packed, unpacked, with_results
 
 ORDERS = (1, 2, 3)
 SEGMENT = 1 << 18
@@ -84,12 +86,13 @@ def hashed(parts: list[str], starts: list[int], buckets: int) -> tuple[np.ndarra
     return out, begins, np.logical_or.reduceat(letter, begins)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", buckets: int = 1 << 16, max_docs_per_label: int = 4000, max_labels: int = 256, smoothing: float = 0.5) -> LanguageModel:
-    """Learns from the rows of labelled with a label. The model has max_labels x buckets weights at most."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", buckets: int = 1 << 16, max_docs_per_label: int = 4000, max_model_bytes: int = 32 << 20, smoothing: float = 0.5) -> LanguageModel:
+    """Learns from the rows of labelled with a label. A matrix of labels x buckets beyond max_model_bytes is refused; it bounds what the driver gathers and what is broadcast."""
+    max_labels = max_model_bytes // (4 * buckets)
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(doc_id).cast("string")).alias("h")).where(F.col("label").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(max_labels + 1).collect()}
     if len(sizes) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+        raise ValueError(f"more than {max_labels} labels: their matrix would pass {max_model_bytes} bytes")
     labels = tuple(sorted(sizes))
     if not labels:
         return LanguageModel((), np.zeros((buckets + 1, 0), np.float32), np.zeros(0))
@@ -98,17 +101,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: st
     sample = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("label")]).select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(labels), buckets + 1), np.int64)
+        seen: dict[int, np.ndarray] = {}  # counts of the labels that this task meets
         for batch in batches:
             own, at = np.array([index[x] for x in batch.column("label").to_pylist()], np.int64), 0
             for block in blocks((x.as_py() for x in batch.column("text")), SEGMENT):
                 for owner, parts, starts in _segments(block):
                     grams, begins, _ = hashed(parts, starts, buckets)
                     which = np.repeat(own[at + np.array(owner)], np.diff(np.append(begins, grams.shape[1])))
-                    total += np.bincount((which * (buckets + 1) + grams).ravel(), minlength=total.size).reshape(total.shape)
+                    for kind in np.unique(which).tolist():
+                        n = np.bincount(grams[:, which == kind].ravel(), minlength=buckets + 1)
+                        seen[kind] = seen[kind] + n if kind in seen else n
                 at += len(block)
-        kind, bucket = np.nonzero(total[:, :buckets])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket), pa.array(total[kind, bucket])], names=["kind", "bucket", "n"])
+        for kind, total in sorted(seen.items()):
+            bucket = np.flatnonzero(total[:buckets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), kind)), pa.array(bucket), pa.array(total[bucket])], names=["kind", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((buckets, len(labels)))
@@ -159,8 +165,7 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of docs with the columns of keep, lang_pred and score."""
-    rows = docs.select(*keep, predicted(F.col(text), model, docs.sparkSession).alias("_language"))
-    return rows.select(*keep, F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
+    return with_results(docs, keep, predicted(F.col(text), model, docs.sparkSession), (f.name for f in RESULT))
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:

@@ -16,21 +16,27 @@ Chunks are folded from their largest documents down, which leaves a small one la
 All draws are hashes of the seed, the level and the two ids: reruns agree and do not depend on partitioning. No source
 is ever gathered in one task: chunks are dealt by a hash of the id, also in the largest source.
 
-Null texts have size 0. Documents of size 0 are never taken. A null source is a source of its own, ordered last. Rows
-that repeat (source, doc_id, size) share one draw, weighted by their number.
+Null texts have size 0. Documents of size 0 are never taken. A null source is a source of its own, ordered last; sources
+that tie in capacity over weight are ordered by name. Rows that repeat (source, doc_id, size) share one draw, weighted by
+their number. Texts of any length are counted as wholes inside the JVM. An empty table gives an empty table; further
+columns of docs may have any names. Of the folders that a call writes one is left, which the result reads.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_PATTERN, materialize, packed, unpacked
+from ._common import BROADCAST_ROWS, WORD_PATTERN, bounded, materialize, packed, scratch, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: A chunk is a hash bucket; its number of rows spreads like a Poisson variable around this mean.
 CHUNK = 512
+#: The running sums over sources are one task's work.
+MAX_SOURCES = 1_000_000
 
 
 def text_size(text: str) -> Column:
@@ -39,11 +45,16 @@ def text_size(text: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """From rows of source and size: source, n_docs, source_size, target, rate.
+    """From rows of source and size: source, n_docs, source_size, target, rate."""
+    return _targets(source_totals(sizes), weights, max_copies)
 
-    The table has a row for each source; the windows run over that table, not over documents.
-    """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs"))
+
+def source_totals(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs"))
+
+
+def _targets(totals: DataFrame, weights: tuple[float, ...], max_copies: int) -> DataFrame:
+    """The windows run over the table of totals, a row for each source, not over documents."""
     at = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (at + 1).cast("int"))
     capacity = F.col("source_size") * F.lit(float(max_copies))
@@ -90,7 +101,7 @@ def _fold(rows: Column, level: int, seed: int) -> Column:
     return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.struct(rows[0].alias("carry"), none.alias("done")), step)
 
 
-def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK, write: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Rounds units (source, id string, w > 0, p in (0, 1), n: at least the units of its source): source, id, extra (0 or 1).
 
     n_units is the largest n; it sets the height of the tree. About `chunk` units of each source, chosen by hash, wait
@@ -110,7 +121,7 @@ def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK) -
         order = F.struct((-F.col("w")).alias("o"), F.xxhash64(F.lit(seed), "id").alias("h"), "id", "w", "p")
         rows = F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["id"].alias("id"), x["w"].alias("w"), x["p"].alias("p")))
         folded = dealt.groupBy("source", "chunk").agg(rows.alias("rows"), F.max("n").alias("n"))
-        folded = materialize(folded.select("source", "n", _fold(F.col("rows"), level, seed).alias("f")))
+        folded = write(folded.select("source", "n", _fold(F.col("rows"), level, seed).alias("f")))
         decided.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.extra"))
         units = folded.select("source", "f.carry.id", "f.carry.w", "f.carry.p", "n")
         if last:
@@ -126,22 +137,44 @@ def rounded(units: DataFrame, n_units: int, seed: int = 0, chunk: int = CHUNK) -
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """For each row of docs: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
-    sized = materialize(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("source"), text_size(text).alias("size")))
-    targets = materialize(source_targets(sized, weights, max_copies))
+    with scratch(docs.sparkSession) as keep:
+        return materialize(_mixed(docs, text, doc_id, source, weights, max_copies, seed, chunk, keep))
+
+
+def _mixed(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple[float, ...], max_copies: int, seed: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    sized = keep(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("source"), text_size(text).alias("size")))
+    totals = keep(source_totals(sized))
+    if totals.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    targets = keep(_targets(totals, weights, max_copies))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     rows = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     key = F.concat_ws("/", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
     rows = rows.withColumn("_key", key).withColumn("_whole", F.floor("rate")).withColumn("_part", F.col("rate") - F.floor("rate"))
     units = rows.where((F.col("size") > 0) & (F.col("_part") > 0)).groupBy("source", F.col("_key").alias("id")).agg(F.sum("size").cast("double").alias("w"), F.max("_part").alias("p"), F.max("n_docs").alias("n"))
-    extra = rounded(units, largest, seed, chunk).select(F.col("source").alias("_s"), F.col("id").alias("_k"), "extra")
+    extra = rounded(units, largest, seed, chunk, keep).select(F.col("source").alias("_s"), F.col("id").alias("_k"), "extra")
     found = rows.join(extra, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")), "left")
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
     return found.select(F.col("_id").alias(doc_id), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def resampled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns. Rows that are taken 0 times go."""
-    copies = mixed(docs, text, doc_id, source, **options).where(F.col("copies") > 0).groupBy(F.col(doc_id).alias("id2"), F.col("source").alias("source2"), F.col("size").alias("size2")).agg(F.max("copies").cast("int").alias("n"))
-    sized = packed(docs, id1=F.col(doc_id), source1=F.col(source), size1=text_size(text))
-    same = F.col("id1").eqNullSafe(F.col("id2")) & F.col("source1").eqNullSafe(F.col("source2")) & (F.col("size1") == F.col("size2"))
-    return unpacked(sized.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))))
+    """The rows of docs, each as often as the mix takes it, with all their columns. Rows that are taken 0 times go.
+
+    The copies of each document are broadcast to the texts where they are few; beyond that the texts meet them in a join.
+    Words are counted again only for documents that share id and source but not the size.
+    """
+    taken = mixed(docs, text, doc_id, source, **options)
+    copies = taken.groupBy(F.col(doc_id).alias("id2"), F.col("source").alias("source2")).agg(F.max("copies").cast("int").alias("n"), (F.min("size") != F.max("size")).alias("several"))
+    copies = materialize(copies.where(F.col("n") > 0))
+    rows = packed(docs, id1=F.col(doc_id), source1=F.col(source), text1=F.col(text))
+    same = F.col("id1").eqNullSafe(F.col("id2")) & F.col("source1").eqNullSafe(F.col("source2"))
+    met = rows.join(bounded(copies, BROADCAST_ROWS // 2), same)
+    repeat = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")
+    plain = met.where(~F.col("several")).select("row", repeat).select("row")
+    if copies.where("several").isEmpty():
+        return unpacked(plain)
+    by_size = taken.where(F.col("copies") > 0).groupBy(F.col(doc_id).alias("id3"), F.col("source").alias("source3"), F.col("size").alias("size3")).agg(F.max("copies").cast("int").alias("n"))
+    odd = met.where("several").select("row", "id1", "source1", text_size("text1").alias("size1"))
+    same = F.col("id1").eqNullSafe(F.col("id3")) & F.col("source1").eqNullSafe(F.col("source3")) & (F.col("size1") == F.col("size3"))
+    return unpacked(plain.unionByName(odd.join(by_size, same).select("row", repeat).select("row")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, with_results
 
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, REST = range(7)
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
@@ -230,15 +230,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray, ri
     return float(beta[0]), tuple(float(b) for b in beta[1:])
 
 
+RESULT = pa.struct([("score", pa.float64()), ("predicted", pa.int32())])
+
+
 def scored(text: Column, grammar: Grammar) -> Column:
-    @F.arrow_udf("double")
+    """A struct of score and predicted."""
+
+    @F.arrow_udf("score double, predicted int")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([grammar.score(x.as_py() or "") for x in batch], pa.float64())
+            found = [grammar.score(x.as_py() or "") for x in batch]
+            yield pa.StructArray.from_arrays([pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())], fields=list(RESULT))
 
     return score(text)
 
 
 def toxicity(docs: DataFrame, grammar: Grammar, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of docs with the columns of keep, score and predicted (1 if score >= 0.5)."""
-    return docs.select(*keep, scored(F.col(text), grammar).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_results(docs, keep, scored(F.col(text), grammar), (f.name for f in RESULT))

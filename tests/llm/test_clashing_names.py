@@ -1,0 +1,76 @@
+"""Columns that are named like results, kept and carried through all ten operators, with nulls, repeats and empty tables."""
+
+import public_tokenizers as tokenizers_of
+import pytest
+from pyspark.sql import functions as F
+
+from motifloom.llm import bpe_counts, bpe_tree, chat, cuckoo, fertility, langid, license_scan, minhash, mixing, toxicity
+from motifloom.llm._common import kept_names
+
+RANKS = tokenizers_of.path("byte_bpe_multi_50k.tiktoken")
+KEEPING = {
+    "langid": (lambda d, k: langid.predict(d, langid.fit(d), keep=k), ("lang_pred", "score")),
+    "fertility": (lambda d, k: fertility.quality(d, (RANKS,), keep=k), tuple(f.name for f in fertility.MEASURED)),
+    "cuckoo": (lambda d, k: cuckoo.duplicate_groups(d, keep=k), ("keep_id", "group_size", "kept", "text_sha256")),
+    "bpe_documents": (lambda d, k: bpe_tree.encode_documents(d, RANKS, keep=k), ("ids", "decoded")),
+    "bpe_digests": (lambda d, k: bpe_tree.encoding_digests(d, RANKS, keep=k), ("n_tokens", "ids_sha256", "decoded_sha256")),
+    "toxicity": (lambda d, k: toxicity.toxicity(d, toxicity.Grammar({}), keep=k), ("score", "predicted")),
+    "counts": (lambda d, k: bpe_counts.token_counts(d, tokenizers_of.path("byte_bpe_50k.json"), keep=k), ("n_bytes", "n_tokens", "over_limit")),
+}
+#: Operators that pass no columns on: whatever docs has beside its own must not disturb them.
+OTHERS = {
+    "minhash": (lambda d: minhash.near_duplicates(d), ("n_shingles", "component_id", "kept")),
+    "licenses": (lambda d: license_scan.scan(d), ("license", "dice", "n_matches")),
+    "mixing": (lambda d: mixing.mixed(d), ("size", "source_size", "target", "copies", "taken")),
+    "chat": (lambda d: chat.read_back(chat.formatted_turns(d.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(1), "role": F.lit("user")}), RANKS), RANKS), ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")),
+}
+ROWS = [(1, "some words to read", "en", "s"), (1, "some words to read", "en", "s"), (2, None, None, None), (None, "", "fr", "t"), (4, "quelques mots à lire", "fr", "t")]
+
+
+def table(spark, results, **more):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    own = {"doc_id", "text", "lang", "source"}
+    return df.withColumns({n: F.lit(f"own {n}") for n in (*results, "made", "row", "id", "digest", "_made", "rep", "key", "_id") if n not in own})
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_kept(name, spark, tmp_path):
+    run, results = KEEPING[name]
+    df = table(spark, results)
+    keep = tuple(c for c in df.columns if c != "lang")
+    found = run(df, keep)
+    assert len({c.lower() for c in found.columns}) == len(found.columns)
+    assert {f"{r}_in" for r in results} | set(results) | {"doc_id", "text"} <= set(found.columns)
+    rows = found.collect()
+    assert len(rows) == len(ROWS)
+    assert all(r[f"{c}_in"] == f"own {c}" for r in rows for c in results)
+    found.write.parquet(str(tmp_path / "out"))
+    assert run(df.where("false"), keep).count() == 0
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_carried(name, spark, tmp_path):
+    run, results = OTHERS[name]
+    df = table(spark, results)
+    found = run(df)
+    assert set(results) <= set(found.columns)
+    plain = run(df.select("doc_id", "text", "lang", "source"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    found.write.parquet(str(tmp_path / "out"))
+    assert run(df.where("false")).count() == 0
+
+
+def test_all_null(spark):
+    """A table whose columns are null throughout."""
+    df = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, lang string, source string")
+    for run, results in KEEPING.values():
+        assert run(df, ("doc_id", "source")).count() == 3
+    for name, (run, results) in OTHERS.items():
+        assert run(df).count() == (1 if name == "chat" else 3)
+    assert cuckoo.deduplicated(df).count() == 1
+    assert minhash.representatives(df).count() == 3
+    assert mixing.resampled(df).count() == 0
+
+
+def test_kept_names():
+    assert kept_names(("a", "Score", "score_in", "a"), ("score",)) == {"a": "a", "Score": "Score_in", "score_in": "score_in_in"}

@@ -49,7 +49,7 @@ def test_index_operations():
 def test_equal_fingerprints_are_verified():
     base = np.array([[5, 7 << 48, 1, 1]], np.uint64)
     same = np.repeat(base, 40, axis=0)
-    same[:, 2] = np.arange(40)
+    same[:, 3] = np.arange(40)
     index = cuckoo.CuckooIndex()
     index.add(same[:8], np.arange(8), np.ones(8, np.int64))
     assert (index.find(same[:8]) >= 0).all() and (index.find(same[8:]) < 0).all()
@@ -79,13 +79,50 @@ def test_small_tasks_and_hot_text(spark):
     assert index.orderBy(F.desc("group_size")).first()["keep_id"] == 2997
 
 
+def test_small_shards(spark):
+    """Shards that hand on their index at every few digests give the same index, also where deletions come in."""
+    df = spark.range(4000).select((F.col("id") % 900).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
+    rows = [sorted(map(tuple, cuckoo.digest_index(df, task_limit=t, shard_limit=s).collect())) for t, s in ((7, 5), (10**6, 10**6))]
+    assert rows[0] == rows[1] and len(rows[0]) == 700
+    gone = df.where("doc_id % 2 = 0")
+    live = df.where("doc_id % 2 = 1")
+    left = [cuckoo.update_index(cuckoo.digest_index(df), df.where("false"), gone, live, task_limit=t, shard_limit=s) for t, s in ((7, 5), (10**6, 10**6))]
+    expected = sorted(map(tuple, cuckoo.digest_index(live).collect()))
+    assert [sorted(map(tuple, x.collect())) for x in left] == [expected, expected]
+
+
 def test_index_updates(spark):
     make = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
     index = cuckoo.digest_index(make((1, "a"), (2, "A"), (3, "b")))
-    index = cuckoo.update_index(index, make((4, "c"), (5, "b")), make((1, "a"), (2, "a"), (3, "B")))
+    index = cuckoo.update_index(index, make((4, "c"), (5, "b")), make((1, "a"), (2, "a"), (3, "B")), make((4, "c"), (5, "b")))
     assert sorted((r["keep_id"], r["group_size"]) for r in index.collect()) == [(4, 1), (5, 1)]
 
 
+def test_deleting_the_kept_document(spark):
+    """keep_id names a document that remains, and the group survives deduplication of what remains."""
+    make = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    live = make((1, "a"), (4, "c"), (None, "n"))
+    index = cuckoo.digest_index(make((1, "a"), (2, "a"), (3, "a"), (4, "c"), (9, "N"), (None, "n")))
+    index = cuckoo.update_index(index, make(), make((2, "A"), (3, "a"), (9, "n")), live)
+    assert sorted(((r["keep_id"], r["group_size"]) for r in index.collect()), key=str) == [(1, 1), (4, 1), (None, 1)]
+    assert sorted((r["doc_id"] for r in cuckoo.deduplicated(live).collect()), key=str) == [1, 4, None]
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (1, "b", 0), (2, "b", 0), (2, "A", 0), (3, "c", 0), (None, "z", 0), (None, "Z", 0)], "doc_id long, text string, digest int")
+    kept = cuckoo.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in kept.collect()), key=str) == sorted([(2, "a"), (2, "b"), (3, "c"), (None, "z")], key=str)
+    groups = cuckoo.duplicate_groups(df, keep=("digest", "text")).collect()
+    assert sorted((r["text"].lower(), r["group_size"]) for r in groups) == [("a", 3)] * 3 + [("b", 2)] * 2 + [("c", 1)] + [("z", 2)] * 2
+
+
+def test_many_ids_are_joined_without_a_broadcast(spark, docs, monkeypatch):
+    few = sorted(r["doc_id"] for r in cuckoo.deduplicated(docs).collect())
+    monkeypatch.setattr(cuckoo, "bounded", lambda ids: ids)
+    assert sorted(r["doc_id"] for r in cuckoo.deduplicated(docs).collect()) == few
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
 
@@ -184,3 +221,47 @@ def test_connected_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["component"] for r in components.connected_components(df).collect()} == {x: find(x) for x in list(parent)}
     assert components.connected_components(df.where("a = b")).count() == 0
+
+
+def test_plans():
+    """The default is 36 bands of 5; all thresholds keep the stated miss probabilities."""
+    assert (minhash.plan(0.8).bands, minhash.plan(0.8).rows) == (36, 5)
+    for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0):
+        p = minhash.plan(t)
+        assert (1 - t**p.rows) ** p.bands <= minhash.MISS * 1.01 and 0 <= p.most_bits <= p.minima
+    with pytest.raises(ValueError, match="threshold"):
+        minhash.plan(0.1)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7])
+def test_lower_thresholds(spark, threshold):
+    """No link is lost: all components equal those of comparing all pairs."""
+    rng = random.Random(int(100 * threshold))
+    texts = {}
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(20, 80))]
+        for k in range(12):
+            words = base[:]
+            for _ in range(rng.randint(0, len(base) // 5)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            texts[group * 12 + k] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, words=3, threshold=threshold).collect()}
+    expected = brute(texts, 3, round(100 * threshold))
+    assert len({c for _, c in expected.values()}) < len(texts)
+    assert got == expected
+
+
+def test_one_folder_is_left(spark, docs):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    minhash.near_duplicates(docs).count()
+    assert len(set(os.listdir(base)) - before) == 1
+
+
+def test_candidates_without_a_broadcast(spark, docs, monkeypatch):
+    few = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "bounded", lambda ids: ids)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == few

@@ -121,7 +121,7 @@ def test_language_edge_cases(odd, empty, docs):
     kept = langid.identified(odd, model)
     assert kept.columns == odd.columns and 0 not in {r["doc_id"] for r in kept.collect()}
     with pytest.raises(ValueError, match="labels"):
-        langid.fit(odd.withColumn("lang", F.col("doc_id").cast("string")), max_labels=3)
+        langid.fit(odd.withColumn("lang", F.col("doc_id").cast("string")), max_model_bytes=3 * 4 << 16)
 
 
 def test_segments_score_like_the_whole(docs, monkeypatch):
