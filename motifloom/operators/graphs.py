@@ -1,12 +1,15 @@
 """Frequent connected subgraphs of labelled, undirected graph transactions.
 
 Edges come as rows (gid, u, v, lu, lv, el): vertex ids, vertex labels and edge label, in one direction or both. The state
-of the level loop is one row for each embedding of a code in a graph: the vertices that the code's vertices are mapped to,
-their labels and the edges used. A code grows along its right-most path only: each embedding meets the edges of its graph
-at the path's vertices in one equi-join on (gid, vertex), with the label bounds of gSpan (Yan and Han, 2002) as residual
-conditions. Support counts graphs, not embeddings; codes that are not canonical are dropped, so a pattern is found once.
-
-Patterns have one edge or more, and one edge at most between two vertices. Exact repeats of an edge count once.
+of the level loop is one row for each embedding of a code in a graph: the vertices that the code's vertices are mapped to
+and the edges used. A code grows along its right-most path only. What the growth of a code may look like (where edges
+start, which labels they may have) depends on the code alone, so it is worked out once a code and joined by its number;
+each embedding then meets the edges of its graph at the path's vertices in one equi-join on (gid, vertex), with the label
+bounds of gSpan (Yan and Han, 2002) as residual conditions. Support counts graphs, not embeddings; codes that are not
+canonical are dropped, so a pattern is found once.
+
+Patterns have one edge or more. Edges of different labels between two vertices are edges of their own; exact repeats of
+an edge count once, and edges from a vertex to itself are left out.
 """
 
 from __future__ import annotations
@@ -18,9 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions import dfscode, render
+from motifloom.operators import prune
 from motifloom.plans.framework import mine
+from motifloom.sources import text
 
-CODE = "array<struct<f:int,t:int,lf:int,le:int,lt:int>>"
+#: Of one code: the place `at` from which an edge may go, whether that is the last vertex, the least label of new
+#: vertices, the bound (edge label, vertex label) of forward edges, and for the last vertex the bounds of backward edges
+#: by target (null where there is none).
+PLACES = "array<struct<at:int,last:boolean,least:int,el:int,lv:int,back:array<struct<el:int,open:boolean>>>>"
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -34,21 +42,43 @@ def _edge(f: Column, t: Column, lf: Column, le: Column, lt: Column) -> Column:
     return F.struct(*(c.cast("int").alias(n) for c, n in ((f, "f"), (t, "t"), (lf, "lf"), (le, "le"), (lt, "lt"))))
 
 
-def _path(code: Column) -> Column:
-    """The forward edges of the right-most path, from the last vertex to the root."""
-    none = F.array().cast(CODE)
+def growth_places(code: list[dfscode.Edge]) -> list[dict]:
+    """Where a code may grow, in the form of PLACES.
+
+    From the last vertex a forward edge may have any labels; from an earlier vertex of the path it must not be less than
+    the path's edge there. A backward edge must not be less than the path's edge at its target.
+    """
+    labels, path = dfscode.labels(code), dfscode.rightmost_path(code)
+    last = path[-1]
+    forward = {t: (f, le) for f, t, _, le, _ in code if f < t}
+    back: list[dict | None] = [None] * len(labels)
+    places = []
+    for at, after in zip(path, path[1:], strict=False):
+        el = forward[after][1]
+        back[at] = {"el": el, "open": labels[after] <= labels[last]}
+        places.append({"at": at, "last": False, "least": labels[0], "el": el, "lv": labels[after], "back": None})
+    return [*places, {"at": last, "last": True, "least": labels[0], "el": None, "lv": None, "back": back}]
 
-    def step(state: Column, e: Column) -> Column:
-        on = (e["f"] < e["t"]) & ((F.size(state) == 0) | (F.element_at(state, -1)["f"] == e["t"]))
-        return F.when(on, F.concat(state, F.array(e))).otherwise(state)
 
-    return F.aggregate(F.reverse(code), none, step)
+def _codes(column: pa.Array) -> Iterator[list[dfscode.Edge]]:
+    return ([(e["f"], e["t"], e["lf"], e["le"], e["lt"]) for e in code] for code in column.to_pylist())
 
 
 class Subgraphs:
-    """The gSpan miner over symmetric edges (gid, u, v, lu, lv, el, eid). A delta is a code edge."""
+    """The gSpan miner over symmetric edges (gid, u, v, lu, lv, el, eid). A delta is a code edge.
+
+    For run(), a source is frames of graph blocks (text.read_graph_blocks): graphs are counted, edges of infrequent label
+    triples pruned, then mined.
+    """
+
+    def parse(self, blocks: DataFrame) -> DataFrame:
+        return text.parse_graph_blocks(blocks)
 
-    uses_pattern = True
+    def items(self, records: DataFrame) -> DataFrame:
+        return prune.label_edge_support(text.labelled_edges(*text.graph_tables(records)[1:]))
+
+    def encode(self, records: DataFrame, frequent: DataFrame) -> DataFrame:
+        return symmetric(prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent))
 
     def start(self, delta: Column) -> Column:
         return F.array(delta)
@@ -58,58 +88,65 @@ class Subgraphs:
 
     def root(self, db: DataFrame) -> DataFrame:
         edge = _edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv"))
-        return db.where(F.col("lu") <= F.col("lv")).select(
-            edge.alias("delta"), F.col("gid").alias("tran_id"), F.array("u", "v").alias("vertices"), F.array("lu", "lv").alias("labels"), F.array("eid").alias("used")
-        )
+        return db.where(F.col("lu") <= F.col("lv")).select(edge.alias("delta"), F.col("gid").alias("tran_id"), F.array("u", "v").alias("vertices"), F.array("eid").alias("used"))
+
+    def annotate(self, patterns: DataFrame) -> DataFrame:
+        """The places of each pattern, once a pattern."""
+
+        @F.arrow_udf(PLACES)
+        def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([growth_places(code) for code in _codes(batch)], _PLACES)
+
+        return patterns.withColumn("places", places(F.col("pattern")))
 
     def expand(self, projected: DataFrame, db: DataFrame) -> DataFrame:
-        p = projected.withColumn("path", _path(F.col("pattern")))
-        last = F.col("path")[0]["t"]
-        # where edges may start: the right-most vertex without bounds, the path's vertices with those of their path edge
-        end = F.array(F.struct(last.alias("at"), F.lit(True).alias("end"), F.lit(None).cast("int").alias("el"), F.lit(None).cast("int").alias("to_label")))
-        along = F.transform("path", lambda e: F.struct(e["f"].alias("at"), F.lit(False).alias("end"), e["le"].alias("el"), F.element_at("labels", e["t"] + 1).alias("to_label")))
-        p = p.withColumn("s", F.explode(F.concat(end, along))).withColumn("vertex", F.element_at("vertices", F.col("s.at") + 1))
+        p = projected.select("pid", "tran_id", "vertices", "used", F.explode("places").alias("s"))
+        p = p.withColumn("vertex", F.element_at("vertices", F.col("s.at") + 1))
         e = db.select(F.col("gid"), F.col("u"), F.col("v"), F.col("lv"), F.col("el"), F.col("eid"))
         g = p.join(e, (F.col("tran_id") == F.col("gid")) & (F.col("vertex") == F.col("u"))).where(~F.array_contains("used", F.col("eid")))
-        g = g.withColumn("target", F.array_position("vertices", F.col("v")).cast("int") - 1)
-        size = F.size("vertices")
-        bound = F.col("s.end") | (F.col("s.el") < F.col("el")) | ((F.col("s.el") == F.col("el")) & (F.col("s.to_label") <= F.col("lv")))
-        forward = (F.col("target") < 0) & (F.col("lv") >= F.col("labels")[0]) & bound
-        made_forward = _edge(F.col("s.at"), size, F.lit(-1), F.col("el"), F.col("lv"))
-        # backward: to a vertex of the path, whose path edge bounds the label; not beside an edge that is there
-        path_edge = F.get(F.filter("path", lambda x: x["f"] == F.col("target")), F.lit(0))
-        label_last = F.element_at("labels", last + 1)
-        low = (path_edge["le"] < F.col("el")) | ((path_edge["le"] == F.col("el")) & (F.element_at("labels", path_edge["t"] + 1) <= label_last))
-        beside = F.exists("pattern", lambda x: (F.least(x["f"], x["t"]) == F.least("target", last)) & (F.greatest(x["f"], x["t"]) == F.greatest("target", last)))
-        backward = F.col("s.end") & (F.col("target") >= 0) & path_edge.isNotNull() & ~beside & low
-        made_backward = _edge(last, F.col("target"), F.lit(-1), F.col("el"), F.lit(-1))
+        g = g.withColumn("target", F.array_position("vertices", F.col("v")).cast("int"))
+        bound = F.col("s.last") | (F.col("s.el") < F.col("el")) | ((F.col("s.el") == F.col("el")) & (F.col("s.lv") <= F.col("lv")))
+        forward = (F.col("target") == 0) & (F.col("lv") >= F.col("s.least")) & bound
+        back = F.get("s.back", F.col("target") - 1)
+        backward = (F.col("target") > 0) & F.col("s.last") & ((back["el"] < F.col("el")) | ((back["el"] == F.col("el")) & back["open"]))
         g = g.where(forward | backward)
-        is_new = F.col("target") < 0
+        is_new = F.col("target") == 0
+        made = _edge(F.col("s.at"), F.when(is_new, F.size("vertices")).otherwise(F.col("target") - 1), F.lit(-1), F.col("el"), F.when(is_new, F.col("lv")).otherwise(-1))
         return g.select(
             "pid",
-            F.when(is_new, made_forward).otherwise(made_backward).alias("delta"),
+            made.alias("delta"),
             "tran_id",
             F.when(is_new, F.concat("vertices", F.array("v"))).otherwise(F.col("vertices")).alias("vertices"),
-            F.when(is_new, F.concat("labels", F.array("lv"))).otherwise(F.col("labels")).alias("labels"),
             F.concat("used", F.array("eid")).alias("used"),
         )
 
-    def canonical(self, patterns: DataFrame) -> DataFrame:
+    def canonical(self, pattern: Column) -> Column:
         """Tests the distinct codes of a level, not their embeddings."""
 
         @F.arrow_udf("boolean")
         def least(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([dfscode.is_least([(e["f"], e["t"], e["lf"], e["le"], e["lt"]) for e in code]) for code in batch.to_pylist()], pa.bool_())
+                yield pa.array([dfscode.is_least(code) for code in _codes(batch)], pa.bool_())
 
-        return patterns.where(least(F.col("pattern"))).select("pattern")
+        return least(pattern)
 
     def render(self, pattern: Column) -> Column:
         return render.dfs_code(pattern)
 
 
+_PLACES = pa.list_(pa.struct([
+    ("at", pa.int32()), ("last", pa.bool_()), ("least", pa.int32()), ("el", pa.int32()), ("lv", pa.int32()),
+    ("back", pa.list_(pa.struct([("el", pa.int32()), ("open", pa.bool_())]))),
+]))
+
+
 def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_edges: int | None = None, directed: bool = False) -> DataFrame:
-    """(pattern, size, support): size in edges, pattern as its least DFS code. n_graphs counts graphs without edges too."""
+    """(pattern, size, support): size in edges, pattern as its least DFS code. n_graphs counts graphs without edges too.
+
+    Edges whose label triple is infrequent are pruned before mining.
+    """
     if directed:
         raise ValueError("directed graphs are not defined here")
-    return mine(Subgraphs(), symmetric(edges), n_graphs, threshold, max_edges)
+    kept = prune.prune_edges(edges, prune.label_edge_support(edges).where(F.col("support") >= n_graphs * threshold))
+    return mine(Subgraphs(), symmetric(kept), n_graphs, threshold, max_edges)

@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions import render
+from motifloom.plans.checkpoints import written
 
 NO_CAP = 2147483647
 
 
 def _mined(sequences: DataFrame, threshold: float) -> DataFrame:
+    # the miner passes over its input several times
+    sequences = written(sequences.select("sequence"))
     span = PrefixSpan(minSupport=threshold, maxPatternLength=NO_CAP, sequenceCol="sequence")
-    return span.findFrequentSequentialPatterns(sequences.select("sequence"))
+    return span.findFrequentSequentialPatterns(sequences)
 
 
 def frequent_item_sequences(records: DataFrame, threshold: float) -> DataFrame:

@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_NAME = re.compile("[0-9a-f]{32}")
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; a temporary folder where that is unset in local mode."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir; under a temporary folder where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "motifloom-levels")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and read back."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a frame that written() returned, once nothing reads it any more. Other frames are left alone."""
+    spark = df.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    if len(folders) != 1 or not _NAME.fullmatch((folder := folders.pop()).rsplit("/", 1)[-1]):
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from motifloom.functions import render
 from motifloom.operators import graphs, itemsets, partitions, projection, prune, sequences, support
 from motifloom.plans import framework, tree
-from motifloom.sources import tables, text
+from motifloom.plans.checkpoints import shared_folder, written
+from motifloom.sources import sinks, tables, text
 
-PRIORITY, BRAND, TYPE, GRAPH = 0.3, 0.005, 0.85, 0.05
+PRIORITY, BRAND, TYPE, GRAPH, LINES = 0.3, 0.005, 0.85, 0.05, 0.3
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,9 +58,27 @@ def order_graphs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
 
 
-def _n_graphs(spark: SparkSession, d: str) -> int:
-    """Orders with lines that meet their dimension tables: the graphs that order_graphs has."""
-    return order_graphs(spark, d).select("gid").distinct().count()
+def line_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A graph for each order, with a triangle for each line: order (vertex 0, label 0) - 0 - part (label 1) - 1 - supplier (10 + region) - 2 - order."""
+    lines, supplier, nation = (_table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
+    rows = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    o, p, s = F.lit(0).cast("long"), F.col("l_partkey") * 2 + 1, F.col("l_suppkey") * 2 + 2
+    region = F.lit(10) + F.col("n_regionkey")
+    edge = lambda u, v, lu, lv, el: F.struct(u.alias("u"), v.alias("v"), lu.cast("int").alias("lu"), lv.cast("int").alias("lv"), F.lit(el).alias("el"))
+    e = F.array(edge(o, p, F.lit(0), F.lit(1), 0), edge(p, s, F.lit(1), region, 1), edge(o, s, F.lit(0), region, 2))
+    return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
+
+
+def _n_graphs(edges: DataFrame) -> int:
+    """Orders with lines that meet their dimension tables: the graphs that have edges."""
+    return edges.select("gid").distinct().count()
+
+
+def _files(lines: DataFrame) -> str:
+    """The folder of part files that the lines (value) were written to."""
+    path = shared_folder(lines.sparkSession)
+    lines.select("value").write.text(path)
+    return path
 
 
 # --- queries --------------------------------------------------------------------------------------------------------
@@ -150,7 +169,9 @@ def graph_label_edge_support(spark, d):
 
 
 def graph_frequent_edges(spark, d):
-    return prune.label_edge_support(order_graphs(spark, d)).where(F.col("support") >= _n_graphs(spark, d) * GRAPH)
+    edges = order_graphs(spark, d)
+    n = edges.agg(F.countDistinct("gid").alias("n")).scalar()
+    return prune.label_edge_support(edges).where(F.col("support") >= n * GRAPH)
 
 
 def graph_pruned_edges(spark, d):
@@ -160,12 +181,50 @@ def graph_pruned_edges(spark, d):
 
 
 def graph_patterns_2edge(spark, d):
-    found = graphs.frequent_subgraphs(order_graphs(spark, d), _n_graphs(spark, d), GRAPH, max_edges=2)
-    return found
+    edges = written(order_graphs(spark, d))
+    return graphs.frequent_subgraphs(edges, _n_graphs(edges), GRAPH, max_edges=2)
 
 
 def graph_patterns(spark, d):
-    return graphs.frequent_subgraphs(order_graphs(spark, d), _n_graphs(spark, d), 0.1, max_edges=3)
+    edges = written(order_graphs(spark, d))
+    return graphs.frequent_subgraphs(edges, _n_graphs(edges), 0.1)
+
+
+def graph_patterns_3edge(spark, d):
+    edges = written(line_graphs(spark, d))
+    return graphs.frequent_subgraphs(edges, _n_graphs(edges), LINES, max_edges=3)
+
+
+def graph_file_patterns(spark, d):
+    """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined."""
+    edges = line_graphs(spark, d)
+    ends = edges.select("gid", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("lu").alias("l")), F.struct(F.col("v").alias("id"), F.col("lv").alias("l")))).alias("x")).distinct()
+    text_of = lambda *c: F.concat_ws(" ", *(x.cast("string") for x in c))
+    rows = ends.select("gid", F.struct(F.lit(0).alias("k"), text_of(F.lit("v"), F.col("x.id"), F.col("x.l")).alias("s")).alias("r")).unionByName(
+        edges.select("gid", F.struct(F.lit(1).alias("k"), text_of(F.lit("e"), F.col("u"), F.col("v"), F.col("el")).alias("s")).alias("r"))
+    )
+    lines = rows.groupBy("gid").agg(F.array_join(F.sort_array(F.collect_list("r"))["s"], "\n").alias("s"))
+    path = _files(lines.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), "s").alias("value")))
+    return framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, path), LINES, max_size=2)
+
+
+def item_file_patterns(spark, d):
+    path = _files(priority_sequences(spark, d).select(F.array_join("items", ",").alias("value")))
+    return sequences.frequent_item_sequences(text.read_item_sequences(spark, path), PRIORITY)
+
+
+def itemset_file_sequences(spark, d):
+    rows = _type_rows(spark, d).select("o_custkey", "o_orderkey", F.length("p_type").alias("item")).groupBy("o_custkey", "o_orderkey").agg(F.collect_list("item").alias("items"))
+    path = _files(rows.select(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.size("items").cast("string"), F.transform("items", lambda x: x.cast("string"))).alias("value")))
+    return text.read_itemset_sequences(spark, path).select("tran_id", render.itemset_sequence(F.col("sequence")).alias("sequence"))
+
+
+def pattern_sink_lines(spark, d):
+    """Patterns through the text sink, copied, and read back."""
+    first, second = shared_folder(spark), shared_folder(spark)
+    sinks.write_patterns(seq_patterns_order_priority(spark, d), first, "text")
+    sinks.copy_text(spark, first, second)
+    return spark.read.text(second).select(F.col("value").alias("line"))
 
 
 def _parts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +295,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         seq_patterns_order_priority, seq_patterns_levelwise, itemset_seq_patterns_ptype, itemset_seq_patterns_levelwise, frequent_itemsets_brand, frequent_itemsets_levelwise,
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
-        graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns,
+        graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge,
+        graph_file_patterns, item_file_patterns, itemset_file_sequences, pattern_sink_lines,
         partition_local_support, partition_candidates, partition_merged_support, min_frontier,
         pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, parsed_item_lines, parsed_itemset_lines,
     )
@@ -278,15 +338,48 @@ e as (select gid, o u, p v, 0 lu, tl lv, fl el from l union select gid, p, s, tl
 n as (select count(distinct gid) as n from e)"""
 _LABELS = "t as (select least(lu, lv)::int from_label, greatest(lu, lv)::int to_label, el::int edge_label, count(distinct gid) as support from e group by 1, 2, 3)"
 
-def _two_edges() -> str:
+def _two_edges(threshold: float) -> str:
     """1- and 2-edge patterns. In the order of gSpan a forward edge from the deeper vertex comes first, so of codes with the same first edge the one that goes on from vertex 1 is least."""
     choices = "[(m, e1, x, -0, e2, y), (x, e1, m, -1, e2, y), (m, e2, y, -0, e1, x), (y, e2, m, -1, e1, x)]"
-    return f"""with {_GRAPH}, s as (select * from e union select gid, v, u, lv, lu, el from e), need as (select n * {GRAPH}::double as need from n),
+    return f"""with {_GRAPH}, s as (select * from e union select gid, v, u, lv, lu, el from e), need as (select n * {threshold}::double as need from n),
 one as (select '0 1 ' || lu || ' ' || el || ' ' || lv as pattern, 1 as size, count(distinct gid) as support from s where lu <= lv group by 1),
 pair as (select a.gid, a.lu as m, a.el as e1, a.lv as x, b.el as e2, b.lv as y from s a join s b on a.gid = b.gid and a.u = b.u and a.v <> b.v),
 c as (select gid, list_min(list_transform({choices}, lambda t: {{'lf': t[1], 'le': t[2], 'lt': t[3], 'deep': t[4], 'le2': t[5], 'lt2': t[6]}})) as c from pair),
-two as (select '0 1 ' || c.lf || ' ' || c.le || ' ' || c.lt || ' , ' || (-c.deep) || ' 2 -1 ' || c.le2 || ' ' || c.lt2 as pattern, 2 as size, count(distinct gid) as support from c group by 1)
-select pattern, size, support from (select * from one union all select * from two) where support >= (select need from need)"""
+two as (select '0 1 ' || c.lf || ' ' || c.le || ' ' || c.lt || ' , ' || (-c.deep) || ' 2 -1 ' || c.le2 || ' ' || c.lt2 as pattern, 2 as size, count(distinct gid) as support from c group by 1),
+beside as (select '0 1 ' || a.lu || ' ' || a.el || ' ' || a.lv || ' , 1 0 -1 ' || b.el || ' -1' as pattern, 2 as size, count(distinct a.gid) as support
+           from s a join s b on a.gid = b.gid and a.u = b.u and a.v = b.v and a.el < b.el where a.lu <= a.lv group by 1)
+select pattern, size, support from (select * from one union all select * from two union all select * from beside) where support >= (select need from need)"""
+
+
+def _line_patterns(most: int) -> str:
+    """Patterns of line_graphs with at most `most` (2 or 3) edges. All ways to walk a connected set of edges from its least end are packed into numbers whose order is that of codes; the least one names the set. No two vertices have more than one edge."""
+    step = lambda f: f"256 + (3 - {f}) * 64 + s.el * 16 + s.lv"
+    part = lambda k: f"(case when k{k} >= 256 then (3 - ((k{k} >> 6) & 3)) || ' {k}' || ' -1 ' || ((k{k} >> 4) & 3) || ' ' || (k{k} & 15) else {k - 1} || ' ' || ((k{k} >> 6) & 3) || ' -1 ' || ((k{k} >> 4) & 3) || ' -1' end)"
+    first = "'0 1 ' || (k1 >> 6) || ' ' || ((k1 >> 4) & 3) || ' ' || (k1 & 15)"
+    third = f""",
+c3 as (select c2.gid, code * 512 + s.el * 16 as code, d1, d2, s.eid as d3 from c2 join s on s.gid = c2.gid and s.u = v2 and s.v = v0 where f2 = 1
+       union all select c2.gid, code * 512 + {step(2)}, d1, d2, s.eid from c2 join s on s.gid = c2.gid and s.u = v2 where s.v <> v0 and s.v <> v1
+       union all select c2.gid, code * 512 + {step(1)}, d1, d2, s.eid from c2 join s on s.gid = c2.gid and s.u = v1 where f2 = 1 and s.v <> v0 and s.v <> v2
+       union all select c2.gid, code * 512 + {step(0)}, d1, d2, s.eid from c2 join s on s.gid = c2.gid and s.u = v0 where s.v <> v1 and s.v <> v2),
+m3 as (select gid, min(code) as code from c3 group by gid, least(d1, d2, d3), greatest(d1, d2, d3), d1 + d2 + d3),
+p3 as (select {first} || ' , ' || {part(2)} || ' , ' || {part(3)} as pattern, 3 as size, support
+       from (select code >> 18 as k1, (code >> 9) & 511 as k2, code & 511 as k3, count(distinct gid) as support from m3 group by all))"""
+    return f"""with l as (select l_orderkey as gid, l_partkey * 2 + 1 as p, l_suppkey * 2 + 2 as s, 10 + n_regionkey as r from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+e0 as (select gid, 0::bigint as u, p as v, 0 as lu, 1 as lv, 0 as el from l union select gid, p, s, 1, r, 1 from l union select gid, 0, s, 0, r, 2 from l),
+e as (select *, row_number() over () as eid from e0), s as (select * from e union all select gid, v, u, lv, lu, el, eid from e),
+need as (select count(distinct gid) * {LINES}::double as need from e),
+c1 as (select gid, u as v0, v as v1, lu * 64 + el * 16 + lv as code, eid as d1 from s where lu <= lv),
+p1 as (select {first} as pattern, 1 as size, support from (select code as k1, count(distinct gid) as support from c1 group by 1)),
+c2 as (select c1.gid, v0, v1, s.v as v2, 1 as f2, code * 512 + {step(1)} as code, d1, s.eid as d2 from c1 join s on s.gid = c1.gid and s.u = v1 where s.v <> v0
+       union all select c1.gid, v0, v1, s.v, 0, code * 512 + {step(0)}, d1, s.eid from c1 join s on s.gid = c1.gid and s.u = v0 where s.v <> v1),
+m2 as (select gid, min(code) as code from c2 group by gid, least(d1, d2), greatest(d1, d2)),
+p2 as (select {first} || ' , ' || {part(2)} as pattern, 2 as size, support from (select code >> 9 as k1, code & 511 as k2, count(distinct gid) as support from m2 group by all)){third if most == 3 else ""}
+select pattern, size, support from (select * from p1 union all select * from p2{" union all select * from p3" if most == 3 else ""}) where support >= (select need from need)"""
+
+
+_ITEMSET_LINES = """with b as (select distinct o_custkey, o_orderkey, length(p_type) as item from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+        s as (select o_custkey, o_orderkey, string_agg(item::varchar, ' ' order by item::varchar) as items from b group by 1, 2)
+        select o_custkey::int as tran_id, '(' || string_agg(items, ') (' order by o_orderkey) || ')' as sequence from s group by 1"""
 
 
 ORACLES: dict[str, str] = {
@@ -316,7 +409,12 @@ ORACLES: dict[str, str] = {
     "graph_frequent_edges": f"with {_GRAPH}, {_LABELS} select * from t where support >= (select n * {GRAPH}::double from n)",
     "graph_pruned_edges": f"""with {_GRAPH}, {_LABELS}, k as (select * from t where support >= (select n * {GRAPH}::double from n))
         select gid, count(*) as edges from e join k on least(lu, lv) = from_label and greatest(lu, lv) = to_label and el = edge_label group by 1""",
-    "graph_patterns_2edge": _two_edges(),
+    "graph_patterns_2edge": _two_edges(GRAPH),
+    "graph_patterns": _two_edges(0.1),
+    "graph_patterns_3edge": _line_patterns(3),
+    "graph_file_patterns": _line_patterns(2),
+    "item_file_patterns": f"with {_SEQ} select pattern, size, support from f",
+    "pattern_sink_lines": f"with {_SEQ} select pattern || ': ' || support as line from f",
     "partition_local_support": f"with {_BASKET} select tid % 4 as part, item as pattern, count(*) as local_support from it group by 1, 2",
     "partition_candidates": f"""with {_BASKET}, n as (select tid % 4 as part, count(distinct tid) as n from it group by 1), l as (select tid % 4 as part, item, count(*) as c from it group by 1, 2)
         select distinct item as pattern from l join n using (part) where c >= n * 0.155::double""",
@@ -330,7 +428,6 @@ ORACLES: dict[str, str] = {
         select k::int as matched_size, count(*) as queries from m group by 1""",
     "pattern_subtree_removed": f"with {_SEQ} select pattern, support from f where pattern >= '3'",
     "parsed_item_lines": "with c as (select o_custkey, count(*)::int as n from orders group by 1) select n, count(*) as records from c group by 1",
-    "parsed_itemset_lines": """with b as (select distinct o_custkey, o_orderkey, length(p_type) as item from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
-        s as (select o_custkey, o_orderkey, string_agg(item::varchar, ' ' order by item::varchar) as items from b group by 1, 2)
-        select o_custkey::int as tran_id, '(' || string_agg(items, ') (' order by o_orderkey) || ')' as sequence from s group by 1""",
+    "parsed_itemset_lines": _ITEMSET_LINES,
+    "itemset_file_sequences": _ITEMSET_LINES,
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,51 +36,56 @@ def read_itemset_sequences(spark: SparkSession, path: str, strict: bool = False)
     return parse_itemset_lines(spark.read.text(path), strict)
 
 
-GRAPH_LINES = "graph_id int, kind string, a int, b int, label int"
-
-
-def _graph_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for text in batch["value"]:
-            rows, graph, vertices = [], None, set()
-            for line in text.splitlines():
-                f = line.split()
-                if not f:
-                    continue
-                if f[0] == "t":
-                    if f[-1] == "-1":
-                        break
-                    graph, vertices = int(f[-1]), set()
-                    rows.append((graph, "t", None, None, None))
-                elif f[0] == "v" and len(f) >= 3:
-                    vertices.add(int(f[1]))
-                    rows.append((graph, "v", int(f[1]), None, int(f[2])))
-                elif f[0] == "e" and len(f) >= 4:
-                    if not {int(f[1]), int(f[2])} <= vertices:
-                        raise ValueError(f"edge before its vertices: {line}")
-                    rows.append((graph, "e", int(f[1]), int(f[2]), int(f[3])))
-            yield pd.DataFrame(rows, columns=["graph_id", "kind", "a", "b", "label"]).astype({c: "Int32" for c in ("graph_id", "a", "b", "label")})
-
-
-def read_graphs(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files of `t # id`, `v id label`, `e from to label` lines -> graphs(graph_id), vertices(graph_id, vid, label), edges(graph_id, u, v, label).
-
-    Records are parted at `t # `, so files of any size are split over tasks, and a task holds one graph at a time; the end
-    marker `t # -1` is no graph. With whole_files each file is read as a whole, and what follows its end marker is left out.
+def read_graph_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of one graph each, from files of `t # id`, `v id label`, `e from to label` lines.
+
+    Files are parted at `t # `, so files of any size are split over tasks, and a task holds one graph at a time.
+    """
+    return spark.read.text(path, lineSep="t # ").where(F.trim("value") != "")
+
+
+_VERTICES = "array<struct<vid:int,label:int,line:int>>"
+_EDGES = "array<struct<u:int,v:int,label:int,line:int>>"
+
+
+def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
+    """(value) -> (graph_id, vertices, edges), a row for each graph; each vertex and edge with the number of its line.
+
+    Graphs have ids of their own, over all files. The end marker `t # -1` is no graph, wherever it stands; graphs after
+    it count as well. Lines of other kinds, or too short, are left out; numbers that are none raise.
     """
-    if whole_files:
-        records = spark.read.text(path, wholetext=True).select("value")
-    else:
-        records = spark.read.text(path, lineSep="t # ").select(F.concat(F.lit("t # "), "value").alias("value")).where(F.col("value") != "t # ")
-    rows = records.mapInPandas(_graph_rows, GRAPH_LINES)
-    graphs = rows.where(F.col("kind") == "t").select("graph_id").distinct()
-    vertices = rows.where(F.col("kind") == "v").select("graph_id", F.col("a").alias("vid"), "label")
-    edges = rows.where(F.col("kind") == "e").select("graph_id", F.col("a").alias("u"), F.col("b").alias("v"), "label")
-    return graphs, vertices, edges
+    fields = F.transform(F.split(F.regexp_replace("value", r"^t\s+#\s+", ""), r"\r?\n|\r"), lambda x: F.split(F.trim(x), r"\s+"))
+    rows = blocks.select(F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line"))).alias("lines")).withColumn("graph_id", F.col("lines")[0]["f"][0].cast("int")).where(F.col("graph_id") != -1)
+    vertex = F.filter("lines", lambda x: (x["f"][0] == "v") & (F.size(x["f"]) >= 3))
+    edge = F.filter("lines", lambda x: (x["f"][0] == "e") & (F.size(x["f"]) >= 4))
+    return rows.select(
+        "graph_id",
+        F.transform(vertex, lambda x: F.struct(x["f"][1].cast("int").alias("vid"), x["f"][2].cast("int").alias("label"), x["line"].alias("line"))).cast(_VERTICES).alias("vertices"),
+        F.transform(edge, lambda x: F.struct(x["f"][1].cast("int").alias("u"), x["f"][2].cast("int").alias("v"), x["f"][3].cast("int").alias("label"), x["line"].alias("line"))).cast(_EDGES).alias("edges"),
+    )
+
+
+def graph_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graphs(graph_id), vertices(graph_id, vid, label, line), edges(graph_id, u, v, label, line) of parsed graphs."""
+    vertices = records.select("graph_id", F.explode("vertices").alias("x")).select("graph_id", "x.*")
+    edges = records.select("graph_id", F.explode("edges").alias("x")).select("graph_id", "x.*")
+    return records.select("graph_id"), vertices, edges
+
+
+def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graph_tables of a path."""
+    return graph_tables(parse_graph_blocks(read_graph_blocks(spark, path)))
 
 
 def labelled_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, u, v, lu, lv, el) from vertices and edges."""
-    one = vertices.select(F.col("graph_id"), F.col("vid").alias("u"), F.col("label").alias("lu"))
-    two = vertices.select(F.col("graph_id"), F.col("vid").alias("v"), F.col("label").alias("lv"))
-    return edges.join(one, ["graph_id", "u"]).join(two, ["graph_id", "v"]).select(F.col("graph_id").alias("gid"), "u", "v", "lu", "lv", F.col("label").alias("el"))
+    """(gid, u, v, lu, lv, el) from vertices and edges. Where both have lines, an edge that stands before its vertices raises."""
+    lines = "line" in vertices.columns and "line" in edges.columns
+    own = edges.select("graph_id", "u", "v", "label", *(["line"] if lines else []))
+    for end in ("u", "v"):
+        known = vertices.select("graph_id", F.col("vid").alias(end), F.col("label").alias(f"l{end}"), *([F.col("line").alias("at")] if lines else []))
+        own = own.join(known, ["graph_id", end], "left" if lines else "inner")
+        if lines:
+            early = F.col("at").isNull() | (F.col("at") > F.col("line"))
+            said = F.concat(F.lit("edge before its vertices: graph "), F.col("graph_id").cast("string"), F.lit(" line "), F.col("line").cast("string"))
+            own = own.where(F.when(early, F.raise_error(said).cast("boolean")).otherwise(True)).drop("at")
+    return own.select(F.col("graph_id").alias("gid"), "u", "v", "lu", "lv", F.col("label").alias("el"))

@@ -7,6 +7,7 @@ import pytest
 
 from motifloom.functions import dfscode
 from motifloom.operators import graphs, prune
+from motifloom.plans import framework
 from motifloom.sources import text
 
 FOUR = """t # 0
@@ -74,13 +75,30 @@ def test_single_graphs(spark, tmp_path):
 
 
 def test_files_are_split_at_graphs(spark, tmp_path):
+    """Graphs count wherever they stand, also after an end marker; however the files are split, the tables are the same."""
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "part_0000").write_text(FOUR + "t # 9\nv 0 1\n")
-    (tmp_path / "g" / "part_0001").write_text(FOUR.replace("t # ", "t # 1").replace("t # 1-1", "t # -1"))
-    split, whole = (text.read_graphs(spark, str(tmp_path / "g"), whole_files=w) for w in (False, True))
-    assert {r[0] for r in whole[0].collect()} == {0, 1, 2, 3, 10, 11, 12, 13}
-    assert {r[0] for r in split[0].collect()} == {0, 1, 2, 3, 9, 10, 11, 12, 13}
-    assert sorted(map(tuple, split[2].collect())) == sorted(map(tuple, whole[2].collect()))
+    (tmp_path / "g" / "part_0001").write_text(FOUR.replace("t # ", "t # 1").replace("t # 1-1", "t # -1").replace("\n", "\r\n"))
+    ids, vertices, edges = text.read_graphs(spark, str(tmp_path / "g"))
+    assert sorted(r[0] for r in ids.collect()) == [0, 1, 2, 3, 9, 10, 11, 12, 13]
+    assert vertices.count() == 25 and edges.count() == 18
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    try:
+        again = text.read_graphs(spark, str(tmp_path / "g"))
+        for one, two in zip((ids, vertices, edges), again, strict=True):
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_run_from_files(spark, tmp_path):
+    """Parsing, counting, pruning and mining on the framework; graphs without edges count in N."""
+    (tmp_path / "g.txt").write_text(FOUR.replace("t # -1", "t # 7\nv 0 0"))
+    blocks = text.read_graph_blocks(spark, str(tmp_path / "g.txt"))
+    found = framework.run(graphs.Subgraphs(), blocks, 0.2)
+    assert {r["pattern"]: r["support"] for r in found.collect()} == EXPECTED
+    found = framework.run(graphs.Subgraphs(), blocks, 0.6)
+    assert {r["pattern"]: r["support"] for r in found.collect()} == {"0 1 0 0 0": 3}
 
 
 def test_edge_before_its_vertices(spark, tmp_path):
@@ -97,22 +115,45 @@ def test_pruning_is_symmetric(spark):
     assert {r["gid"] for r in prune.prune_edges(edges, supports.where("support > 1")).collect()} == {0, 1}
 
 
-def canonical_by_permutation(labels, edges):
-    """A canonical form by trying all numberings."""
-    n = len(labels)
-    vs = list(labels)
-    return min(
-        (tuple(labels[v] for v in order), tuple(sorted((min(p[u], p[v]), max(p[u], p[v]), el) for u, v, el in edges)))
-        for order in itertools.permutations(vs)
-        for p in [{v: i for i, v in enumerate(order)}]
-    ) + (n,)
+def all_codes(labels, edges):
+    """Every DFS code of a graph, by walking it in all ways: no bounds, no pruning."""
+
+    def walk(order, used, code, parent):
+        if len(used) == len(edges):
+            yield tuple(code)
+            return
+        last = len(order) - 1
+        path = [last]
+        while path[-1]:
+            path.append(parent[path[-1]])
+        place = {v: i for i, v in enumerate(order)}
+        for i, (a, b, el) in enumerate(edges):
+            if i in used:
+                continue
+            for u, v in ((a, b), (b, a)):
+                if u not in place or place[u] not in path:
+                    continue
+                if v in place:
+                    if place[u] == last and place[v] in path:
+                        yield from walk(order, used | {i}, [*code, (last, place[v], -1, el, -1)], parent)
+                else:
+                    yield from walk([*order, v], used | {i}, [*code, (place[u], last + 1, -1, el, labels[v])], parent | {last + 1: place[u]})
+
+    for i, (a, b, el) in enumerate(edges):
+        for u, v in ((a, b), (b, a)):
+            yield from walk([u, v], {i}, [(0, 1, labels[u], el, labels[v])], {1: 0})
+
+
+def least_by_walking(labels, edges):
+    """The least of all codes: backward edges before forward ones, by target; forward ones from the deepest source."""
+    order = lambda e: (0, e[1], e[3], 0) if e[1] < e[0] else (1, -e[0], e[3], e[4])
+    first = lambda e: (e[2], e[3], e[4])
+    return min(all_codes(labels, edges), key=lambda code: (first(code[0]), [order(e) for e in code[1:]]))
 
 
 def connected_subsets(edges, most):
     for n in range(1, most + 1):
         for subset in itertools.combinations(edges, n):
-            if len({(u, v) for u, v, _ in subset}) < n:
-                continue
             reach, rest = set(subset[0][:2]), list(subset[1:])
             while True:
                 hit = [e for e in rest if reach & set(e[:2])]
@@ -140,13 +181,14 @@ def test_brute_force(spark):
         rows += [(gid, u, v, labels[u], labels[v], el) for u, v, el in edges]
         for subset in connected_subsets(edges, 4):
             used = {v for e in subset for v in e[:2]}
-            groups.setdefault(canonical_by_permutation({v: labels[v] for v in used}, subset), set()).add(gid)
+            code = least_by_walking({v: labels[v] for v in used}, subset)
+            groups.setdefault(" , ".join(" ".join(map(str, e)) for e in code), set()).add(gid)
     df = spark.createDataFrame(rows, "gid int, u int, v int, lu int, lv int, el int")
     for need in (0.5, 0.8):
         found = graphs.frequent_subgraphs(df, 6, need, max_edges=4).collect()
         assert len({r["pattern"] for r in found}) == len(found)
-        mine = sorted((r["size"], r["support"]) for r in found)
-        assert mine == sorted((len(c[1]), len(g)) for c, g in groups.items() if len(g) >= 6 * need)
+        assert {r["pattern"]: (r["size"], r["support"]) for r in found} == {c: (c.count(",") + 1, len(g)) for c, g in groups.items() if len(g) >= 6 * need}
+        assert any(" 1 0 -1" in r["pattern"] for r in found) or need > 0.5  # edges beside each other
 
 
 def test_least_code_is_canonical():
