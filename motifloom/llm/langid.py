@@ -81,8 +81,7 @@ def hashed(parts: list[str], starts: list[int], buckets: int) -> tuple[np.ndarra
             mixed = (value ^ (value >> np.uint32(15))) * MULTIPLIERS[2]
             out[ORDERS.index(order)] = np.where(any_letter, (mixed >> np.uint32(8)) % np.uint32(buckets), buckets)
     for begin, length, n in zip(begins, lengths, starts, strict=True):
-        if n < length - GAP:  # the rest is counted with the next segment
-            out[:, begin + n : begin + length] = buckets
+        out[:, begin + n : begin + length] = buckets  # no n-gram begins between texts; an overlap is counted with the next segment
     return out, begins, np.logical_or.reduceat(letter, begins)
 
 
@@ -159,6 +158,7 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
                 labels += found
                 scores += posterior.tolist()
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
+        pa.default_memory_pool().release_unused()  # Python workers live on with other operators
 
     return predict(text)
 

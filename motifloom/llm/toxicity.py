@@ -1,18 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat verb, intent, target, negation, reported speech, other) by a lexicon transducer:
-an acceptor of stems followed by anything, whose arcs are seed words and stems learned from labels. Five small machines
-read the symbols of a clause: how far back the last target and the last negation are, whether speech is reported, and
-how far an intent lies back. Their composition is one table of states; each insult or threat that it accepts is an
-event of a kind (plain, targeted, negated, reported, threat) with the weight of its stem. A text's sums of event weights by
-kind go through a logistic model.
-
-Learning uses a bounded, hash-chosen sample of labelled rows (``max_docs_per_class``): stems whose texts are mostly
-toxic, that occur often enough and in enough different contexts (so copies of one text do not count as evidence), then
-the weights of the kinds. The model is small (``max_stems``) and is shipped to the tasks; scoring is row-local.
+Words become symbols (insult, threat verb, intent, target, negation, reported speech, other) by a lexicon transducer: a
+trie of stems (accepted with anything after them) and whole words, whose arcs are seed words and stems learned from
+labels; the weight of a word is that of the last accepting state on its path. Two machines read the symbols of a clause,
+a bimachine: one from the right, which knows whether a target follows within reach, and one from the left, the
+composition of five small ones (how far back the last target, the last possible object, the last negation and the last
+intent are, and whether speech is reported). Where they meet, each insult or threat is an event of a kind (plain,
+targeted, negated, reported, threat); the arc that emits it multiplies the word's weight by the factors of the machines
+it was composed of. A text's sums of path weights by kind go through a logistic model.
+
+A pronoun right before an intent is its subject, so "they will beat the deadline" has no object and is no threat, while
+"they will beat you" has one.
+
+Learning uses a bounded, hash-chosen sample of labelled rows (``max_docs_per_class``, one text for each doc_id): all stems
+whose texts are mostly toxic, that occur often enough and in enough different contexts (so copies of one text do not count
+as evidence), then the weights of the kinds. The lexicon has no cap of its own: each stem needs ``min_docs`` sampled texts.
+The model is shipped to the tasks; scoring is row-local.
 
 Null texts count as empty; those, and texts without events, get the model's base score. With no labels of both classes
-the seed words alone are used. Repeated rows give repeated rows.
+the seed words alone are used. Repeated rows give repeated rows, an empty table an empty table; of several texts of one
+sampled doc_id the first by code points is learned from, and a doc_id with both labels counts for both. Texts of any
+length are scored as wholes, clause by clause. A column of keep that is named like a result comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -22,18 +30,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, with_results
+from ._common import bounded, scratch, with_results
 
 INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, REST = range(7)
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
 KINDS = 5
-AHEAD = 5  # a threat, if its target follows
+#: What the small machines multiply a word's weight by where they take part in an event.
+FACTORS = {PLAIN: 1.0, TARGETED: 1.5, NEGATED: 0.2, REPORTED: 0.3, THREATENED: 1.5}
 
 SEEDS: dict[int, str] = {
     INSULT: "idiot idiots idiotic moron morons stupid scum loser losers pathetic worthless disgusting trash clown clowns imbecile dumbass abruti imbécile salaud crétin dummkopf arschloch trottel abschaum idiota imbécil estúpido basura",
@@ -43,96 +53,144 @@ SEEDS: dict[int, str] = {
     NEGATION: "not never no isnt arent dont nobody pas jamais aucun nicht kein keine nie nunca jamás ningún",
     REPORT: "said says told called wrote quoted reported claims alleged dit appelé écrit sagte sagt nannte schrieb dijo dice llamó escribió",
 }
+SEED_WEIGHT = 3.0
 _CLAUSE = re.compile(r"[.!?;:\n\"«»„“”()]+")
 _WORD = re.compile(r"[^\W_]+")
 REACH = 3  # words that a target, negation or intent reaches
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """The lexicon transducer as a trie: arcs[state][letter] is the next state; stem and whole give symbol and weight of the states that accept prefixes and whole words."""
+
+    arcs: list[dict[str, int]]
+    stem: dict[int, tuple[int, float]]
+    whole: dict[int, tuple[int, float]]
+
+    def read(self, word: str) -> tuple[int, float]:
+        """Symbol and weight of a word: those of the whole word if it is accepted, else of its longest stem."""
+        state, best = 0, (REST, 0.0)
+        for letter in word:
+            state = self.arcs[state].get(letter, -1)
+            if state < 0:
+                return best
+            best = self.stem.get(state, best)
+        return self.whole.get(state, best)
+
+
+def lexicon(stems: dict[str, float]) -> Lexicon:
+    """From learned stems (insults; one that ends in $ is a whole word) and the seeds, of which the first symbol of a word counts; a learned whole word goes before a seed."""
+    arcs: list[dict[str, int]] = [{}]
+    found = Lexicon(arcs, {}, {})
+
+    def state(word: str) -> int:
+        at = 0
+        for letter in word:
+            if letter not in arcs[at]:
+                arcs.append({})
+                arcs[at][letter] = len(arcs) - 1
+            at = arcs[at][letter]
+        return at
+
+    for symbol, words in reversed(SEEDS.items()):
+        for word in words.split():
+            found.whole[state(word)] = symbol, SEED_WEIGHT
+    for stem, weight in stems.items():
+        if stem.endswith("$"):
+            found.whole[state(stem[:-1])] = INSULT, weight
+        else:
+            found.stem[state(stem)] = INSULT, weight
+    return found
+
+
 @dataclass(frozen=True)
 class Machine:
-    """The composition of the five machines: a state for each combination of theirs, and the event on an insult or threat."""
+    """move[state][symbol]; event[state][symbol][after]: kind (-1: none) and factor, by whether the machine from the right says that a target follows."""
 
+    start: int
     move: list[list[int]]
-    event: list[list[int]]
+    event: list[list[list[tuple[int, float]]]]
 
 
 def compose() -> Machine:
-    """States are (words since a target, since a negation, since an intent: REACH means none; speech reported: 0 or 1)."""
-    span = REACH + 1
-    number = lambda t, n, i, r: ((t * span + n) * span + i) * 2 + r
+    """The machine from the left. States are (words since a target, since a possible object, since a negation, since an intent: REACH means none; speech reported)."""
+    span = range(REACH + 1)
+    states = list(product(span, span, span, span, (0, 1)))
+    number = {s: i for i, s in enumerate(states)}
     move, event = [], []
-    for t in range(span):
-        for n in range(span):
-            for i in range(span):
-                for r in range(2):
-                    older = [min(x + 1, REACH) for x in (t, n, i)]
-                    moves, events = [], []
-                    for symbol in range(7):
-                        t2, n2, i2 = (0 if symbol == s else x for s, x in zip((TARGET, NEGATION, INTENT), older, strict=True))
-                        moves.append(number(t2, n2, i2, 1 if symbol == REPORT else r))
-                        hit = -1
-                        if symbol == INSULT:
-                            hit = NEGATED if n < REACH else REPORTED if r else TARGETED if t < REACH else PLAIN
-                        elif symbol == THREAT and i < REACH and n == REACH and not r:
-                            hit = THREATENED if t < REACH else AHEAD
-                        events.append(hit)
-                    move.append(moves)
-                    event.append(events)
-    return Machine(move, event)
+    for target, thing, negation, intent, report in states:
+        older = [min(x + 1, REACH) for x in (target, thing, negation, intent)]
+        moves, events = [], []
+        for symbol in range(7):
+            t, o, n, i = (0 if symbol == s else x for s, x in zip((TARGET, TARGET, NEGATION, INTENT), older, strict=True))
+            if symbol == INTENT and thing == 0:
+                o = REACH  # the pronoun just before is the subject
+            moves.append(number[t, o, n, i, 1 if symbol == REPORT else report])
+            arcs = []
+            for after in (False, True):
+                kind = -1
+                if symbol == INSULT:
+                    kind = NEGATED if negation < REACH else REPORTED if report else TARGETED if target < REACH or after else PLAIN
+                elif symbol == THREAT and intent < REACH and negation == REACH and not report and (thing < REACH or after):
+                    kind = THREATENED
+                arcs.append((kind, FACTORS.get(kind, 0.0)))
+            events.append(arcs)
+        move.append(moves)
+        event.append(events)
+    return Machine(number[REACH, REACH, REACH, REACH, 0], move, event)
 
 
 MACHINE = compose()
-START = (((REACH * (REACH + 1)) + REACH) * (REACH + 1) + REACH) * 2
+
+
+def follows(symbols: list[int]) -> list[bool]:
+    """The machine from the right: whether a target is among the REACH next symbols. Its state is the distance."""
+    out, distance = [False] * len(symbols), REACH
+    for at in range(len(symbols) - 1, -1, -1):
+        out[at] = distance < REACH
+        distance = 0 if symbols[at] == TARGET else min(distance + 1, REACH)
+    return out
 
 
 @dataclass
 class Grammar:
     stems: dict[str, float]
     bias: float = -3.0
-    kinds: tuple[float, ...] = (1.0, 1.5, 0.2, 0.3, 1.5)
-    _known: dict[str, tuple[int, float]] = field(default_factory=dict)
+    kinds: tuple[float, ...] = (1.0,) * KINDS
+    _lexicon: Lexicon | None = field(default=None, repr=False)
+    _known: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_lexicon": None}
 
     def symbol(self, word: str) -> tuple[int, float]:
-        """What the lexicon transducer makes of a lower-case word: symbol and weight. The longest stem counts."""
+        """What the lexicon transducer makes of a lower-case word."""
         known = self._known.get(word)
         if known is None:
+            if self._lexicon is None:
+                self._lexicon = lexicon(self.stems)
             if len(self._known) > 200_000:
                 self._known.clear()
-            stem = next((word[:n] for n in range(min(len(word), max(STEM_LENGTHS)), min(STEM_LENGTHS) - 1, -1) if word[:n] in self.stems), None)
-            whole = self.stems.get(word + "$")
-            if whole is not None:
-                known = INSULT, whole
-            elif word in _SEEDED:
-                known = _SEEDED[word], 3.0
-            else:
-                known = (INSULT, self.stems[stem]) if stem else (REST, 0.0)
-            self._known[word] = known
+            known = self._known[word] = self._lexicon.read(word)
         return known
 
     def events(self, text: str) -> list[float]:
-        """Sums of event weights by kind."""
+        """Sums of path weights by kind."""
         sums = [0.0] * KINDS
-        text = text.lower().replace("'", "").replace("’", "")
-        words = set(_WORD.findall(text))
-        hot = [w for w in words if self.symbol(w)[0] <= THREAT]
+        text = _plain(text)
+        hot = [w for w in set(_WORD.findall(text)) if self.symbol(w)[0] <= THREAT]
         if not hot:
             return sums
         for clause in _CLAUSE.split(text):
             if not any(map(clause.__contains__, hot)):
                 continue
-            state = START
-            symbols = [self.symbol(w) for w in _WORD.findall(clause)]
-            for at, (symbol, weight) in enumerate(symbols):
-                kind = MACHINE.event[state][symbol]
-                if kind in (PLAIN, AHEAD):
-                    follows = any(s == TARGET for s, _ in symbols[at + 1 : at + 1 + REACH])
-                    kind = (TARGETED if kind == PLAIN else THREATENED) if follows else PLAIN if kind == PLAIN else -1
+            words = [self.symbol(w) for w in _WORD.findall(clause)]
+            state = MACHINE.start
+            for (symbol, weight), after in zip(words, follows([s for s, _ in words]), strict=True):
+                kind, factor = MACHINE.event[state][symbol][after]
                 if kind >= 0:
-                    sums[kind] += weight
+                    sums[kind] += weight * factor
                 state = MACHINE.move[state][symbol]
         return sums
 
@@ -141,45 +199,46 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-_SEEDED = {w: symbol for symbol, words in reversed(SEEDS.items()) for w in words.split()}
+def _plain(text: str) -> str:
+    return text.lower().replace("'", "").replace("’", "")
 
 
 def stems_of(word: str) -> list[str]:
     return [word[:n] for n in STEM_LENGTHS if n <= len(word)] + [word + "$"]
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_docs_per_class: int = 4000, max_stems: int = 500, min_docs: int = 6, min_contexts: int = 4, min_precision: float = 0.7) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_docs_per_class: int = 4000, min_docs: int = 6, min_contexts: int = 4, min_precision: float = 0.7) -> Grammar:
     """Learns stems and weights from the texts of docs with a label 0 or 1 in labels (doc_id, label); others are left out.
 
     The labels are sampled before they meet the texts, so that only a table of bounded size is broadcast and no text
-    is shuffled.
+    is shuffled but the sampled ones. The sample has one text for each sampled doc_id and label.
     """
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_id").isNotNull())
-    n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return Grammar({})
-    share = {y: min(1.0, max_docs_per_class / n[y]) for y in n}
-    drawn = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < F.when(F.col("y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0]))
-    marks = materialize(marks.where(drawn))
-    if marks.count() <= 4 * max_docs_per_class:  # twice what is expected; more (one id repeated) is joined without a broadcast
-        marks = F.broadcast(marks)
-    sample = materialize(docs.join(marks, F.col(doc_id) == F.col("_id")).where(F.col(text).isNotNull()).select(F.col(text).alias("text"), "y"))
-    weight = {y: 1 / share[y] for y in n}
-
+    with scratch(docs.sparkSession) as keep:
+        marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_id").isNotNull()).distinct()
+        marks = keep(marks)
+        n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+        if len(n) < 2:
+            return Grammar({})
+        share = {y: min(1.0, max_docs_per_class / n[y]) for y in n}
+        drawn = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < F.when(F.col("y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0]))
+        marks = keep(marks.where(drawn))
+        sample = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("_text")).join(bounded(marks), F.col("_own") == F.col("_id")).where(F.col("_text").isNotNull())
+        sample = keep(sample.groupBy("_id", "y").agg(F.min("_text").alias("text")).select("text", "y"))
+        return _learned(sample, {y: 1 / share[y] for y in n}, min_docs, min_contexts, min_precision)
+
+
+def _learned(sample: DataFrame, weight: dict[int, float], min_docs: int, min_contexts: int, min_precision: float) -> Grammar:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
         for batch in batches:
             for x, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                words = set(_WORD.findall(x.lower().replace("'", "").replace("’", "")))
-                seen[y].update({s for w in words if len(w) < 30 for s in stems_of(w)})
+                seen[y].update({s for w in set(_WORD.findall(_plain(x))) for s in stems_of(w)})
         for y in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array(list(seen[y]), pa.string()), pa.array([y] * len(seen[y]), pa.int32()), pa.array(list(seen[y].values()), pa.int64())], names=["stem", "y", "n"])
 
     counted = sample.mapInArrow(count, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     precision = F.col("bad") * weight[1] / (F.col("bad") * weight[1] + F.col("good") * weight[0])
-    # the most frequent ones; the lexicon's size is a parameter of the grammar
-    frequent = counted.where((F.col("bad") >= min_docs) & (precision >= min_precision)).orderBy(F.desc("bad"), "stem").limit(20 * max_stems).collect()
-    chosen: dict[str, tuple[int, int]] = {r["stem"]: (r["bad"], r["good"]) for r in frequent}
+    chosen = {r["stem"]: (r["bad"], r["good"]) for r in counted.where((F.col("bad") >= min_docs) & (precision >= min_precision)).collect()}
     # a longer stem adds nothing to a shorter one that is chosen
     chosen = {s: v for s, v in chosen.items() if not any(s[:k] in chosen for k in STEM_LENGTHS if k < len(s.rstrip("$")) + (s[-1] == "$"))}
 
@@ -187,19 +246,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         found: dict[str, set[str]] = {}
         for batch in batches:
             for x, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                words = _WORD.findall(x.lower().replace("'", "").replace("’", "")) if y == 1 else []
+                words = _WORD.findall(_plain(x)) if y == 1 else []
                 for i, w in enumerate(words):
                     for s in stems_of(w):
-                        if s in chosen:
-                            near = " ".join(words[max(0, i - 1) : i] + ["_"] + words[i + 1 : i + 2])
-                            if len(held := found.setdefault(s, set())) < 10 * min_contexts:
-                                held.add(near)
+                        # a task need not name more contexts than decide
+                        if s in chosen and len(held := found.setdefault(s, set())) < min_contexts:
+                            held.add(" ".join(words[max(0, i - 1) : i] + ["_"] + words[i + 1 : i + 2]))
         pairs = [(s, c) for s, held in found.items() for c in held]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["stem", "context"])
 
     varied = sample.mapInArrow(contexts, "stem string, context string").groupBy("stem").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= min_contexts).select("stem").collect()
-    usable = sorted((r["stem"] for r in varied), key=lambda s: (-chosen[s][0], s))[:max_stems]
-    odds = {s: math.log((chosen[s][0] * weight[1] + 0.5) / (chosen[s][1] * weight[0] + 0.5)) for s in usable}
+    odds = {s: math.log((chosen[s][0] * weight[1] + 0.5) / (chosen[s][1] * weight[0] + 0.5)) for s in sorted(r["stem"] for r in varied)}
     grammar = Grammar({s: max(0.5, min(6.0, o)) for s, o in odds.items()})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             events = [[math.log1p(s) for s in grammar.events(x)] for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(events, pa.list_(pa.float64()))], names=["y", "x"])
 
-    table = sample.mapInArrow(features, "y int, x array<double>").toArrow()  # at most about two times max_docs_per_class short rows
+    table = sample.mapInArrow(features, "y int, x array<double>").toArrow()  # a short row for each sampled label
     y = table["y"].to_numpy().astype(float)
     x = np.array(table["x"].to_pylist(), float).reshape(len(y), KINDS)
     grammar.bias, grammar.kinds = _logistic(x, y, np.where(y == 1, weight[1], weight[0]), np.array(Grammar({}).kinds))
@@ -216,6 +273,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
     """Weighted logistic regression by Newton steps, drawn towards the given weights of the kinds (kinds without data keep them)."""
+    if not len(x):
+        return Grammar({}).bias, tuple(prior.tolist())
     w = w / w.mean()
     design = np.hstack([np.ones((len(x), 1)), x])
     center = np.concatenate([[-3.0], prior])
