@@ -1,8 +1,9 @@
 """Quality rules from tokeniser fertility.
 
 Public vocabularies encode each whole text; characters per token, the share of byte-fallback tokens and the entropy of
-the token distribution are held against rejection bands for the text's main script. Plain base figures of the words
-stand beside them. Row-local, without a shuffle or a broadcast that grows.
+the token distribution are held against rejection bands for the text's main script and, where the language is known, for
+the language. Plain base figures of the words stand beside them. Texts are measured where they are read, without a
+shuffle; what the limits of the languages need are counts of rounded figures, added up in each task first.
 
 Null and empty texts have no words and no tokens; they fail the base rules. A text without letters has the script
 `none`; of scripts with equally many letters the one named first in SCRIPTS counts. A script without a band of its own
@@ -28,11 +29,11 @@ import pyarrow as pa
 import sentencepiece
 import tiktoken
 from public_tokenizers import PATTERN
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from ._common import WORD, read_bounded, with_results
+from ._common import WORD, bounded, kept_names, materialize, read_bounded, with_results
 from .bpe_tree import parse_ranks
 from .pretoken import encode_ordinary, seamed
 
@@ -183,8 +184,32 @@ def within(band: Band, n_chars: int, figures: list[tuple[int, float, float]], vo
     )
 
 
-def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str, Band] | None = None, min_words: int = 50, max_repeat_percent: int = 50, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of docs with the columns of keep, the base figures, script, chars_per_token, fallback_share and token_entropy (arrays in the order of the vocabularies), base_failed and kept."""
+def language_limits(measured: DataFrame, spread: float, min_rows: int) -> DataFrame:
+    """From rows of language, n_words and chars_per_token: language, n_words (their median) and limits, for each vocabulary its median (`middle`) and `width`, of languages with min_rows rows.
+
+    Quartiles are exact to a thousandth: rows are counted by that first, so a language's rows never meet in one task.
+    """
+    longest = F.least(F.col("n_words"), F.lit(100_000))
+    figures = F.concat(F.array(longest.cast("double")), F.transform("chars_per_token", lambda x: F.floor(x * 1000).cast("double")))
+    counted = measured.where(F.col("language").isNotNull()).select("language", F.posexplode(figures).alias("k", "bin")).groupBy("language", "k", "bin").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("language", "k").orderBy("bin")
+    placed = counted.withColumn("upto", F.sum("n").over(so_far)).withColumn("total", F.sum("n").over(Window.partitionBy("language", "k")))
+    quarter = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bin")))
+    found = placed.where(F.col("total") >= min_rows).groupBy("language", "k").agg(quarter(1).alias("low"), quarter(2).alias("middle"), quarter(3).alias("high"))
+    one = F.struct("k", (F.col("middle") / 1000).alias("middle"), (F.lit(spread) * (F.col("high") - F.col("low")) / 1349).alias("width"))
+    by_language = found.groupBy("language").agg(F.max(F.when(F.col("k") == 0, F.col("middle"))).alias("usual"), F.array_sort(F.collect_list(F.when(F.col("k") > 0, one))).alias("limits"))
+    return by_language
+
+
+def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str, Band] | None = None, min_words: int = 50, max_repeat_percent: int = 50, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None, spread: float = 4.0, min_rows: int = 200) -> DataFrame:
+    """Rows of docs with the columns of keep, the base figures, script, chars_per_token, fallback_share and token_entropy (arrays in the order of the vocabularies), base_failed and kept.
+
+    With the name of a language column, a text must also stay above the limits of its language: under each vocabulary its
+    characters per token are at least the median of the language's texts less `spread` standard deviations (estimated
+    by the quartiles; wider for texts that are shorter than the median, as their mean varies more). The limits come from
+    all texts that pass the base rules, so most of them should be running text; a language with less than min_rows of
+    them, or a null one, has only the band of its script.
+    """
     bands = bands or BANDS
     shared = [(os.path.basename(p), read_bounded(p)) for p in vocabulary_paths]
 
@@ -206,7 +231,18 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(MEASURED)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEASURED, strict=True)], fields=list(MEASURED))
 
-    return with_results(docs, keep, measure(F.col(text)), (f.name for f in MEASURED))
+    names = [f.name for f in MEASURED]
+    if language is None:
+        return with_results(docs, keep, measure(F.col(text)), names)
+    own = kept_names(keep, names)
+    kept_columns = F.struct(*(F.col(c).alias(n) for c, n in own.items())) if own else F.lit(0)
+    rows = materialize(docs.select(kept_columns.alias("own"), F.col(language).cast("string").alias("language"), measure(F.col(text)).alias("made")))
+    limits = materialize(language_limits(rows.where(~F.col("made.base_failed")).select("language", "made.n_words", "made.chars_per_token"), spread, min_rows))
+    met = rows.join(bounded(limits), "language", "left")
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.col("made.n_words"), F.lit(1))))
+    above = F.zip_with("made.chars_per_token", "limits", lambda x, limit: x >= limit["middle"] - limit["width"] * wider)
+    kept = F.col("made.kept") & F.coalesce(F.forall(above, lambda x: x), F.lit(True))
+    return met.select(*(F.col("own").getField(n).alias(n) for n in own.values()), *(F.col("made").getField(n).alias(n) for n in names[:-1]), kept.alias("kept"))
 
 
 _LIST = pa.list_(pa.float64())

@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return fertility.quality(documents(spark, sf_dir), vocabularies)
+    return fertility.quality(documents(spark, sf_dir), vocabularies, language="lang")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
