@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from ._common import WORD, bounded, kept_names, materialize, read_bounded, with_results
+from ._common import bounded, kept_names, materialize, read_bounded, with_results
 from .bpe_tree import parse_ranks
 from .pretoken import encode_ordinary, seamed
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\v\f\r"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI")
 
@@ -88,7 +88,7 @@ class Pieces:
 
     def encode(self, text: str) -> np.ndarray:
         runs = seamed(text) if self.parted else [text]
-        return np.concatenate([np.array(self.model.encode(run[1:] if i else run), np.int64) for i, run in enumerate(runs)])
+        return np.concatenate([np.array(self.model.encode(run[1:] if i else run), np.int32) for i, run in enumerate(runs)])
 
 
 class Ranks:
@@ -104,7 +104,7 @@ class Ranks:
             self.fallback[rank] = not _whole(token)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.array(encode_ordinary(self.coder, run), np.int64) for run in seamed(text)])
+        return np.concatenate([np.array(encode_ordinary(self.coder, run), np.int32) for run in seamed(text)])
 
 
 def _whole(token: bytes) -> bool:
@@ -145,11 +145,12 @@ def main_script(text: str) -> str:
 
 def base_figures(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = WORD.findall(text)
-    lines = [x for x in text.split("\n") if x.strip("\t\v\f\r ")]
+    data = text.encode("utf-8", "replace")
+    words = data.split()  # bytes part at the same six characters as WORD
+    lines = [x for x in data.split(b"\n") if x.strip()]
     repeat = 0
     if len(words) > 3:
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
         pairs = ids[:-1] * len(known) + ids[1:]
         if len(known) ** 3 >= 1 << 62:  # pairs that occur are numbered first
@@ -163,7 +164,8 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
             for k in range(3):
                 covered[at + k] = True
             repeat = int(covered.sum())
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
+    n_blanks = len(data) - len(data.translate(None, BLANKS))
+    return len(words), len(text) - n_blanks, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
 def fertility(text: str, vocab: Pieces | Ranks) -> tuple[int, float, float]:
@@ -172,8 +174,10 @@ def fertility(text: str, vocab: Pieces | Ranks) -> tuple[int, float, float]:
     if not len(ids):
         return 0, 0.0, 0.0
     ids.sort()
-    n = np.diff(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])))
-    return len(ids), float(vocab.fallback[ids].mean()), float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
+    begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+    n = np.diff(begins)
+    fallback = n[vocab.fallback[ids[begins[:-1]]]].sum()
+    return len(ids), float(fallback / len(ids)), float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
 
 
 def within(band: Band, n_chars: int, figures: list[tuple[int, float, float]], vocabs: list[Pieces | Ranks]) -> bool:

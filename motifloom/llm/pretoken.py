@@ -43,6 +43,6 @@ def seamed(text: str) -> list[str]:
 
 def encode_ordinary(coder: tiktoken.Encoding, text: str) -> list[int]:
     """As the library's encode_ordinary, whose own splitter overflows its stack on long runs of white space."""
-    if len(text) <= LONG // 4:
+    if len(text) <= 2 * LONG:  # a run of seamed()
         return coder.encode_ordinary(text)
     return list(chain.from_iterable(map(coder._encode_single_piece, SPLIT.findall(text))))
