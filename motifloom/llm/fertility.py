@@ -11,7 +11,8 @@ has that of `other`. Repeated rows give repeated rows, an empty table an empty t
 like a result comes back with `_in` appended.
 
 Texts of any length are encoded as wholes: the runs in which long ones go through the libraries end where the libraries
-would not merge across anyway (``pretoken.SEAM``), so ids and all figures are those of the whole text. What a task holds beyond the two bounded tables of short parts is one text's tokens.
+would not merge across anyway (``pretoken.SEAM``), so ids and all figures are those of the whole text. Parts between seams
+that a task has met before are looked up (``Parts``). What a task holds beyond that bounded table is one text's tokens.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 from string import ascii_letters
 
 import numpy as np
@@ -35,9 +37,10 @@ from sentencepiece import sentencepiece_model_pb2
 
 from ._common import bounded, kept_names, materialize, read_bounded, with_results
 from .bpe_tree import parse_ranks
-from .pretoken import encode_ordinary, seamed
+from .pretoken import LONG, encode_ordinary, seamed
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\v\f\r"
+_UNEVEN = re.compile(r"\s ")
 _ASCII_LETTER = re.compile("[A-Za-z]")
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI")
 
@@ -76,6 +79,7 @@ class Pieces:
     """
 
     least = "min_chars_per_piece"
+    leads = True  # a text is encoded as if a blank stood before it
 
     def __init__(self, data: bytes):
         proto = sentencepiece_model_pb2.ModelProto.FromString(data)
@@ -85,23 +89,36 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         size = self.model.get_piece_size()
         self.fallback = np.fromiter((self.model.is_byte(i) or self.model.is_unknown(i) for i in range(size)), bool, size)
+        self.parted = self.parted and not self.fallback[self.model.piece_to_id("\u2581")]
+        #: Tokens that begin with the mark of a blank.
+        self.begins = np.fromiter((p.piece.startswith("\u2581") for p in proto.pieces), bool, size)
+
+    def after_blank(self, text: str) -> np.ndarray:
+        """The ids of a text that stands behind a seam, with those of the blank."""
+        return np.array(self.model.encode(text), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         runs = seamed(text) if self.parted else [text]
-        return np.concatenate([np.array(self.model.encode(run[1:] if i else run), np.int32) for i, run in enumerate(runs)])
+        return np.concatenate([self.after_blank(run[1:] if i else run) for i, run in enumerate(runs)])
 
 
 class Ranks:
     """A byte-level rank file. Fallback tokens are those that are no whole characters."""
 
     least = "min_chars_per_rank"
+    leads = False
+    parted = True
 
     def __init__(self, data: bytes):
         ranks = parse_ranks(data)
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+        self.fallback, self.begins = np.zeros((2, max(ranks.values()) + 1), bool)
         for token, rank in ranks.items():
             self.fallback[rank] = not _whole(token)
+            self.begins[rank] = token.startswith(b" ")
+
+    def after_blank(self, text: str) -> np.ndarray:
+        return np.array(encode_ordinary(self.coder, " " + text), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return np.concatenate([np.array(encode_ordinary(self.coder, run), np.int32) for run in seamed(text)])
@@ -121,6 +138,92 @@ def vocabulary(name: str, data: bytes) -> Pieces | Ranks:
     return Pieces(data) if name.endswith(".model") else Ranks(data)
 
 
+class Parts:
+    """Ids of texts under several vocabularies that may be parted at seams: each part is split off once and encoded once for as long as it is held.
+
+    Of a part behind a seam the first token begins with the blank (or its mark) and no other does, as parts hold no blanks.
+    So all new parts of a text are encoded in one call and told apart by the tokens that begin so.
+    """
+
+    #: Characters of the parts that are held at most (some 450,000 parts of running text), beyond one text's.
+    HELD = 1 << 22
+
+    def __init__(self, vocabs: list[Pieces | Ranks]):
+        self.vocabs = vocabs
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        # part k has the ids from ends[k] to before ends[k + 1]
+        self.ids = [np.empty(1 << 12, np.int32) for _ in self.vocabs]
+        self.ends = [np.zeros(1 << 12, np.int64) for _ in self.vocabs]
+
+    def _learn(self, new: list[str]) -> bool:
+        """Encodes and holds new parts, unless one is empty, ends in white space or holds the mark that stands for blanks."""
+        joined = " ".join(new)
+        if not joined or joined[0] == " " or joined[-1].isspace() or "\u2581" in joined or _UNEVEN.search(joined):
+            return False
+        n, m = len(self.known), len(new)
+        for k, vocab in enumerate(self.vocabs):
+            ids, used = vocab.after_blank(joined), self.ends[k][n]
+            begins = np.flatnonzero(vocab.begins[ids])
+            if len(begins) != m:
+                raise RuntimeError("a part does not begin with a token of its own")
+            while used + len(ids) > len(self.ids[k]):
+                self.ids[k] = np.concatenate([self.ids[k], np.empty_like(self.ids[k])])
+            while n + m >= len(self.ends[k]):
+                self.ends[k] = np.concatenate([self.ends[k], np.zeros_like(self.ends[k])])
+            self.ids[k][used : used + len(ids)] = ids
+            self.ends[k][n + 1 : n + m + 1] = used + np.append(begins[1:], len(ids))
+        self.known.update(zip(new, range(n, n + m), strict=True))
+        self.chars += len(joined)
+        return True
+
+    def _numbers(self, text: str) -> np.ndarray | None:
+        """The numbers of a text's parts; None where a blank in it is no seam."""
+        if len(text) > 2 * LONG:
+            return None
+        parts, known = text.split(" "), self.known
+        which = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        at = np.flatnonzero(which < 0).tolist()
+        if at:
+            if not self._learn(list(dict.fromkeys(parts[i] for i in at))):
+                return None
+            which[at] = [known[parts[i]] for i in at]
+        return which
+
+    def _gathered(self, k: int, which: np.ndarray) -> np.ndarray:
+        begins = self.ends[k][which]
+        n = self.ends[k][which + 1] - begins
+        upto = np.cumsum(n)
+        return self.ids[k][np.repeat(begins - upto + n, n) + np.arange(n.sum())]
+
+    def encode(self, text: str) -> list[np.ndarray]:
+        """The ids of a text under each vocabulary."""
+        if self.chars > self.HELD:
+            self._clear()
+        out: list[list[np.ndarray]] = [[] for _ in self.vocabs]
+        for i, run in enumerate(seamed(text)):
+            body, tail = run[1:] if i else run, ""
+            if body[-1:].isspace():  # the end of a text needs no seam behind it
+                body, _, tail = body.rpartition(" ")
+                which = self._numbers(body) if tail else None
+            else:
+                which = self._numbers(body)
+            for k, (vocab, ids) in enumerate(zip(self.vocabs, out, strict=True)):
+                if which is None:
+                    ids.append(vocab.after_blank(run[1:]) if i else vocab.encode(run))
+                    continue
+                if i or vocab.leads:
+                    ids.append(self._gathered(k, which))
+                else:
+                    ids += [vocab.encode(body.partition(" ")[0]), self._gathered(k, which[1:])]
+                if tail:
+                    ids.append(vocab.after_blank(tail))
+        return [np.concatenate(ids) for ids in out]
+
+
 @lru_cache(maxsize=1)
 def _script_table() -> np.ndarray:
     """The script of each code point: its place in SCRIPTS, len(SCRIPTS) for other letters, 255 for what is no letter."""
@@ -170,10 +273,13 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
 
 def fertility(text: str, vocab: Pieces | Ranks) -> tuple[int, float, float]:
     """n_tokens, fallback share and entropy (bits) of a text."""
-    ids = vocab.encode(text)
+    return token_figures(vocab.encode(text), vocab)
+
+
+def token_figures(ids: np.ndarray, vocab: Pieces | Ranks) -> tuple[int, float, float]:
     if not len(ids):
         return 0, 0.0, 0.0
-    ids.sort()
+    ids = np.sort(ids)
     begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
     n = np.diff(begins)
     fallback = n[vocab.fallback[ids[begins[:-1]]]].sum()
@@ -217,8 +323,9 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
     bands = bands or BANDS
     shared = [(os.path.basename(p), read_bounded(p)) for p in vocabulary_paths]
 
-    def one(x: str, vocabs: list[Pieces | Ranks]) -> tuple:
-        figures = [fertility(x, v) for v in vocabs]
+    def one(x: str, vocabs: list[Pieces | Ranks], parts: Parts) -> tuple:
+        by_parts = iter(parts.encode(x))
+        figures = [token_figures(next(by_parts) if v.parted else v.encode(x), v) for v in vocabs]
         script, base = main_script(x), base_figures(x)
         failed = base[0] < min_words or 100 * base[4] > max_repeat_percent * base[0]
         kept = not failed and within(bands.get(script, bands["other"]), len(x), figures, vocabs)
@@ -227,10 +334,11 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
     @F.arrow_udf(MEASURED_DDL)
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabs = [vocabulary(*x) for x in shared]
-        blank = one("", vocabs)
+        parts = Parts([v for v in vocabs if v.parted])
+        blank = one("", vocabs, parts)
         for batch in batches:
             distinct = batch.dictionary_encode()  # repeated texts of a batch are measured once
-            measured = [one(x.as_py() or "", vocabs) for x in distinct.dictionary]
+            measured = [one(x.as_py() or "", vocabs, parts) for x in distinct.dictionary]
             rows = [blank if k is None else measured[k] for k in distinct.indices.to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(MEASURED)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEASURED, strict=True)], fields=list(MEASURED))

@@ -65,6 +65,23 @@ def test_whole_texts_equal_the_libraries(vocabs, libraries, monkeypatch):
                 assert vocab.encode(text).tolist() == encode(text)
 
 
+def test_parts_equal_the_libraries(vocabs, libraries, docs, monkeypatch):
+    """Odd joints of parts, long texts in runs, repeated parts, and tables that are cleared between texts."""
+    rng = random.Random(5)
+    even = [p for p in PARTS if p.strip() and "\u2581" not in p]
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [" ".join("".join(rng.choice(even) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 40))) + rng.choice(["", "\n", " ", " \n"]) for _ in range(2000)]
+    texts += [t or "" for t in ODD] + [r["text"] or "" for r in docs.collect()]
+    texts += ["some words here " * 20_000, "a" * 200_000 + " b", "tail of lines\n" * 9_000]
+    expected = [[encode(t) for encode, _ in libraries] for t in texts]
+    for held in (fertility.Parts.HELD, 200):
+        monkeypatch.setattr(fertility.Parts, "HELD", held)
+        parts = fertility.Parts(vocabs)
+        for text, wanted in zip(texts, expected, strict=True):
+            assert [ids.tolist() for ids in parts.encode(text)] == wanted
+    assert all(v.parted for v in vocabs) and len(fertility.Parts([]).encode("a b")) == 0
+
+
 @pytest.mark.parametrize("unit", ["ab", "some words here ", "xy z  ", "é", "line of words\n"])
 def test_a_million_characters(unit, vocabs, libraries):
     text = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
