@@ -3,9 +3,12 @@
 Training counts hashed n-grams of one to three characters for each language over a bounded, hash-chosen sample of
 labelled rows (``max_docs_per_label``, stratified, about that many at most; a language with fewer rows gives them all).
 The matrix of log probabilities (buckets x languages; its bytes are checked) is broadcast, and each batch of texts is
-scored as a sparse product: the rows of the matrix at the n-grams of a text, summed. The posterior is the score.
+scored as a sparse product: the rows of the matrix at the n-grams of a text, summed. The posterior is the score. It
+compares the learned languages with each other only, and is near 1 for any text of some words; `known` says whether the best
+one fits at all: the share of the text's n-grams that are likelier in it than n-grams are on average. In a script that no
+language was learned in only those are that share a bucket with a frequent n-gram.
 
-Text that is null or has no letter is `und` with score 0. Upper and lower case count alike, other characters than
+Text that is null or has no letter is `und` with score and known 0. Upper and lower case count alike, other characters than
 letters as a blank. Equal posteriors go to the language that sorts first. With nothing to learn from, all rows are
 `und`. Whole texts are scored, long ones in segments that overlap by the n-gram length. Repeated rows give repeated
 rows, and count as often as they occur in learning; an empty table gives an empty table. A column of keep that is named
@@ -125,50 +128,64 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: st
     return LanguageModel(labels, weights, np.log(n / n.sum()))
 
 
-def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Label and posterior of each text."""
+def score_and_known(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, posterior and share of known n-grams of each text."""
     buckets = len(model.weights) - 1
     total = np.tile(model.prior, (len(texts), 1))
     some = np.zeros(len(texts), bool)
+    n, known = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.labels)), np.int64)
+    average = -np.log(max(1, buckets))
     for owner, parts, starts in _segments(texts):
         grams, begins, has = hashed(parts, starts, buckets)
-        part = sum(np.add.reduceat(model.weights[g], begins, axis=0, dtype=np.float64) for g in grams)
-        np.add.at(total, owner, part)
+        for g in grams:
+            weights, real = model.weights[g], g < buckets
+            np.add.at(total, owner, np.add.reduceat(weights, begins, axis=0, dtype=np.float64))
+            np.add.at(known, owner, np.add.reduceat((weights > average) & real[:, None], begins, axis=0, dtype=np.int64))
+            np.add.at(n, owner, np.add.reduceat(real, begins, dtype=np.int64))
         np.logical_or.at(some, owner, has)
     if not model.labels:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     best = total.argmax(axis=1)
     posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    return [model.labels[i] if s else "und" for i, s in zip(best, some, strict=True)], np.where(some, posterior, 0.0)
+    share = known[np.arange(len(texts)), best] / np.maximum(n, 1)
+    return [model.labels[i] if s else "und" for i, s in zip(best, some, strict=True)], np.where(some, posterior, 0.0), np.where(some, share, 0.0)
+
+
+def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Label and posterior of each text."""
+    return score_and_known(model, texts)[:2]
 
 
-RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.float64())])
 
 
 def predicted(text: Column, model: LanguageModel, spark) -> Column:
-    """A struct of lang_pred and score."""
+    """A struct of lang_pred, score and known."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, known double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            labels, scores = [], []
+            labels, scores, shares = [], [], []
             for block in blocks((x.as_py() for x in batch), SEGMENT):
-                found, posterior = score(shared.value, block)
+                found, posterior, known = score_and_known(shared.value, block)
                 labels += found
                 scores += posterior.tolist()
-            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
+                shares += known.tolist()
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], fields=list(RESULT))
         pa.default_memory_pool().release_unused()  # Python workers live on with other operators
 
     return predict(text)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of docs with the columns of keep, lang_pred and score."""
+    """Rows of docs with the columns of keep, lang_pred, score and known."""
     return with_results(docs, keep, predicted(F.col(text), model, docs.sparkSession), (f.name for f in RESULT))
 
 
-def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is recognised with a posterior of at least min_score (one-word texts are seldom sure), all columns as they were."""
+def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3, min_known: float = 0.25) -> DataFrame:
+    """The rows of docs whose language is recognised, all columns as they were: with a posterior of at least min_score
+    (one-word texts are seldom sure) and at least a share min_known of known n-grams (a third are single letters; in scripts that were not learned few are known, by chance)."""
     rows = packed(docs, language=predicted(F.col(text), model, docs.sparkSession))
-    return unpacked(rows.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= min_score)))
+    recognised = (F.col("language.lang_pred") != "und") & (F.col("language.score") >= min_score) & (F.col("language.known") >= min_known)
+    return unpacked(rows.where(recognised))

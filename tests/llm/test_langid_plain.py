@@ -9,6 +9,7 @@ import pytest
 from motifloom.llm import langid
 
 from .conftest import ODD
+from .test_fertility import SCRIPTS
 
 M = [int(m) for m in langid.MULTIPLIERS]
 MASK = (1 << 32) - 1
@@ -70,3 +71,31 @@ def test_ties_go_to_the_first_label(spark):
     assert labels == ["de", "de", "und"] and np.allclose(scores, [1 / 3, 1 / 3, 0])
     twice = langid.fit(spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, lang string"))
     assert langid.score(twice, ["same words"])[0] == ["en"]
+
+
+def test_known_equals_a_plain_count(spark):
+    buckets, rows = 512, [("some words of a language", "en"), ("des mots de la langue", "fr")]
+    model = langid.fit(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, lang string"), buckets=buckets)
+    counts = {y: Counter(plain_buckets(t, buckets)) for t, y in rows}
+    texts = ["words", "la langue, 12", "текст", "", None or "!?"]
+    labels, _, shares = langid.score_and_known(model, texts)
+    for text, label, share in zip(texts, labels, shares, strict=True):
+        own = plain_buckets(text, buckets) if label != "und" else []
+        # likelier than 1 / buckets: counted more often than buckets are on average
+        known = sum(counts[label][g] > counts[label].total() / buckets for g in own)
+        assert share == pytest.approx(known / max(1, len(own)))
+
+
+def test_scripts_that_were_not_learned_are_rejected(spark):
+    """Whatever the posterior says; short and odd words of the learned script stay, and so does every document with a letter."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 5 <> 0"))
+    foreign = [t * n for s, t in SCRIPTS.items() if s != "LATIN" for n in (1, 20)]
+    short = ["a", "ok", "Straße", "été", "spam ham", "Xylophon", "ñ", "A.\nAll rights reserved."]
+    rows = [(i, t) for i, t in enumerate([*foreign, *short, None, "", "12 !"])]
+    kept = langid.identified(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert {r["text"] for r in kept.collect()} == set(short)
+    assert (langid.score(model, foreign)[1] > 0.9).any()
+    few = langid.fit(docs.where("doc_id % 5 <> 0"), max_docs_per_label=30)  # the bound does not move with what was learned from
+    assert (langid.score_and_known(few, foreign)[2] < 0.25).all() and (langid.score_and_known(few, short)[2] >= 0.25).all()
+    assert langid.identified(docs, model).count() == docs.where("text rlike '[A-Za-z]'").count()
