@@ -4,7 +4,7 @@ ORACLE_SQL is None: language ID and the mix cannot be expressed in SQL; tests ho
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
 name, and returns the columns of documents (the last one digests): language ID drops documents without a recognised
-language, so null texts, empty ones and texts without letters go there; exact dedup keeps one of rows that repeat a
+language, so null texts, empty ones, texts without letters and texts in scripts that were not learned go there; exact dedup keeps one of rows that repeat a
 doc_id and text, and the largest doc_id of equal texts (a null doc_id is the smallest); near-dedup keeps rows with a null
 doc_id and the smallest doc_id of a group, ties being impossible; the mix takes a null source as a source of its own and
 repeats rows; encoding returns a row for each row. An empty table gives an empty table.
