@@ -20,7 +20,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,18 @@ class LanguageModel:
     weights: np.ndarray  # float32, buckets + 1 rows (the last is 0), a column for each label
     prior: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A row for each label's weights, one for each label that is 1 where an n-gram is likelier in a label than n-grams are on average, and a row of 1 where there is an n-gram; once a Python worker."""
+        buckets = len(self.weights) - 1
+        known = self.weights > -np.log(max(1, buckets))
+        known[buckets] = False
+        real = np.arange(buckets + 1)[:, None] < buckets
+        return np.ascontiguousarray(np.hstack([self.weights, known, real], dtype=np.float32).T)
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -130,21 +142,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: st
 
 def score_and_known(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Label, posterior and share of known n-grams of each text."""
-    buckets = len(model.weights) - 1
-    total = np.tile(model.prior, (len(texts), 1))
+    buckets, width = len(model.weights) - 1, len(model.labels)
+    sums = np.zeros((len(texts), 2 * width + 1))  # in the order of the table's rows
+    sums[:, :width] = model.prior
     some = np.zeros(len(texts), bool)
-    n, known = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.labels)), np.int64)
-    average = -np.log(max(1, buckets))
     for owner, parts, starts in _segments(texts):
         grams, begins, has = hashed(parts, starts, buckets)
         for g in grams:
-            weights, real = model.weights[g], g < buckets
-            np.add.at(total, owner, np.add.reduceat(weights, begins, axis=0, dtype=np.float64))
-            np.add.at(known, owner, np.add.reduceat((weights > average) & real[:, None], begins, axis=0, dtype=np.int64))
-            np.add.at(n, owner, np.add.reduceat(real, begins, dtype=np.int64))
+            np.add.at(sums, owner, np.stack([np.add.reduceat(row[g].astype(np.float64), begins) for row in model.table], axis=1))
         np.logical_or.at(some, owner, has)
     if not model.labels:
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    total, known, n = sums[:, :width], sums[:, width:-1], sums[:, -1]
     best = total.argmax(axis=1)
     posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     share = known[np.arange(len(texts)), best] / np.maximum(n, 1)
