@@ -66,7 +66,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding and decoding (6): the digests of each document's ids and decoded bytes."""
-    return bpe_tree.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    with _small_batches(spark):  # the digests are narrow, so they are written here
+        return materialize(bpe_tree.encoding_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("BPE encoding", encode)]
