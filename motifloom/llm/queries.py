@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, bpe_tree, chat, cuckoo, fertility, langid, license_scan, minhash, mixing, toxicity
+from . import bpe_counts, bpe_tree, chat, cuckoo, fertility, filter_audit, hard_negatives, langid, license_scan, minhash, mixing, rule_ensemble, toxicity
 from ._common import documents, held_out
 
 
@@ -62,6 +62,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted_turns(rows.unionByName(extra), ranks), ranks)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    ensemble = rule_ensemble.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return rule_ensemble.quality(docs.select("doc_id", "text", out.alias("held_out")), ensemble, keep=("doc_id", "held_out"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, relabel=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_fertility": op2_fertility,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_chat": op10_chat,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_rule_ensemble": op12_rule_ensemble,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +116,6 @@ ORACLES: dict[str, str] = {
                sum(chars)::bigint as formatted_chars
         from f group by conv_id
     """,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
