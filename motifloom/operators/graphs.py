@@ -3,10 +3,15 @@
 Edges come as rows (gid, u, v, lu, lv, el): vertex ids, vertex labels and edge label, in one direction or both. The state
 of the level loop is one row for each embedding of a code in a graph: the vertices that the code's vertices are mapped to
 and the edges used. A code grows along its right-most path only. What the growth of a code may look like (where edges
-start, which labels they may have) depends on the code alone, so it is worked out once a code and joined by its number;
-each embedding then meets the edges of its graph at the path's vertices in one equi-join on (gid, vertex), with the label
-bounds of gSpan (Yan and Han, 2002) as residual conditions. Support counts graphs, not embeddings; codes that are not
-canonical are dropped, so a pattern is found once.
+start, which labels they may have, by the bounds of gSpan, Yan and Han, 2002) depends on the code alone, so it is worked
+out once a code and joined by its number.
+
+Growth has two phases. First it is found in which graphs a code may grow by an edge: embeddings meet summaries of their
+path's vertices, of the neighbours behind each pair of edge and vertex label just so many that one of them is outside any
+embedding of this size, or else all. So a vertex with very many edges gives a few rows for each pair of labels, not one for
+each edge. Edges that close a cycle meet both of their ends in an equi-join. Then only the
+embeddings of codes that are frequent and canonical are built, by an equi-join on vertex and labels, and none for the last
+level. Support counts graphs, not embeddings; codes that are not canonical are dropped, so a pattern is found once.
 
 Patterns have one edge or more. Edges of different labels between two vertices are edges of their own; exact repeats of
 an edge count once, and edges from a vertex to itself are left out.
@@ -17,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions import dfscode, render
@@ -32,10 +37,20 @@ PLACES = "array<struct<at:int,last:boolean,least:int,el:int,lv:int,back:array<st
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge once, with an edge id that both share."""
-    e = edges.select("gid", "u", "v", F.col("lu").cast("int").alias("lu"), F.col("lv").cast("int").alias("lv"), F.col("el").cast("int").alias("el")).where(F.col("u") != F.col("v"))
-    both = e.unionByName(e.select("gid", F.col("v").alias("u"), F.col("u").alias("v"), F.col("lv").alias("lu"), F.col("lu").alias("lv"), "el")).distinct()
-    return both.withColumn("eid", F.xxhash64(F.least("u", "v"), F.greatest("u", "v"), "el"))
+    """Both directions of each edge once: tran_id (the graph), u, v, lu, lv, el, and further
+
+    eid, which both directions share; beside, whether there are other edges between the two; place, the number (from 1) of
+    the neighbour among those that u has by an edge of this label to a vertex of this label.
+    """
+    ends = lambda n, label: F.struct(F.col(n).alias("n"), F.col(label).cast("int").alias("l"))
+    e = edges.where(F.col("u") != F.col("v")).select(F.col("gid").alias("tran_id"), F.least(ends("u", "lu"), ends("v", "lv")).alias("a"), F.greatest(ends("u", "lu"), ends("v", "lv")).alias("b"), F.col("el").cast("int").alias("el"))
+    pairs = e.groupBy("tran_id", "a", "b").agg(F.collect_set("el").alias("els"))
+    one = pairs.select("tran_id", "a", "b", (F.size("els") > 1).alias("beside"), F.explode("els").alias("el"))
+    one = one.withColumn("eid", F.xxhash64("a.n", "b.n", "el"))
+    way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    both = one.select("tran_id", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w"), "el", "eid", "beside")
+    both = both.select("tran_id", F.col("w.x.n").alias("u"), F.col("w.y.n").alias("v"), F.col("w.x.l").alias("lu"), F.col("w.y.l").alias("lv"), "el", "eid", "beside")
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("tran_id", "u", "el", "lv").orderBy("v")))
 
 
 def _edge(f: Column, t: Column, lf: Column, le: Column, lt: Column) -> Column:
@@ -65,12 +80,14 @@ def _codes(column: pa.Array) -> Iterator[list[dfscode.Edge]]:
 
 
 class Subgraphs:
-    """The gSpan miner over symmetric edges (gid, u, v, lu, lv, el, eid). A delta is a code edge.
+    """The gSpan miner over symmetric edges (tran_id, u, v, lu, lv, el, eid). A delta is a code edge.
 
     For run(), a source is frames of graph blocks (text.read_graph_blocks): graphs are counted, edges of infrequent label
     triples pruned, then mined.
     """
 
+    one_each = True  # of candidates()
+
     def parse(self, blocks: DataFrame) -> DataFrame:
         return text.parse_graph_blocks(blocks)
 
@@ -86,9 +103,41 @@ class Subgraphs:
     def grow(self, pattern: Column, delta: Column) -> Column:
         return F.concat(pattern, F.array(delta))
 
-    def root(self, db: DataFrame) -> DataFrame:
-        edge = _edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv"))
-        return db.where(F.col("lu") <= F.col("lv")).select(edge.alias("delta"), F.col("gid").alias("tran_id"), F.array("u", "v").alias("vertices"), F.array("eid").alias("used"))
+    def candidates(self, projected: DataFrame | None, db: DataFrame, size: int) -> DataFrame:
+        """The edges by which each code may grow in each graph."""
+        if projected is None:
+            edge = _edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv"))
+            return db.where(F.col("lu") <= F.col("lv")).select(F.lit(0).cast("long").alias("pid"), edge.alias("delta"), F.col("tran_id")).distinct()
+        p = projected.select("pid", F.col("tran_id").alias("gid"), "vertices", "used", F.explode("places").alias("s"))
+        p = p.withColumn("u", F.element_at("vertices", F.col("s.at") + 1))
+        # of at most size + 1 vertices `size` are not u, so of size + 1 neighbours one is new
+        near = db.where(F.col("place") <= size + 1).select(F.col("tran_id").alias("gid"), "u", "v", "el", "lv")
+        bound = F.col("s.last") | (F.col("s.el") < F.col("el")) | ((F.col("s.el") == F.col("el")) & (F.col("s.lv") <= F.col("lv")))
+        made = _edge(F.col("s.at"), F.size("vertices"), F.lit(-1), F.col("el"), F.col("lv"))
+        forward = p.join(near, ["gid", "u"]).where((F.col("lv") >= F.col("s.least")) & bound & ~F.array_contains("vertices", F.col("v"))).select("pid", made.alias("delta"), "gid")
+        closing = p.where("s.last").select("pid", "gid", "u", "used", "s.at", F.posexplode("s.back").alias("target", "b"), "vertices").where(F.col("b").isNotNull())
+        closing = closing.withColumn("v", F.element_at("vertices", F.col("target") + 1)).drop("vertices")
+        made = _edge(F.col("at"), F.col("target"), F.lit(-1), F.col("el"), F.lit(-1))
+        # a cycle of two edges are edges beside each other
+        backward = closing.join((db.where("beside") if size == 1 else db).select(F.col("tran_id").alias("gid"), "u", "v", "el", "eid"), ["gid", "u", "v"])
+        backward = backward.where(((F.col("b.el") < F.col("el")) | ((F.col("b.el") == F.col("el")) & F.col("b.open"))) & ~F.array_contains("used", F.col("eid"))).select("pid", made.alias("delta"), "gid")
+        return forward.unionByName(backward).distinct().withColumnRenamed("gid", "tran_id")
+
+    def embed(self, projected: DataFrame | None, chosen: DataFrame, db: DataFrame) -> DataFrame:
+        """The embeddings of chosen codes."""
+        chosen = chosen.select("pid", "number", F.col("delta").alias("d"))
+        if projected is None:
+            met = db.join(chosen, (F.col("lu") == F.col("d.lf")) & (F.col("el") == F.col("d.le")) & (F.col("lv") == F.col("d.lt")))
+            return met.select(F.col("number").alias("pid"), "tran_id", F.array("u", "v").alias("vertices"), F.array("eid").alias("used"))
+        p = projected.select("pid", F.col("tran_id").alias("gid"), "vertices", "used").join(chosen, "pid").withColumn("from", F.element_at("vertices", F.col("d.f") + 1))
+        is_new = F.col("d.f") < F.col("d.t")
+        same = (F.col("gid") == F.col("tran_id")) & (F.col("from") == F.col("u")) & (F.col("d.le") == F.col("el"))
+        used = F.concat("used", F.array("eid")).alias("used")
+        forward = p.where(is_new).join(db, same & (F.col("d.lt") == F.col("lv"))).where(~F.array_contains("vertices", F.col("v")))
+        forward = forward.select(F.col("number").alias("pid"), "tran_id", F.concat("vertices", F.array("v")).alias("vertices"), used)
+        closing = p.where(~is_new).withColumn("to", F.element_at("vertices", F.col("d.t") + 1))
+        backward = closing.join(db, same & (F.col("to") == F.col("v"))).where(~F.array_contains("used", F.col("eid")))
+        return forward.unionByName(backward.select(F.col("number").alias("pid"), "tran_id", "vertices", used))
 
     def annotate(self, patterns: DataFrame) -> DataFrame:
         """The places of each pattern, once a pattern."""
@@ -100,27 +149,6 @@ class Subgraphs:
 
         return patterns.withColumn("places", places(F.col("pattern")))
 
-    def expand(self, projected: DataFrame, db: DataFrame) -> DataFrame:
-        p = projected.select("pid", "tran_id", "vertices", "used", F.explode("places").alias("s"))
-        p = p.withColumn("vertex", F.element_at("vertices", F.col("s.at") + 1))
-        e = db.select(F.col("gid"), F.col("u"), F.col("v"), F.col("lv"), F.col("el"), F.col("eid"))
-        g = p.join(e, (F.col("tran_id") == F.col("gid")) & (F.col("vertex") == F.col("u"))).where(~F.array_contains("used", F.col("eid")))
-        g = g.withColumn("target", F.array_position("vertices", F.col("v")).cast("int"))
-        bound = F.col("s.last") | (F.col("s.el") < F.col("el")) | ((F.col("s.el") == F.col("el")) & (F.col("s.lv") <= F.col("lv")))
-        forward = (F.col("target") == 0) & (F.col("lv") >= F.col("s.least")) & bound
-        back = F.get("s.back", F.col("target") - 1)
-        backward = (F.col("target") > 0) & F.col("s.last") & ((back["el"] < F.col("el")) | ((back["el"] == F.col("el")) & back["open"]))
-        g = g.where(forward | backward)
-        is_new = F.col("target") == 0
-        made = _edge(F.col("s.at"), F.when(is_new, F.size("vertices")).otherwise(F.col("target") - 1), F.lit(-1), F.col("el"), F.when(is_new, F.col("lv")).otherwise(-1))
-        return g.select(
-            "pid",
-            made.alias("delta"),
-            "tran_id",
-            F.when(is_new, F.concat("vertices", F.array("v"))).otherwise(F.col("vertices")).alias("vertices"),
-            F.concat("used", F.array("eid")).alias("used"),
-        )
-
     def canonical(self, pattern: Column) -> Column:
         """Tests the distinct codes of a level, not their embeddings."""
 

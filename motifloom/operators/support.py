@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.plans import coding
+
 
 def record_count(records: DataFrame) -> int:
     """N: records before pruning, empty ones included."""
@@ -43,5 +45,5 @@ def infrequent_items(records: DataFrame, threshold: float) -> DataFrame:
 
 
 def item_ranks(support: DataFrame) -> DataFrame:
-    """(item, support, rank): by support descending, ties by item. The table holds a row for each item, not for each record."""
-    return support.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support"), "item")).cast("long"))
+    """(item, support, rank): by support descending, ties by item, from 1. Ranks come from range partitions and their counts; no task sees all items."""
+    return coding.numbered(support.select("item", "support"), F.desc("support"), F.asc("item")).select("item", "support", (F.col("number") + 1).alias("rank"))

@@ -13,7 +13,7 @@ from motifloom.plans import framework, tree
 from motifloom.plans.checkpoints import shared_folder, written
 from motifloom.sources import sinks, tables, text
 
-PRIORITY, BRAND, TYPE, GRAPH, LINES = 0.3, 0.005, 0.85, 0.05, 0.3
+PRIORITY, BRAND, TYPE, GRAPH, LINES, FILES = 0.3, 0.005, 0.85, 0.05, 0.3, 0.75
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -112,6 +112,46 @@ def frequent_itemsets_levelwise(spark, d):
     return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND)
 
 
+def seq_patterns_by_parts(spark, d):
+    return partitions.frequent_by_parts(priority_sequences(spark, d), PRIORITY, least_parts=4)
+
+
+def frequent_itemsets_by_parts(spark, d):
+    return partitions.frequent_by_parts(brand_baskets(spark, d), BRAND, as_sets=True, least_parts=4)
+
+
+def itemset_seq_patterns_by_parts(spark, d):
+    return partitions.frequent_by_parts(type_sequences(spark, d), TYPE, least_parts=4)
+
+
+def seq_patterns_finished(spark, d):
+    """Patterns with up to two thirds of the rows are finished in one task each, the others grow level by level."""
+    db = written(projection.events_of(priority_sequences(spark, d)))
+    return framework.mine(framework.ItemSequences(), db, support.record_count(priority_sequences(spark, d)), PRIORITY, finish_below=db.count() * 2 // 3)
+
+
+def itemset_seq_patterns_finished(spark, d):
+    records = type_sequences(spark, d)
+    db = written(projection.set_events_of(records))
+    return framework.mine(framework.ItemsetSequences(), db, support.record_count(records), TYPE, finish_below=db.count() * 9 // 10)
+
+
+def frequent_itemsets_finished(spark, d):
+    records = brand_baskets(spark, d)
+    db = written(records.select("tran_id", F.explode("items").alias("item")))
+    return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND, finish_below=db.count() // 5)
+
+
+def seq_patterns_coded(spark, d):
+    lines = priority_sequences(spark, d).select(F.array_join("items", ",").alias("value"))
+    return framework.run(framework.Coded(framework.ItemSequences()), lines, PRIORITY, finish_below=framework.FINISH_BELOW)
+
+
+def frequent_itemsets_coded(spark, d):
+    lines = brand_baskets(spark, d).select(F.array_join("items", ",").alias("value"))
+    return framework.run(framework.Coded(framework.Itemsets()), lines, BRAND, finish_below=framework.FINISH_BELOW)
+
+
 def item_support(spark, d):
     return support.item_support(brand_baskets(spark, d))
 
@@ -196,7 +236,7 @@ def graph_patterns_3edge(spark, d):
 
 
 def graph_file_patterns(spark, d):
-    """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined."""
+    """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined to the end."""
     edges = line_graphs(spark, d)
     ends = edges.select("gid", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("lu").alias("l")), F.struct(F.col("v").alias("id"), F.col("lv").alias("l")))).alias("x")).distinct()
     text_of = lambda *c: F.concat_ws(" ", *(x.cast("string") for x in c))
@@ -205,7 +245,7 @@ def graph_file_patterns(spark, d):
     )
     lines = rows.groupBy("gid").agg(F.array_join(F.sort_array(F.collect_list("r"))["s"], "\n").alias("s"))
     path = _files(lines.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), "s").alias("value")))
-    return framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, path), LINES, max_size=2)
+    return framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, path), FILES)
 
 
 def item_file_patterns(spark, d):
@@ -293,6 +333,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         seq_patterns_order_priority, seq_patterns_levelwise, itemset_seq_patterns_ptype, itemset_seq_patterns_levelwise, frequent_itemsets_brand, frequent_itemsets_levelwise,
+        seq_patterns_by_parts, frequent_itemsets_by_parts, itemset_seq_patterns_by_parts, seq_patterns_finished, itemset_seq_patterns_finished, frequent_itemsets_finished,
+        seq_patterns_coded, frequent_itemsets_coded,
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
         graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge,
@@ -351,7 +393,7 @@ beside as (select '0 1 ' || a.lu || ' ' || a.el || ' ' || a.lv || ' , 1 0 -1 ' |
 select pattern, size, support from (select * from one union all select * from two union all select * from beside) where support >= (select need from need)"""
 
 
-def _line_patterns(most: int) -> str:
+def _line_patterns(most: int, threshold: float = LINES) -> str:
     """Patterns of line_graphs with at most `most` (2 or 3) edges. All ways to walk a connected set of edges from its least end are packed into numbers whose order is that of codes; the least one names the set. No two vertices have more than one edge."""
     step = lambda f: f"256 + (3 - {f}) * 64 + s.el * 16 + s.lv"
     part = lambda k: f"(case when k{k} >= 256 then (3 - ((k{k} >> 6) & 3)) || ' {k}' || ' -1 ' || ((k{k} >> 4) & 3) || ' ' || (k{k} & 15) else {k - 1} || ' ' || ((k{k} >> 6) & 3) || ' -1 ' || ((k{k} >> 4) & 3) || ' -1' end)"
@@ -367,7 +409,7 @@ p3 as (select {first} || ' , ' || {part(2)} || ' , ' || {part(3)} as pattern, 3
     return f"""with l as (select l_orderkey as gid, l_partkey * 2 + 1 as p, l_suppkey * 2 + 2 as s, 10 + n_regionkey as r from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
 e0 as (select gid, 0::bigint as u, p as v, 0 as lu, 1 as lv, 0 as el from l union select gid, p, s, 1, r, 1 from l union select gid, 0, s, 0, r, 2 from l),
 e as (select *, row_number() over () as eid from e0), s as (select * from e union all select gid, v, u, lv, lu, el, eid from e),
-need as (select count(distinct gid) * {LINES}::double as need from e),
+need as (select count(distinct gid) * {threshold}::double as need from e),
 c1 as (select gid, u as v0, v as v1, lu * 64 + el * 16 + lv as code, eid as d1 from s where lu <= lv),
 p1 as (select {first} as pattern, 1 as size, support from (select code as k1, count(distinct gid) as support from c1 group by 1)),
 c2 as (select c1.gid, v0, v1, s.v as v2, 1 as f2, code * 512 + {step(1)} as code, d1, s.eid as d2 from c1 join s on s.gid = c1.gid and s.u = v1 where s.v <> v0
@@ -389,6 +431,9 @@ ORACLES: dict[str, str] = {
     "itemset_seq_patterns_levelwise": _ITEMSET_SEQ,
     "frequent_itemsets_brand": _ITEMSETS,
     "frequent_itemsets_levelwise": _ITEMSETS,
+    **dict.fromkeys(("seq_patterns_by_parts", "seq_patterns_finished", "seq_patterns_coded"), f"with {_SEQ} select pattern, size, support from f"),
+    **dict.fromkeys(("frequent_itemsets_by_parts", "frequent_itemsets_finished", "frequent_itemsets_coded"), _ITEMSETS),
+    **dict.fromkeys(("itemset_seq_patterns_by_parts", "itemset_seq_patterns_finished"), _ITEMSET_SEQ),
     "item_support": f"with {_BASKET} select item, count(*) as support from it group by 1",
     "frequent_items": f"with {_BASKET} select item, count(*) as support from it group by 1 having count(*) >= (select count(distinct tid) * 0.155::double from it)",
     "infrequent_items": f"with {_BASKET} select item, count(*) as support from it group by 1 having count(*) < (select count(distinct tid) * 0.155::double from it)",
@@ -412,7 +457,7 @@ ORACLES: dict[str, str] = {
     "graph_patterns_2edge": _two_edges(GRAPH),
     "graph_patterns": _two_edges(0.1),
     "graph_patterns_3edge": _line_patterns(3),
-    "graph_file_patterns": _line_patterns(2),
+    "graph_file_patterns": _line_patterns(3, FILES),
     "item_file_patterns": f"with {_SEQ} select pattern, size, support from f",
     "pattern_sink_lines": f"with {_SEQ} select pattern || ': ' || support as line from f",
     "partition_local_support": f"with {_BASKET} select tid % 4 as part, item as pattern, count(*) as local_support from it group by 1, 2",

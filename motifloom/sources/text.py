@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,39 +37,69 @@ def read_itemset_sequences(spark: SparkSession, path: str, strict: bool = False)
 
 
 def read_graph_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines of one graph each, from files of `t # id`, `v id label`, `e from to label` lines.
+    """(gid, value): the lines of one graph each, from files of `t # id`, `v id label`, `e from to label` lines.
 
-    Files are parted at `t # `, so files of any size are split over tasks, and a task holds one graph at a time.
+    Each line whose first field is t, of three fields or more, opens a graph; fields are parted by any white space. gid
+    numbers graphs from 0, by path and place, over all files: ids in the files need not be unique, and however files are
+    split over tasks, the numbers are the same. Files are parted where a line begins with t, so a task holds one graph at
+    a time; the numbers come from the counts of the splits, a row for each.
     """
-    return spark.read.text(path, lineSep="t # ").where(F.trim("value") != "")
+    raw = spark.read.text(path, lineSep="\nt").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # what lineSep took away; the first piece of a file still has it
+    whole = F.when(F.col("value").rlike(r"^\s") & ~F.col("value").rlike(r"^\s*t\s"), F.concat(F.lit("t"), "value")).otherwise(F.col("value"))
+    opens = r"(?:^|[\r\n])(?=[ \t\x0B\f]*t[ \t\x0B\f]+[^ \t\x0B\f\r\n]+[ \t\x0B\f]+[^ \t\x0B\f\r\n])"  # such lines may also begin with blanks
+    parts = raw.where(F.col("value").rlike(r"\S")).select("file", "start", F.explode(F.split(whole, opens)).alias("value"))
+    parts = parts.where(F.col("value").rlike(r"\S")).select("file", "start", "value", F.monotonically_increasing_id().alias("at"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = parts.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    splits = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    met = parts.join(splits, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    return met.select((F.col("before") + F.col("at") - F.col("first")).cast("long").alias("gid"), "value")
 
 
 _VERTICES = "array<struct<vid:int,label:int,line:int>>"
-_EDGES = "array<struct<u:int,v:int,label:int,line:int>>"
+_EDGES = "array<struct<u:int,v:int,label:int,line:int,lu:int,lv:int,at:int>>"
 
 
 def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
-    """(value) -> (graph_id, vertices, edges), a row for each graph; each vertex and edge with the number of its line.
+    """(gid, value) -> (gid, graph_id, vertices, edges), a row for each graph; each vertex and edge with the number of its line, each edge with the labels of its ends.
 
-    Graphs have ids of their own, over all files. The end marker `t # -1` is no graph, wherever it stands; graphs after
-    it count as well. Lines of other kinds, or too short, are left out; numbers that are none raise.
+    graph_id is the number in the `t` line. A graph with a negative one is an end marker and no graph, wherever it stands;
+    graphs after it count as well. Of several lines of one vertex the last counts. Lines of other kinds, or too short, are
+    left out; numbers that are none raise, as do vertices or edges that no `t` line stands before.
     """
-    fields = F.transform(F.split(F.regexp_replace("value", r"^t\s+#\s+", ""), r"\r?\n|\r"), lambda x: F.split(F.trim(x), r"\s+"))
-    rows = blocks.select(F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line"))).alias("lines")).withColumn("graph_id", F.col("lines")[0]["f"][0].cast("int")).where(F.col("graph_id") != -1)
+    fields = F.transform(F.split("value", r"\r?\n|\r"), lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "))
+    rows = blocks.select("gid", F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line"))).alias("lines"))
+    head = F.col("lines")[0]["f"]
+    opened = (head[0] == "t") & (F.size(head) >= 3)
     vertex = F.filter("lines", lambda x: (x["f"][0] == "v") & (F.size(x["f"]) >= 3))
     edge = F.filter("lines", lambda x: (x["f"][0] == "e") & (F.size(x["f"]) >= 4))
-    return rows.select(
-        "graph_id",
+    stray = ~opened & ((F.size(vertex) > 0) | (F.size(edge) > 0))
+    rows = rows.where(F.when(stray, F.raise_error(F.concat(F.lit("lines of a graph before its t line: "), F.array_join(head, " "))).cast("boolean")).otherwise(opened))
+    rows = rows.withColumn("graph_id", F.col("lines")[0]["f"][2].cast("int")).where(F.col("graph_id") >= 0)
+    rows = rows.select(
+        "gid", "graph_id",
         F.transform(vertex, lambda x: F.struct(x["f"][1].cast("int").alias("vid"), x["f"][2].cast("int").alias("label"), x["line"].alias("line"))).cast(_VERTICES).alias("vertices"),
-        F.transform(edge, lambda x: F.struct(x["f"][1].cast("int").alias("u"), x["f"][2].cast("int").alias("v"), x["f"][3].cast("int").alias("label"), x["line"].alias("line"))).cast(_EDGES).alias("edges"),
-    )
+        F.transform(edge, lambda x: F.struct(x["f"][1].cast("int").alias("u"), x["f"][2].cast("int").alias("v"), x["f"][3].cast("int").alias("label"), x["line"].alias("line"))).alias("edges"),
+    )
+    rows = rows.withColumn("sorted", F.array_sort(F.transform("vertices", lambda x: F.struct(x["vid"], x["line"], x["label"]))))
+
+    def end(vid: Column) -> Column:
+        """The vertex: at its own place where ids are 0, 1, 2, ..., as they mostly are."""
+        return F.when(F.get("sorted", vid)["vid"] == vid, F.get("sorted", vid)).otherwise(F.get(F.reverse(F.filter("sorted", lambda x: x["vid"] == vid)), F.lit(0)))
+
+    def labelled(e: Column) -> Column:
+        u, v = end(e["u"]), end(e["v"])
+        return F.struct(e["u"], e["v"], e["label"], e["line"], u["label"].alias("lu"), v["label"].alias("lv"), F.when(u.isNotNull() & v.isNotNull(), F.greatest(u["line"], v["line"])).alias("at"))
+
+    return rows.select("gid", "graph_id", "vertices", F.transform("edges", labelled).cast(_EDGES).alias("edges"))
 
 
 def graph_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """graphs(graph_id), vertices(graph_id, vid, label, line), edges(graph_id, u, v, label, line) of parsed graphs."""
-    vertices = records.select("graph_id", F.explode("vertices").alias("x")).select("graph_id", "x.*")
-    edges = records.select("graph_id", F.explode("edges").alias("x")).select("graph_id", "x.*")
-    return records.select("graph_id"), vertices, edges
+    """graphs(graph_id, gid), vertices(graph_id, gid, vid, label, line), edges(graph_id, gid, u, v, label, line, lu, lv, at) of parsed graphs; gid names a graph."""
+    vertices = records.select("graph_id", "gid", F.explode("vertices").alias("x")).select("graph_id", "gid", "x.*")
+    edges = records.select("graph_id", "gid", F.explode("edges").alias("x")).select("graph_id", "gid", "x.*")
+    return records.select("graph_id", "gid"), vertices, edges
 
 
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,14 +108,16 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def labelled_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, u, v, lu, lv, el) from vertices and edges. Where both have lines, an edge that stands before its vertices raises."""
-    lines = "line" in vertices.columns and "line" in edges.columns
-    own = edges.select("graph_id", "u", "v", "label", *(["line"] if lines else []))
+    """(gid, u, v, lu, lv, el). Edges of graph_tables have the labels of their ends; those of other tables (graph_id, u, v, label) meet vertices (graph_id, vid, label).
+
+    An edge of graph_tables that stands before its vertices raises.
+    """
+    if {"gid", "lu", "lv", "at", "line"} <= set(edges.columns):
+        early = F.col("at").isNull() | (F.col("at") > F.col("line"))
+        said = F.concat(F.lit("edge before its vertices: graph "), F.col("graph_id").cast("string"), F.lit(" line "), F.col("line").cast("string"))
+        own = edges.where(F.when(early, F.raise_error(said).cast("boolean")).otherwise(True))
+        return own.select("gid", "u", "v", "lu", "lv", F.col("label").alias("el"))
+    own = edges.select("graph_id", "u", "v", "label")
     for end in ("u", "v"):
-        known = vertices.select("graph_id", F.col("vid").alias(end), F.col("label").alias(f"l{end}"), *([F.col("line").alias("at")] if lines else []))
-        own = own.join(known, ["graph_id", end], "left" if lines else "inner")
-        if lines:
-            early = F.col("at").isNull() | (F.col("at") > F.col("line"))
-            said = F.concat(F.lit("edge before its vertices: graph "), F.col("graph_id").cast("string"), F.lit(" line "), F.col("line").cast("string"))
-            own = own.where(F.when(early, F.raise_error(said).cast("boolean")).otherwise(True)).drop("at")
+        own = own.join(vertices.select("graph_id", F.col("vid").alias(end), F.col("label").alias(f"l{end}")), ["graph_id", end])
     return own.select(F.col("graph_id").alias("gid"), "u", "v", "lu", "lv", F.col("label").alias("el"))

@@ -1,0 +1,86 @@
+"""Graph files as they come: any white space, ids that repeat, marks inside lines, splits anywhere."""
+
+import pytest
+
+from motifloom.operators import graphs
+from motifloom.plans import framework
+from motifloom.sources import text
+
+
+def tables(spark, path):
+    ids, vertices, edges = text.read_graphs(spark, str(path))
+    return ids, text.labelled_edges(vertices, edges)
+
+
+def listed(frame):
+    return sorted(map(tuple, frame.collect()))
+
+
+def test_each_t_line_opens_a_graph(spark, tmp_path):
+    """The same id twice, tabs and blanks of any number, before the t as well, other marks than #, blank lines."""
+    (tmp_path / "g").write_text("\n\nt  #  0\nv 0 1\nv 1 1\ne 0 1 2\n\nt\t#\t0 x\r\nv\t0 1\r\n  v 1   2\r\ne 0 1 2\r\n  \t t % 7\n v 0 3 \nv 1 4\n\te 0 1 2\n")
+    ids, edges = tables(spark, tmp_path / "g")
+    assert listed(ids) == [(0, 0), (0, 1), (7, 2)]
+    assert listed(edges) == [(0, 0, 1, 1, 1, 2), (1, 0, 1, 1, 2, 2), (2, 0, 1, 3, 4, 2)]
+
+
+def test_same_ids_in_two_files_are_two_graphs(spark, tmp_path):
+    """No pattern that spans files: an edge of each file would make one of two edges."""
+    (tmp_path / "a").write_text("t # 0\nv 0 1\nv 1 2\ne 0 1 5\n")
+    (tmp_path / "b").write_text("t # 0\nv 1 2\nv 2 3\ne 1 2 6\n")
+    ids, edges = tables(spark, tmp_path)
+    assert ids.count() == 2 and {r["gid"] for r in edges.collect()} == {0, 1}
+    found = framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, str(tmp_path)), 0.5).collect()
+    assert {(r["pattern"], r["support"]) for r in found} == {("0 1 1 5 2", 1), ("0 1 2 6 3", 1)}
+
+
+@pytest.mark.parametrize("size", ["7", "64", "1000"])
+def test_numbers_do_not_depend_on_splits(spark, tmp_path, size):
+    for name in "abc":
+        (tmp_path / name).write_text("".join(f"t # {i % 3}\nv 0 {i}\nv 1 {ord(name)}\ne 0 1 {i}\n" for i in range(9)))
+    whole = [listed(x) for x in tables(spark, tmp_path)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert [listed(x) for x in tables(spark, tmp_path)] == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r[1] for r in whole[0]] and sorted(r[1] for r in whole[0]) == list(range(27))
+
+
+def test_marks_inside_lines_part_nothing(spark, tmp_path):
+    (tmp_path / "g").write_text("t # 0 t # 9\nv 0 1 t # 1\nv 1 1\n# comment t # 5\ne 0 1 2 t # 2\n")
+    ids, edges = tables(spark, tmp_path / "g")
+    assert listed(ids) == [(0, 0)] and listed(edges) == [(0, 0, 1, 1, 1, 2)]
+
+
+def test_end_markers_and_ids_of_vertices(spark, tmp_path):
+    """Graphs after an end marker count; vertices may have any ids, the last line of one counts; short lines are left out."""
+    (tmp_path / "g").write_text("t # 3\nv 900 1\nv 7 2\nv 900 4\nv 5\ne 7\ne 900 7 1\nt # -1\nt # -5\nt # 4\nv 1 1\nv 0 8\ne 0 1 0\n")
+    ids, edges = tables(spark, tmp_path / "g")
+    assert [r[0] for r in listed(ids)] == [3, 4]
+    assert [r[1:] for r in listed(edges)] == [(900, 7, 4, 2, 1), (0, 1, 8, 1, 0)]
+
+
+@pytest.mark.parametrize(("content", "said"), [
+    ("v 0 1\nt # 0\nv 0 1\n", "before its t line"),
+    ("t # 0\nv 0 1\nv 1 1\ntotal 5\ne 0 1 1\n", "before its t line"),
+    ("t # 0\nv 0 1\nt\nv 1 1\n", "before its t line"),
+    ("t # 0\nv 0 1\ne 0 1 1\n", "edge before its vertices"),
+    ("t # 0\nv 0 x\n", "CAST_INVALID_INPUT"),
+])
+def test_what_is_no_graph_raises(spark, tmp_path, content, said):
+    (tmp_path / "g").write_text(content)
+    with pytest.raises(Exception, match=said):
+        ids, vertices, edges = text.read_graphs(spark, str(tmp_path / "g"))
+        ids.collect()
+        vertices.collect()
+        text.labelled_edges(vertices, edges).collect()
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "a").write_text("")
+    (tmp_path / "b").write_text("\n \n")
+    assert text.read_graphs(spark, str(tmp_path))[0].collect() == []
+    assert framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, str(tmp_path)), 0.5).collect() == []
