@@ -17,7 +17,7 @@ All draws are hashes of the seed, the level and the two ids: reruns agree and do
 is ever gathered in one task: chunks are dealt by a hash of the id, also in the largest source.
 
 Null texts have size 0. Documents of size 0 are never taken. A null source is a source of its own, ordered last; sources
-that tie in capacity over weight are ordered by name. Rows that repeat (source, doc_id, size) share one draw, weighted by
+that tie in capacity over weight are ordered by name, which their targets do not depend on. Rows that repeat (source, doc_id, size) share one draw, weighted by
 their number. Texts of any length are counted as wholes inside the JVM. An empty table gives an empty table; further
 columns of docs may have any names. Of the folders that a call writes one is left, which the result reads.
 """
@@ -59,16 +59,17 @@ def _targets(totals: DataFrame, weights: tuple[float, ...], max_copies: int) ->
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (at + 1).cast("int"))
     capacity = F.col("source_size") * F.lit(float(max_copies))
     t = totals.withColumn("weight", weight).withColumn("full", capacity / F.col("weight"))
-    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("full", F.col("source").asc_nulls_last())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = t.withColumn("total", F.sum("source_size").over(everything).cast("double")).withColumn("weights", F.sum("weight").over(everything))
     level = (F.col("total") - F.coalesce(F.sum(capacity).over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    t = t.withColumn("level", level).withColumn("open", F.col("level") <= F.col("full"))
-    # the first source that its level does not fill sets the level of all from there on
-    first = F.min(F.when(F.col("open"), F.struct("full", "level"))).over(everything)
-    t = t.withColumn("final", first["level"])
-    target = F.when(F.col("open") | (F.col("final") < F.col("full")), F.col("weight") * F.col("final")).otherwise(capacity)
-    t = t.withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(target, capacity)))
+    t = t.withColumn("level", level).withColumn("place", F.row_number().over(order)).withColumn("open", F.col("level") <= F.col("full"))
+    # the first source, in the order of the running sums, that its level does not fill sets the level of all from there on
+    t = t.withColumn("final", F.min_by("level", F.when(F.col("open"), F.col("place"))).over(everything))
+    # the level only rises while sources are filled, so those before are full at the final level too
+    target = F.least(F.col("weight") * F.col("final"), capacity)
+    t = t.withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(target))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
     return t.select("source", "n_docs", "source_size", "target", rate.alias("rate"))
 

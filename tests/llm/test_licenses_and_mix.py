@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,31 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(targets(sizes) if sum(sizes.values()) else {s: 0.0 for s in sizes})
 
 
+def test_targets_of_sources_that_tie(spark):
+    """Random tables with many equal sizes and weights, zeros and a null source."""
+    rng = random.Random(5)
+    for case in range(100):
+        sizes = {f"s{i:03}": rng.choice([0, 1, 10, 10, 10, 150, 150, 1500]) for i in range(rng.randrange(1, 40))}
+        if case % 3 == 0:
+            sizes[None] = rng.choice([0, 10, 150])
+        if not sum(sizes.values()):
+            continue
+        rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+        assert got == pytest.approx(targets(sizes)), sizes
+        assert sum(got.values()) == pytest.approx(sum(sizes.values()))
+
+
+@pytest.mark.parametrize("n", [10, 1000])
+def test_equal_sources_share_all_words(spark, n):
+    docs = spark.range(5 * n).selectExpr("id as doc_id", "repeat('w ', 3) as text", f"lpad(cast(id % {n} as string), 4, '0') as source")
+    rows = mixing.mixed(docs).collect()
+    by = {r["source"]: r["target"] for r in rows}
+    assert len(by) == n and sum(by.values()) == pytest.approx(15 * n)
+    # each source's last document goes to its nearer side
+    assert abs(sum(r["taken"] for r in rows) - 15 * n) <= 1.5 * n
+
+
 @pytest.mark.parametrize("chunk", [4, 512])
 def test_mix(spark, chunk):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
