@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, bounded, kept_names, materialize, packed, unpacked
 
 SLOTS = 4
-NO_ID = np.iinfo(np.int64).min
 
 
 class CuckooIndex:
@@ -40,7 +39,7 @@ class CuckooIndex:
         self.max_rounds, self.resizes = max_rounds, 0
         self.keys = np.zeros((1024, 4), np.uint64)
         self.counts = np.zeros(1024, np.int64)
-        self.ids = np.full(1024, NO_ID, np.int64)
+        self.ids, self.named = np.zeros(1024, np.int64), np.zeros(1024, bool)  # without a name there is no id yet
         self.used, self.free = 0, np.zeros(0, np.int64)
         self._clear(buckets)
 
@@ -81,9 +80,10 @@ class CuckooIndex:
         while self.used > len(self.keys):
             self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.ids = np.concatenate([self.ids, np.full_like(self.ids, NO_ID)])
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.named = np.concatenate([self.named, np.zeros_like(self.named)])
         entries = np.concatenate([reused, new])
-        self.keys[entries], self.counts[entries], self.ids[entries] = keys, 0, NO_ID
+        self.keys[entries], self.counts[entries], self.named[entries] = keys, 0, False
         return entries
 
     def insert(self, keys: np.ndarray) -> np.ndarray:
@@ -143,26 +143,28 @@ class CuckooIndex:
         self.free = np.concatenate([self.free, entry[there]])
         return there
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Adds rows of any keys: counts are summed, the largest id stays. Keys whose count falls to 0 or below are deleted."""
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, named: np.ndarray | None = None) -> None:
+        """Adds rows of any keys: counts are summed, the largest id stays; rows that are not named have none. Keys whose count falls to 0 or below are deleted."""
+        named = np.ones(len(ids), bool) if named is None else named
         distinct, at = np.unique(keys, axis=0, return_inverse=True)
         at = at.reshape(-1)
         n = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-        most = np.full(len(distinct), NO_ID)
-        np.maximum.at(most, at, ids)
         entry = self.find(distinct)
         new = entry < 0
         entry[new] = self.insert(distinct[new])
         self.counts[entry] += n
-        self.ids[entry] = np.maximum(self.ids[entry], most)
+        holder, ids = entry[at[named]], ids[named]
+        first = holder[~self.named[holder]]
+        self.ids[first], self.named[first] = np.iinfo(np.int64).min, True
+        np.maximum.at(self.ids, holder, ids)
         if (gone := self.counts[entry] <= 0).any():
             self.delete(distinct[gone])
 
-    def take(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes one key out: its key, id and count, or none of each if it is not there."""
+    def take(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Takes one key out: its key, id, count and whether it has an id, or none of each if it is not there."""
         entry = self.find(key)
         entry = entry[entry >= 0]
-        held = self.keys[entry].copy(), self.ids[entry].copy(), self.counts[entry].copy()
+        held = self.keys[entry].copy(), self.ids[entry].copy(), self.counts[entry].copy(), self.named[entry].copy()
         self.delete(key)
         return held
 
@@ -171,7 +173,7 @@ class CuckooIndex:
         live = np.setdiff1d(np.arange(self.used), self.free)
         raw = np.ascontiguousarray(self.keys[live]).tobytes()
         digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(live), [None, pa.py_buffer(raw)]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([digest, pa.array(self.ids[live], mask=self.ids[live] == NO_ID), pa.array(self.counts[live])], names=["digest", "keep_id", "group_size"])
+        return pa.RecordBatch.from_arrays([digest, pa.array(self.ids[live], mask=~self.named[live]), pa.array(self.counts[live])], names=["digest", "keep_id", "group_size"])
 
 
 SCHEMA = "digest binary, keep_id long, group_size long"
@@ -192,7 +194,8 @@ def _indexed(limit: int, ordered: bool = False):
                 continue
             digest = batch.column("digest").cast(pa.binary(32))
             keys = np.frombuffer(digest.buffers()[1], np.uint64).reshape(-1, 4)[digest.offset : digest.offset + len(digest)]
-            index.add(keys, batch.column("keep_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), batch.column("group_size").to_numpy(zero_copy_only=False))
+            ids = batch.column("keep_id")
+            index.add(keys, ids.fill_null(0).to_numpy(zero_copy_only=False), batch.column("group_size").to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False))
             if len(index) > limit:
                 held = index.take(keys[-1:]) if ordered else None
                 yield index.rows()

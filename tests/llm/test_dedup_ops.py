@@ -72,6 +72,21 @@ def test_exact_groups(spark, odd, empty):
     assert kept.columns == df.columns and kept.count() == len(groups) + 1
 
 
+def test_no_id_is_reserved(spark):
+    """The least and the largest long are ids like others; a null one is smaller than both."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "only"), (None, "pair"), (low, "Pair"), (high, "three"), (low, "three"), (None, "three"), (None, "none")]
+    found = {(r["doc_id"], r["text_sha256"]): r for r in cuckoo.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(found) == len(rows)
+    for (i, t), keep, n in zip(rows, [low, low, low, high, high, high, None], [1, 2, 2, 3, 3, 3, 1], strict=True):
+        r = found[i, digest(t.lower())]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, n, i == keep)
+    kept = cuckoo.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"].lower(), r["doc_id"]) for r in kept if r["doc_id"] is not None) == [("only", low), ("pair", low), ("three", high)]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["none"]
+
+
 def test_small_tasks_and_hot_text(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise("Hot").alias("text"))
     index = cuckoo.digest_index(df, task_limit=10)
