@@ -294,31 +294,35 @@ def within(band: Band, n_chars: int, figures: list[tuple[int, float, float]], vo
     )
 
 
-def language_limits(measured: DataFrame, spread: float, min_rows: int) -> DataFrame:
-    """From rows of language, n_words and chars_per_token: language, n_words (their median) and limits, for each vocabulary its median (`middle`) and `width`, of languages with min_rows rows.
+def language_limits(measured: DataFrame, spread: float, prior: float) -> DataFrame:
+    """From rows of language, n_words and chars_per_token: language, usual (the median of n_words), trust, and limits: for each vocabulary its median (`middle`) and `width`.
 
-    Quartiles are exact to a thousandth: rows are counted by that first, so a language's rows never meet in one task.
+    trust is n / (n + prior) of a language with n rows. Quartiles are exact to a thousandth: rows are counted by that
+    first, so a language's rows never meet in one task.
     """
-    longest = F.least(F.col("n_words"), F.lit(100_000))
-    figures = F.concat(F.array(longest.cast("double")), F.transform("chars_per_token", lambda x: F.floor(x * 1000).cast("double")))
+    figures = F.concat(F.array(F.col("n_words").cast("double")), F.transform("chars_per_token", lambda x: F.floor(x * 1000).cast("double")))
     counted = measured.where(F.col("language").isNotNull()).select("language", F.posexplode(figures).alias("k", "bin")).groupBy("language", "k", "bin").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("language", "k").orderBy("bin")
     placed = counted.withColumn("upto", F.sum("n").over(so_far)).withColumn("total", F.sum("n").over(Window.partitionBy("language", "k")))
     quarter = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bin")))
-    found = placed.where(F.col("total") >= min_rows).groupBy("language", "k").agg(quarter(1).alias("low"), quarter(2).alias("middle"), quarter(3).alias("high"))
+    found = placed.groupBy("language", "k").agg(quarter(1).alias("low"), quarter(2).alias("middle"), quarter(3).alias("high"), F.max("total").alias("total"))
     one = F.struct("k", (F.col("middle") / 1000).alias("middle"), (F.lit(spread) * (F.col("high") - F.col("low")) / 1349).alias("width"))
-    by_language = found.groupBy("language").agg(F.max(F.when(F.col("k") == 0, F.col("middle"))).alias("usual"), F.array_sort(F.collect_list(F.when(F.col("k") > 0, one))).alias("limits"))
+    by_language = found.groupBy("language").agg(
+        F.max(F.when(F.col("k") == 0, F.col("middle"))).alias("usual"), F.array_sort(F.collect_list(F.when(F.col("k") > 0, one))).alias("limits"),
+        (F.max("total") / (F.max("total") + F.lit(prior))).alias("trust"),
+    )
     return by_language
 
 
-def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str, Band] | None = None, min_words: int = 50, max_repeat_percent: int = 50, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None, spread: float = 4.0, min_rows: int = 200) -> DataFrame:
-    """Rows of docs with the columns of keep, the base figures, script, chars_per_token, fallback_share and token_entropy (arrays in the order of the vocabularies), base_failed and kept.
+def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str, Band] | None = None, min_words: int = 50, max_repeat_percent: int = 50, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None, spread: float = 4.0, prior: float = 2.0) -> DataFrame:
+    """Rows of docs with the columns of keep, the base figures, script, chars_per_token, fallback_share, token_entropy and band_least, the least characters per token of the script's band (arrays in the order of the vocabularies), base_failed and kept.
 
     With the name of a language column, a text must also stay above the limits of its language: under each vocabulary its
     characters per token are at least the median of the language's texts less `spread` standard deviations (estimated
     by the quartiles; wider for texts that are shorter than the median, as their mean varies more). The limits come from
-    all texts that pass the base rules, so most of them should be running text; a language with less than min_rows of
-    them, or a null one, has only the band of its script.
+    all texts that pass the base rules, so most of them should be running text. The fewer those are, the nearer a
+    language's limit lies to the lower end of its script's band: it counts like `prior` texts beside them. A null
+    language has only the band.
     """
     bands = bands or BANDS
     shared = [(os.path.basename(p), read_bounded(p)) for p in vocabulary_paths]
@@ -328,8 +332,9 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
         figures = [token_figures(next(by_parts) if v.parted else v.encode(x), v) for v in vocabs]
         script, base = main_script(x), base_figures(x)
         failed = base[0] < min_words or 100 * base[4] > max_repeat_percent * base[0]
-        kept = not failed and within(bands.get(script, bands["other"]), len(x), figures, vocabs)
-        return (*base, script, [len(x) / max(1, f[0]) for f in figures], [f[1] for f in figures], [f[2] for f in figures], failed, kept)
+        band = bands.get(script, bands["other"])
+        kept = not failed and within(band, len(x), figures, vocabs)
+        return (*base, script, [len(x) / max(1, f[0]) for f in figures], [f[1] for f in figures], [f[2] for f in figures], [getattr(band, v.least) for v in vocabs], failed, kept)
 
     @F.arrow_udf(MEASURED_DDL)
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -349,10 +354,11 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
     own = kept_names(keep, names)
     kept_columns = F.struct(*(F.col(c).alias(n) for c, n in own.items())) if own else F.lit(0)
     rows = materialize(docs.select(kept_columns.alias("own"), F.col(language).cast("string").alias("language"), measure(F.col(text)).alias("made")))
-    limits = materialize(language_limits(rows.where(~F.col("made.base_failed")).select("language", "made.n_words", "made.chars_per_token"), spread, min_rows))
+    limits = materialize(language_limits(rows.where(~F.col("made.base_failed")).select("language", "made.n_words", "made.chars_per_token"), spread, prior))
     met = rows.join(bounded(limits), "language", "left")
     wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual") / F.greatest(F.col("made.n_words"), F.lit(1))))
-    above = F.zip_with("made.chars_per_token", "limits", lambda x, limit: x >= limit["middle"] - limit["width"] * wider)
+    lowest = F.zip_with("limits", "made.band_least", lambda own, band: F.col("trust") * (own["middle"] - own["width"] * wider) + (1 - F.col("trust")) * band)
+    above = F.zip_with("made.chars_per_token", lowest, lambda x, least: x >= least)
     kept = F.col("made.kept") & F.coalesce(F.forall(above, lambda x: x), F.lit(True))
     return met.select(*(F.col("own").getField(n).alias(n) for n in own.values()), *(F.col("made").getField(n).alias(n) for n in names[:-1]), kept.alias("kept"))
 
@@ -360,6 +366,6 @@ def quality(docs: DataFrame, vocabulary_paths: tuple[str, ...], bands: dict[str,
 _LIST = pa.list_(pa.float64())
 MEASURED = pa.struct([
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-    ("script", pa.string()), ("chars_per_token", _LIST), ("fallback_share", _LIST), ("token_entropy", _LIST), ("base_failed", pa.bool_()), ("kept", pa.bool_()),
+    ("script", pa.string()), ("chars_per_token", _LIST), ("fallback_share", _LIST), ("token_entropy", _LIST), ("band_least", _LIST), ("base_failed", pa.bool_()), ("kept", pa.bool_()),
 ])
-MEASURED_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, base_failed boolean, kept boolean"
+MEASURED_DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, band_least array<double>, base_failed boolean, kept boolean"

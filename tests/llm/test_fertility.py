@@ -181,41 +181,55 @@ def test_clean_documents_are_kept(spark):
 def test_language_limits(spark, docs):
     """Limits and verdicts by a plain computation over all rows."""
     rows = fertility.quality(docs, VOCABULARIES, keep=("doc_id", "lang")).collect()
-    got = {r["doc_id"]: r for r in fertility.quality(docs, VOCABULARIES, keep=("doc_id",), language="lang", spread=2.0, min_rows=20).collect()}
+    got = {r["doc_id"]: r for r in fertility.quality(docs, VOCABULARIES, keep=("doc_id",), language="lang", spread=2.0, prior=20).collect()}
     assert len(got) == len(rows)
     limits = {}
     for lang in {r["lang"] for r in rows} - {None}:
         own = [r for r in rows if r["lang"] == lang and not r["base_failed"]]
-        if len(own) < 20:
+        if not own:
             continue
         quarter = lambda values, q: sorted(values)[-(-q * len(values) // 4) - 1]
-        limits[lang] = quarter([r["n_words"] for r in own], 2), [
+        limits[lang] = len(own) / (len(own) + 20), quarter([r["n_words"] for r in own], 2), [
             (quarter(v, 2) / 1000, 2.0 * (quarter(v, 3) - quarter(v, 1)) / 1349) for v in ([math.floor(r["chars_per_token"][k] * 1000) for r in own] for k in (0, 1))
         ]
     assert limits
     for r in rows:
         kept = r["kept"]
         if r["lang"] in limits:
-            usual, each = limits[r["lang"]]
+            trust, usual, each = limits[r["lang"]]
             wider = math.sqrt(max(1.0, usual / max(1, r["n_words"])))
-            kept = kept and all(x >= middle - width * wider for x, (middle, width) in zip(r["chars_per_token"], each, strict=True))
+            band = fertility.BANDS.get(r["script"], fertility.BANDS["other"])
+            lowest = [trust * (middle - width * wider) + (1 - trust) * low for (middle, width), low in zip(each, (band.min_chars_per_piece, band.min_chars_per_rank), strict=True)]
+            kept = kept and all(x >= low for x, low in zip(r["chars_per_token"], lowest, strict=True))
         assert got[r["doc_id"]]["kept"] == kept
     assert any(r["kept"] and not got[r["doc_id"]]["kept"] for r in rows)
 
 
 def test_language_limits_edge_cases(odd, empty):
-    rows = fertility.quality(odd, VOCABULARIES, keep=tuple(odd.columns), language="lang", min_rows=1).collect()
+    rows = fertility.quality(odd, VOCABULARIES, keep=tuple(odd.columns), language="lang", prior=0.5).collect()
     assert len(rows) == len(ODD) + 1
     assert fertility.quality(empty, VOCABULARIES, language="lang").count() == 0
 
 
-def test_both_rates_by_language(spark):
-    """Labels of quality: nearly all good texts stay, most bad ones that pass the base rules go."""
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_both_rates_by_language(spark, sf):
+    """Labels of quality: nearly all good texts stay, most bad ones that pass the base rules go, in every language and at every size."""
     from motifloom.llm import queries
 
-    d = "/root/testdata/sf0.1"
+    d = f"/root/testdata/{sf}"
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     rows = [(quality[r["doc_id"]], r["kept"]) for r in queries.op2_fertility(spark, d).select("doc_id", "base_failed", "kept").collect() if r["doc_id"] in quality and not r["base_failed"]]
     good, bad = [k for q, k in rows if q == 1], [k for q, k in rows if q == 0]
     assert sum(good) >= 0.995 * len(good)
     assert sum(bad) <= 0.35 * len(bad)
+
+
+def test_limits_move_smoothly_with_the_number_of_rows(spark):
+    """No number of rows switches a language's limits on."""
+    trusts = []
+    for n in (1, 2, 10, 199, 200, 201):
+        rows = spark.createDataFrame([("en", 100, [4.0, 4.0])] * n, "language string, n_words long, chars_per_token array<double>")
+        (found,) = fertility.language_limits(rows, 4.0, 20).collect()
+        trusts.append(found["trust"])
+        assert found["limits"][0]["middle"] == 4.0
+    assert trusts == [n / (n + 20) for n in (1, 2, 10, 199, 200, 201)]
