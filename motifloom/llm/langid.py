@@ -4,8 +4,8 @@ Training counts hashed n-grams of one to three characters for each language over
 labelled rows (``max_docs_per_label``, stratified, about that many at most; a language with fewer rows gives them all).
 The matrix of log probabilities (buckets x languages; its bytes are checked) is broadcast, and each batch of texts is
 scored as a sparse product: the rows of the matrix at the n-grams of a text, summed. The posterior is the score. It
-compares the learned languages with each other only, and is near 1 for any text of some words; `known` says whether the best
-one fits at all: the share of the text's n-grams that are likelier in it than n-grams are on average. In a script that no
+compares the learned languages with each other only, and is near 1 for any text of some words; `known`, where it is asked for
+(the pipeline's stage does), says whether the best one fits at all: the share of the text's n-grams that are likelier in it than n-grams are on average. In a script that no
 language was learned in only those are that share a bucket with a frequent n-gram.
 
 Text that is null or has no letter is `und` with score and known 0. Upper and lower case count alike, other characters than
@@ -61,9 +61,10 @@ def _letters() -> np.ndarray:
 
 
 def _segments(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
-    """Runs of about SEGMENT characters: the text of each segment, the segment, and how many of its characters begin n-grams."""
+    """Runs of about SEGMENT characters of the lower-cased texts: the text of each segment, the segment, and how many of its characters begin n-grams."""
     owner, parts, starts, size = [], [], [], 0
     for i, text in enumerate(texts):
+        text = text.lower()  # before anything is counted: some characters become several
         for at in range(0, max(len(text), 1), SEGMENT):
             part = text[at : at + SEGMENT + GAP]
             owner.append(i)
@@ -78,10 +79,10 @@ def _segments(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int
 
 
 def hashed(parts: list[str], starts: list[int], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram buckets (orders x positions, `buckets` where there is no n-gram), where each part begins, and whether it has a letter."""
+    """n-gram buckets of lower-cased parts (orders x positions, `buckets` where there is no n-gram), where each part begins, and whether it has a letter."""
     gap = " " * GAP
-    codes = np.frombuffer((gap.join(parts) + gap).lower().encode("utf-32-le", "replace"), np.uint32)
-    lengths = np.fromiter((len(p) if p.isascii() else len(p.lower()) for p in parts), np.int64, len(parts)) + GAP
+    codes = np.frombuffer((gap.join(parts) + gap).encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + GAP
     begins = np.cumsum(lengths) - lengths
     letter = _letters()[codes]
     codes = np.where(letter, codes, np.uint32(32))
@@ -140,56 +141,66 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", doc_id: st
     return LanguageModel(labels, weights, np.log(n / n.sum()))
 
 
-def score_and_known(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Label, posterior and share of known n-grams of each text."""
-    buckets, width = len(model.weights) - 1, len(model.labels)
-    sums = np.zeros((len(texts), 2 * width + 1))  # in the order of the table's rows
-    sums[:, :width] = model.prior
-    some = np.zeros(len(texts), bool)
+def _summed(model: LanguageModel, texts: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each of rows over a text's n-grams, and which texts have a letter."""
+    sums, some = np.zeros((len(texts), len(rows))), np.zeros(len(texts), bool)
     for owner, parts, starts in _segments(texts):
-        grams, begins, has = hashed(parts, starts, buckets)
+        grams, begins, has = hashed(parts, starts, len(model.weights) - 1)
         for g in grams:
-            np.add.at(sums, owner, np.stack([np.add.reduceat(row[g].astype(np.float64), begins) for row in model.table], axis=1))
+            np.add.at(sums, owner, np.stack([np.add.reduceat(row[g].astype(np.float64), begins) for row in rows], axis=1))
         np.logical_or.at(some, owner, has)
-    if not model.labels:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    total, known, n = sums[:, :width], sums[:, width:-1], sums[:, -1]
+    return sums, some
+
+
+def _best(model: LanguageModel, sums: np.ndarray, some: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, posterior and the label's place."""
+    total = model.prior + sums
     best = total.argmax(axis=1)
     posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    share = known[np.arange(len(texts)), best] / np.maximum(n, 1)
-    return [model.labels[i] if s else "und" for i, s in zip(best, some, strict=True)], np.where(some, posterior, 0.0), np.where(some, share, 0.0)
+    return [model.labels[i] if s else "und" for i, s in zip(best, some, strict=True)], np.where(some, posterior, 0.0), best
 
 
 def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Label and posterior of each text."""
-    return score_and_known(model, texts)[:2]
+    if not model.labels:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    return _best(model, *_summed(model, texts, model.table[: len(model.labels)]))[:2]
+
+
+def score_and_known(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, posterior and share of known n-grams of each text, at about twice the work."""
+    if not (width := len(model.labels)):
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    sums, some = _summed(model, texts, model.table)
+    labels, posterior, best = _best(model, sums[:, :width], some)
+    share = sums[np.arange(len(texts)), width + best] / np.maximum(sums[:, -1], 1)
+    return labels, posterior, np.where(some, share, 0.0)
 
 
 RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.float64())])
 
 
-def predicted(text: Column, model: LanguageModel, spark) -> Column:
-    """A struct of lang_pred, score and known."""
+def predicted(text: Column, model: LanguageModel, spark, known: bool = True) -> Column:
+    """A struct of lang_pred, score and, if asked for, known."""
     shared = spark.sparkContext.broadcast(model)
+    fields = list(RESULT) if known else list(RESULT)[:2]
 
-    @F.arrow_udf("lang_pred string, score double, known double")
+    @F.arrow_udf(", ".join(f"{f.name} {'string' if f.type == pa.string() else 'double'}" for f in fields))
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            labels, scores, shares = [], [], []
+            held: list[list] = [[] for _ in fields]
             for block in blocks((x.as_py() for x in batch), SEGMENT):
-                found, posterior, known = score_and_known(shared.value, block)
-                labels += found
-                scores += posterior.tolist()
-                shares += known.tolist()
-            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], fields=list(RESULT))
+                for column, values in zip(held, (score_and_known if known else score)(shared.value, block), strict=True):
+                    column += values if isinstance(values, list) else values.tolist()
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(held, fields, strict=True)], fields=fields)
         pa.default_memory_pool().release_unused()  # Python workers live on with other operators
 
     return predict(text)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of docs with the columns of keep, lang_pred, score and known."""
-    return with_results(docs, keep, predicted(F.col(text), model, docs.sparkSession), (f.name for f in RESULT))
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: bool = False) -> DataFrame:
+    """Rows of docs with the columns of keep, lang_pred, score and, if asked for, known."""
+    return with_results(docs, keep, predicted(F.col(text), model, docs.sparkSession, known), [f.name for f in RESULT][: 3 if known else 2])
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.3, min_known: float = 0.25) -> DataFrame:

@@ -64,6 +64,17 @@ def test_equal_to_plain_naive_bayes(spark, docs):
         assert label == wanted[0] or 0.499 < wanted[1] < 0.501
 
 
+def test_whole_texts_where_lower_casing_lengthens(monkeypatch):
+    """A capital dotted I becomes two characters: no n-gram of the text is lost, whatever the segments."""
+    text = "\u0130" * 20 + " the house and garden"
+    for segment in (1 << 18, 7):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        got = Counter()
+        for _, parts, starts in langid._segments([text, "x\u0130"]):
+            got.update(g for g in langid.hashed(parts, starts, 512)[0].ravel().tolist() if g < 512)
+        assert got == Counter(plain_buckets(text, 512)) + Counter(plain_buckets("x\u0130", 512))
+
+
 def test_ties_go_to_the_first_label(spark):
     rows = [(1, "same words", "fr"), (2, "same words", "en"), (3, "same words", "de")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
