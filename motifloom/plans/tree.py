@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.plans import intervals
+
 
 def with_parents(patterns: DataFrame) -> DataFrame:
     """(pattern, support) with depth and parent (the empty array for one-step patterns)."""
@@ -25,19 +27,35 @@ def children_counts(patterns: DataFrame) -> DataFrame:
 
 def subtree(patterns: DataFrame, roots: DataFrame) -> DataFrame:
     """Patterns that have one of roots (pattern) as a prefix, themselves included."""
-    prefixes = patterns.select("pattern", F.explode(F.transform(F.sequence(F.lit(1), F.size("pattern")), lambda k: F.slice("pattern", 1, k))).alias("prefix"))
-    hit = prefixes.join(roots.select(F.col("pattern").alias("prefix")), "prefix", "left_semi").select("pattern").distinct()
-    return patterns.join(hit, "pattern", "left_semi")
+    return _below(patterns, roots).where(F.col("_root").isNotNull()).select("_row.*")
 
 
 def without_subtrees(patterns: DataFrame, roots: DataFrame) -> DataFrame:
     """Patterns of which no prefix is among roots."""
-    return patterns.join(subtree(patterns, roots).select("pattern"), "pattern", "left_anti")
+    return _below(patterns, roots).where(F.col("_root").isNull()).select("_row.*")
+
+
+def _below(patterns: DataFrame, roots: DataFrame) -> DataFrame:
+    """`_row` of patterns, and the nearest of roots that it begins with."""
+    rows = patterns.select("pattern", F.struct("*").alias("_row"))
+    both = rows.unionByName(roots.select("pattern", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+    return intervals.nearest_prefix(both, F.col("_row").isNull(), itself=True, name="_root").where(F.col("_row").isNotNull())
 
 
 def longest_prefixes(queries: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(query, matched): the longest prefix of each query array that is a pattern; null if there is none."""
-    prefixes = queries.select("query", F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.size("query"), F.lit(1))), lambda k: F.slice("query", 1, k))).alias("prefix"))
-    hit = prefixes.join(patterns.select(F.col("pattern").alias("prefix")), "prefix")
-    best = hit.groupBy("query").agg(F.max_by("prefix", F.size("prefix")).alias("matched"))
-    return queries.distinct().join(best, "query", "left")
+    """(query, matched): the longest prefix of each distinct query array that is a pattern; null if there is none, as for a null query."""
+    asked = queries.select(F.col("query").alias("pattern"), F.lit(True).alias("_asked")).distinct()
+    both = asked.where(F.col("pattern").isNotNull()).unionByName(patterns.select("pattern", F.lit(False).alias("_asked")))
+    found = intervals.nearest_prefix(both, ~F.col("_asked"), itself=True, name="matched").where("_asked")
+    none = asked.where(F.col("pattern").isNull()).select(F.col("pattern").alias("query"), F.col("pattern").alias("matched"))
+    return found.select(F.col("pattern").alias("query"), "matched").unionByName(none)
+
+
+def subtree_sizes(patterns: DataFrame) -> DataFrame:
+    """(pattern, depth, begin, end, below): preorder intervals, and how many patterns go on from each."""
+    return intervals.preorder(patterns.select("pattern")).withColumn("below", F.col("end") - F.col("begin") - 1)
+
+
+def nearest_ancestors(patterns: DataFrame, chosen: Column) -> DataFrame:
+    """patterns with ancestor: the longest proper prefix that is a pattern for which chosen holds."""
+    return intervals.nearest_prefix(patterns, chosen, name="ancestor")

@@ -317,6 +317,15 @@ def pattern_subtree_removed(spark, d):
     return kept.select(render.item_sequence(F.col("pattern")).alias("pattern"), "support")
 
 
+def pattern_tree_intervals(spark, d):
+    """Depth, preorder interval, size of the subtree, and the nearest ancestor that twice as many records hold as are required."""
+    patterns = written(_patterns(spark, d))
+    need = 2 * PRIORITY * support.record_count(priority_sequences(spark, d))
+    near = tree.nearest_ancestors(patterns, F.col("support") >= need).select(F.col("pattern").alias("p"), "ancestor")
+    sizes = tree.subtree_sizes(patterns).join(near, F.col("pattern") == F.col("p"))
+    return sizes.select(render.item_sequence(F.col("pattern")).alias("pattern"), "depth", "begin", "end", "below", render.item_sequence(F.col("ancestor")).alias("ancestor"))
+
+
 def parsed_item_lines(spark, d):
     lines = _table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ",,").alias("value"))
     return text.parse_item_lines(lines.select("value")).select(F.size("items").alias("n")).groupBy("n").agg(F.count("*").alias("records"))
@@ -340,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge,
         graph_file_patterns, item_file_patterns, itemset_file_sequences, pattern_sink_lines,
         partition_local_support, partition_candidates, partition_merged_support, min_frontier,
-        pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, parsed_item_lines, parsed_itemset_lines,
+        pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, pattern_tree_intervals, parsed_item_lines, parsed_itemset_lines,
     )
 }
 
@@ -472,6 +481,11 @@ ORACLES: dict[str, str] = {
         m as (select items, max(case when f.pattern = array_to_string(items[1:f.size], ' > ') then f.size else 0 end) as k from q, f group by 1)
         select k::int as matched_size, count(*) as queries from m group by 1""",
     "pattern_subtree_removed": f"with {_SEQ} select pattern, support from f where pattern >= '3'",
+    "pattern_tree_intervals": f"""with {_SEQ}, t as (select *, row_number() over (order by string_split(pattern, ' > ')) - 1 as begin from f),
+        b as (select f.pattern, count(*) - 1 as below from f join f g on starts_with(g.pattern || ' > ', f.pattern || ' > ') group by 1),
+        a as (select f.pattern, max_by(g.pattern, g.size) as ancestor from f join f g on g.size < f.size and starts_with(f.pattern, g.pattern || ' > ')
+              where g.support >= 2 * {PRIORITY}::double * (select count(distinct sid) from ev) group by 1)
+        select pattern, size as depth, begin, begin + below + 1 as "end", below, ancestor from t join b using (pattern) left join a using (pattern)""",
     "parsed_item_lines": "with c as (select o_custkey, count(*)::int as n from orders group by 1) select n, count(*) as records from c group by 1",
     "parsed_itemset_lines": _ITEMSET_LINES,
     "itemset_file_sequences": _ITEMSET_LINES,
