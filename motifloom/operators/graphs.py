@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from motifloom.functions import dfscode, render
 from motifloom.operators import prune
 from motifloom.plans.framework import mine
+from motifloom.plans.metrics import Levels
 from motifloom.sources import text
 
 #: Of one code: the place `at` from which an edge may go, whether that is the last vertex, the least label of new
@@ -169,7 +170,7 @@ _PLACES = pa.list_(pa.struct([
 ]))
 
 
-def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_edges: int | None = None, directed: bool = False) -> DataFrame:
+def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_edges: int | None = None, directed: bool = False, levels: Levels | None = None) -> DataFrame:
     """(pattern, size, support): size in edges, pattern as its least DFS code. n_graphs counts graphs without edges too.
 
     Edges whose label triple is infrequent are pruned before mining.
@@ -177,4 +178,4 @@ def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_ed
     if directed:
         raise ValueError("directed graphs are not defined here")
     kept = prune.prune_edges(edges, prune.label_edge_support(edges).where(F.col("support") >= n_graphs * threshold))
-    return mine(Subgraphs(), symmetric(kept), n_graphs, threshold, max_edges)
+    return mine(Subgraphs(), symmetric(kept), n_graphs, threshold, max_edges, levels=levels)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import render
 from motifloom.operators import graphs, itemsets, partitions, projection, prune, sequences, support
-from motifloom.plans import framework, tree
+from motifloom.plans import framework, metrics, tree
 from motifloom.plans.checkpoints import shared_folder, written
 from motifloom.sources import sinks, tables, text
 
@@ -142,6 +142,14 @@ def frequent_itemsets_finished(spark, d):
     return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND, finish_below=db.count() // 5)
 
 
+def mining_levels(spark, d):
+    """What each level of a run saw and kept."""
+    lines = priority_sequences(spark, d).select(F.array_join("items", ",").alias("value"))
+    levels = metrics.Levels()
+    framework.run(framework.ItemSequences(), lines, PRIORITY, levels=levels)
+    return levels.frame(spark).drop("seconds")
+
+
 def seq_patterns_coded(spark, d):
     lines = priority_sequences(spark, d).select(F.array_join("items", ",").alias("value"))
     return framework.run(framework.Coded(framework.ItemSequences()), lines, PRIORITY, finish_below=framework.FINISH_BELOW)
@@ -343,7 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         seq_patterns_order_priority, seq_patterns_levelwise, itemset_seq_patterns_ptype, itemset_seq_patterns_levelwise, frequent_itemsets_brand, frequent_itemsets_levelwise,
         seq_patterns_by_parts, frequent_itemsets_by_parts, itemset_seq_patterns_by_parts, seq_patterns_finished, itemset_seq_patterns_finished, frequent_itemsets_finished,
-        seq_patterns_coded, frequent_itemsets_coded,
+        seq_patterns_coded, frequent_itemsets_coded, mining_levels,
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
         graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge,
@@ -481,6 +489,13 @@ ORACLES: dict[str, str] = {
         m as (select items, max(case when f.pattern = array_to_string(items[1:f.size], ' > ') then f.size else 0 end) as k from q, f group by 1)
         select k::int as matched_size, count(*) as queries from m group by 1""",
     "pattern_subtree_removed": f"with {_SEQ} select pattern, support from f where pattern >= '3'",
+    "mining_levels": f"""with {_SEQ}, k as (select item from ev, n group by item, mc having count(distinct sid) >= mc),
+        g as (select p.k + 1 as level, p.pat, e.item, p.sid from p join ev e on e.sid = p.sid and e.pos > p.pos where e.item in (select item from k) group by all
+              union all select distinct 1, '', item, sid from ev where item in (select item from k)),
+        c as (select level, pat, item, count(*) as support from g group by all), l as (select unnest(range(1, max(k) + 2)) as level from p)
+        select l.level::int as level, coalesce(sum(support), 0)::bigint as projections, count(support) as candidates,
+               count(support) filter (support >= mc) as frequent, count(support) filter (support >= mc) as canonical
+        from l left join c on c.level = l.level, n group by l.level, mc""",
     "pattern_tree_intervals": f"""with {_SEQ}, t as (select *, row_number() over (order by string_split(pattern, ' > ')) - 1 as begin from f),
         b as (select f.pattern, count(*) - 1 as below from f join f g on starts_with(g.pattern || ' > ', f.pattern || ' > ') group by 1),
         a as (select f.pattern, max_by(g.pattern, g.size) as ancestor from f join f g on g.size < f.size and starts_with(f.pattern, g.pattern || ' > ')

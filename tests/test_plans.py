@@ -80,3 +80,18 @@ def test_metrics(spark):
         df, seen = metrics.observed(spark.range(7))
         df.collect()
     assert seen.get["n"] == 7 and times["run"] > 0
+
+
+def test_levels_of_a_run(spark):
+    """Counts of each level; of graphs, canonical codes are fewer than frequent ones."""
+    from motifloom.operators import graphs
+    from motifloom.plans.metrics import Levels
+
+    edges = [(g, u, v, 0, 0, 0) for g in range(3) for u, v in ((0, 1), (1, 2), (2, 3))]
+    levels = Levels()
+    found = graphs.frequent_subgraphs(spark.createDataFrame(edges, "gid int, u int, v int, lu int, lv int, el int"), 3, 1.0, levels=levels).collect()
+    rows = [r.asDict() for r in levels.frame(spark).collect()]
+    assert [r["canonical"] for r in rows] == [1, 1, 1, 0] and len(found) == 3
+    assert [r["level"] for r in rows] == [1, 2, 3, 4] and rows[0]["projections"] == 3 and rows[1]["candidates"] == 2
+    assert all(r["projections"] >= r["frequent"] >= r["canonical"] and r["candidates"] >= r["frequent"] and r["seconds"] > 0 for r in rows)
+    assert rows[1]["frequent"] == 2  # the path's end and its start; the second is no least code
