@@ -3,6 +3,8 @@
 A code is a list of edges (from, to, from_label, edge_label, to_label) over vertices numbered in order of discovery. A
 vertex label stands at the first edge of the vertex only, -1 elsewhere. Of all codes of a graph the least one, in the order
 of gSpan (Yan and Han, 2002), is its canonical form.
+
+In directed graphs an edge label holds the direction in which the code walks the edge: 2 x label along it, plus 1 against it.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ def rightmost_path(code: list[Edge]) -> list[int]:
     return path[::-1]
 
 
-def least_code(vertex: dict[int, int], edges: list[tuple[int, int, int]], at_most: list[Edge] | None = None) -> list[Edge] | None:
-    """The least code of a connected graph; None as soon as it is seen to be less than at_most.
+def least_code(vertex: dict[int, int], edges: list[tuple[int, int, int]], at_most: list[Edge] | None = None, directed: bool = False) -> list[Edge] | None:
+    """The least code of a connected graph; None as soon as it is seen to be less than at_most. Labels of directed edges are those from u to v.
 
     All ways to begin the least code are grown together: of all their possible next edges the least ones stay. A backward
     edge comes before a forward one; backward edges order by target and label, forward edges by source (deepest first),
@@ -40,7 +42,7 @@ def least_code(vertex: dict[int, int], edges: list[tuple[int, int, int]], at_mos
     near: dict[int, list[tuple[int, int, int]]] = {v: [] for v in vertex}
     for i, (u, v, label) in enumerate(edges):
         near[u].append((v, label, i))
-        near[v].append((u, label, i))
+        near[v].append((u, label ^ directed, i))
     least = min((vertex[u], label, vertex[v]) for u in near for v, label, _ in near[u])
     code: list[Edge] = [(0, 1, *least)]
     grown = [((u, v), frozenset([i])) for u in near for v, label, i in near[u] if (vertex[u], label, vertex[v]) == least]
@@ -77,6 +79,6 @@ def least_code(vertex: dict[int, int], edges: list[tuple[int, int, int]], at_mos
         grown = list(dict.fromkeys(kept))
 
 
-def is_least(code: list[Edge]) -> bool:
+def is_least(code: list[Edge], directed: bool = False) -> bool:
     """Whether a code is the canonical one of its graph."""
-    return least_code(labels(code), [(f, t, le) for f, t, _, le, _ in code], code) is not None
+    return least_code(labels(code), [(f, t, le) for f, t, _, le, _ in code], code, directed) is not None

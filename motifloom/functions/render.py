@@ -22,9 +22,10 @@ def itemset_sequence(pattern: Column) -> Column:
     return F.array_join(sets, " ")
 
 
-def dfs_code(pattern: Column) -> Column:
-    """array of code edges -> `0 1 7 3 7 , 1 2 -1 3 9`."""
-    edge = lambda e: F.concat_ws(" ", *(e[k].cast("string") for k in ("f", "t", "lf", "le", "lt")))
+def dfs_code(pattern: Column, directed: bool = False) -> Column:
+    """array of code edges -> `0 1 7 3 7 , 1 2 -1 3 9`; directed, `0 1 7 3> 7 , 1 2 -1 3< 9`."""
+    label = lambda e: F.concat(F.shiftright(e["le"], 1).cast("string"), F.when(e["le"] % 2 == 0, ">").otherwise("<")) if directed else e["le"].cast("string")
+    edge = lambda e: F.concat_ws(" ", *(label(e) if k == "le" else e[k].cast("string") for k in ("f", "t", "lf", "le", "lt")))
     return F.array_join(F.transform(pattern, edge), " , ")
 
 

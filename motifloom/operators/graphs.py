@@ -1,4 +1,4 @@
-"""Frequent connected subgraphs of labelled, undirected graph transactions.
+"""Frequent connected subgraphs of labelled graph transactions, undirected or directed.
 
 Edges come as rows (gid, u, v, lu, lv, el): vertex ids, vertex labels and edge label, in one direction or both. The state
 of the level loop is one row for each embedding of a code in a graph: the vertices that the code's vertices are mapped to
@@ -13,6 +13,9 @@ each edge. Edges that close a cycle meet both of their ends in an equi-join. The
 embeddings of codes that are frequent and canonical are built, by an equi-join on vertex and labels, and none for the last
 level. Support counts graphs, not embeddings; codes that are not canonical are dropped, so a pattern is found once.
 
+Of directed edges u is the source. A code may walk them either way, and the label that it has for an edge says which: twice
+the label, plus 1 against the edge's direction. Codes and their order are otherwise those of undirected graphs.
+
 Patterns have one edge or more. Edges of different labels between two vertices are edges of their own; exact repeats of
 an edge count once, and edges from a vertex to itself are left out.
 """
@@ -37,23 +40,30 @@ from motifloom.sources import text
 PLACES = "array<struct<at:int,last:boolean,least:int,el:int,lv:int,back:array<struct<el:int,open:boolean>>>>"
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge once: tran_id (the graph), u, v, lu, lv, el, and further
+def symmetric(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """Both directions of each edge once: tran_id (the graph), u, v, lu, lv, el (of a directed edge with the direction), and further
 
     eid, which both directions share; beside, whether there are other edges between the two; place, the number (from 1) of
     the neighbour among those that u has by an edge of this label to a vertex of this label.
     """
     ends = lambda n, label: F.struct(F.col(n).alias("n"), F.col(label).cast("int").alias("l"))
-    e = edges.where(F.col("u") != F.col("v")).select(F.col("gid").alias("tran_id"), F.least(ends("u", "lu"), ends("v", "lv")).alias("a"), F.greatest(ends("u", "lu"), ends("v", "lv")).alias("b"), F.col("el").cast("int").alias("el"))
+    u, v, el = ends("u", "lu"), ends("v", "lv"), F.col("el").cast("int")
+    el = 2 * el + (u > v).cast("int") if directed else el
+    e = edges.where(F.col("u") != F.col("v")).select(F.col("gid").alias("tran_id"), F.least(u, v).alias("a"), F.greatest(u, v).alias("b"), el.alias("el"))
     pairs = e.groupBy("tran_id", "a", "b").agg(F.collect_set("el").alias("els"))
     one = pairs.select("tran_id", "a", "b", (F.size("els") > 1).alias("beside"), F.explode("els").alias("el"))
     one = one.withColumn("eid", F.xxhash64("a.n", "b.n", "el"))
-    way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    both = one.select("tran_id", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w"), "el", "eid", "beside")
-    both = both.select("tran_id", F.col("w.x.n").alias("u"), F.col("w.y.n").alias("v"), F.col("w.x.l").alias("lu"), F.col("w.y.l").alias("lv"), "el", "eid", "beside")
+    way = lambda x, y, label: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), label.alias("el"))
+    both = one.select("tran_id", F.explode(F.array(way("a", "b", F.col("el")), way("b", "a", _turned(F.col("el"), directed)))).alias("w"), "eid", "beside")
+    both = both.select("tran_id", F.col("w.x.n").alias("u"), F.col("w.y.n").alias("v"), F.col("w.x.l").alias("lu"), F.col("w.y.l").alias("lv"), "w.el", "eid", "beside")
     return both.withColumn("place", F.row_number().over(Window.partitionBy("tran_id", "u", "el", "lv").orderBy("v")))
 
 
+def _turned(el: Column, directed: bool) -> Column:
+    """The label of an edge as it is walked the other way."""
+    return el.bitwiseXOR(F.lit(1)) if directed else el
+
+
 def _edge(f: Column, t: Column, lf: Column, le: Column, lt: Column) -> Column:
     return F.struct(*(c.cast("int").alias(n) for c, n in ((f, "f"), (t, "t"), (lf, "lf"), (le, "le"), (lt, "lt"))))
 
@@ -89,6 +99,9 @@ class Subgraphs:
 
     one_each = True  # of candidates()
 
+    def __init__(self, directed: bool = False):
+        self.directed = directed
+
     def parse(self, blocks: DataFrame) -> DataFrame:
         return text.parse_graph_blocks(blocks)
 
@@ -96,7 +109,7 @@ class Subgraphs:
         return prune.label_edge_support(text.labelled_edges(*text.graph_tables(records)[1:]))
 
     def encode(self, records: DataFrame, frequent: DataFrame) -> DataFrame:
-        return symmetric(prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent))
+        return symmetric(prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent), self.directed)
 
     def start(self, delta: Column) -> Column:
         return F.array(delta)
@@ -104,11 +117,16 @@ class Subgraphs:
     def grow(self, pattern: Column, delta: Column) -> Column:
         return F.concat(pattern, F.array(delta))
 
+    def _begins(self) -> Column:
+        """Whether an edge of db stands in the direction in which a least code walks its first edge, or in both."""
+        lower = F.col("lu") < F.col("lv")
+        return lower | ((F.col("lu") == F.col("lv")) & (F.col("el") <= _turned(F.col("el"), self.directed)))
+
     def candidates(self, projected: DataFrame | None, db: DataFrame, size: int) -> DataFrame:
         """The edges by which each code may grow in each graph."""
         if projected is None:
             edge = _edge(F.lit(0), F.lit(1), F.col("lu"), F.col("el"), F.col("lv"))
-            return db.where(F.col("lu") <= F.col("lv")).select(F.lit(0).cast("long").alias("pid"), edge.alias("delta"), F.col("tran_id")).distinct()
+            return db.where(self._begins()).select(F.lit(0).cast("long").alias("pid"), edge.alias("delta"), F.col("tran_id")).distinct()
         p = projected.select("pid", F.col("tran_id").alias("gid"), "vertices", "used", F.explode("places").alias("s"))
         p = p.withColumn("u", F.element_at("vertices", F.col("s.at") + 1))
         # of at most size + 1 vertices `size` are not u, so of size + 1 neighbours one is new
@@ -121,14 +139,15 @@ class Subgraphs:
         made = _edge(F.col("at"), F.col("target"), F.lit(-1), F.col("el"), F.lit(-1))
         # a cycle of two edges are edges beside each other
         backward = closing.join((db.where("beside") if size == 1 else db).select(F.col("tran_id").alias("gid"), "u", "v", "el", "eid"), ["gid", "u", "v"])
-        backward = backward.where(((F.col("b.el") < F.col("el")) | ((F.col("b.el") == F.col("el")) & F.col("b.open"))) & ~F.array_contains("used", F.col("eid"))).select("pid", made.alias("delta"), "gid")
+        back = _turned(F.col("el"), self.directed)  # from the target, where the path's own edge goes from
+        backward = backward.where(((F.col("b.el") < back) | ((F.col("b.el") == back) & F.col("b.open"))) & ~F.array_contains("used", F.col("eid"))).select("pid", made.alias("delta"), "gid")
         return forward.unionByName(backward).distinct().withColumnRenamed("gid", "tran_id")
 
     def embed(self, projected: DataFrame | None, chosen: DataFrame, db: DataFrame) -> DataFrame:
         """The embeddings of chosen codes."""
         chosen = chosen.select("pid", "number", F.col("delta").alias("d"))
         if projected is None:
-            met = db.join(chosen, (F.col("lu") == F.col("d.lf")) & (F.col("el") == F.col("d.le")) & (F.col("lv") == F.col("d.lt")))
+            met = db.where(self._begins()).join(chosen, (F.col("lu") == F.col("d.lf")) & (F.col("el") == F.col("d.le")) & (F.col("lv") == F.col("d.lt")))
             return met.select(F.col("number").alias("pid"), "tran_id", F.array("u", "v").alias("vertices"), F.array("eid").alias("used"))
         p = projected.select("pid", F.col("tran_id").alias("gid"), "vertices", "used").join(chosen, "pid").withColumn("from", F.element_at("vertices", F.col("d.f") + 1))
         is_new = F.col("d.f") < F.col("d.t")
@@ -153,15 +172,17 @@ class Subgraphs:
     def canonical(self, pattern: Column) -> Column:
         """Tests the distinct codes of a level, not their embeddings."""
 
+        directed = self.directed
+
         @F.arrow_udf("boolean")
         def least(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([dfscode.is_least(code) for code in _codes(batch)], pa.bool_())
+                yield pa.array([dfscode.is_least(code, directed) for code in _codes(batch)], pa.bool_())
 
         return least(pattern)
 
     def render(self, pattern: Column) -> Column:
-        return render.dfs_code(pattern)
+        return render.dfs_code(pattern, self.directed)
 
 
 _PLACES = pa.list_(pa.struct([
@@ -173,9 +194,8 @@ _PLACES = pa.list_(pa.struct([
 def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_edges: int | None = None, directed: bool = False, levels: Levels | None = None) -> DataFrame:
     """(pattern, size, support): size in edges, pattern as its least DFS code. n_graphs counts graphs without edges too.
 
-    Edges whose label triple is infrequent are pruned before mining.
+    Edges whose label triple is infrequent are pruned before mining. Directed edges go from u to v; in a pattern the label
+    of one is followed by > if the code walks it so, by < if it walks against it.
     """
-    if directed:
-        raise ValueError("directed graphs are not defined here")
     kept = prune.prune_edges(edges, prune.label_edge_support(edges).where(F.col("support") >= n_graphs * threshold))
-    return mine(Subgraphs(), symmetric(kept), n_graphs, threshold, max_edges, levels=levels)
+    return mine(Subgraphs(directed), symmetric(kept, directed), n_graphs, threshold, max_edges, levels=levels)

@@ -243,6 +243,12 @@ def graph_patterns_3edge(spark, d):
     return graphs.frequent_subgraphs(edges, _n_graphs(edges), LINES, max_edges=3)
 
 
+def directed_graph_patterns(spark, d):
+    """Patterns of up to two edges of line_graphs as directed graphs: an order has lines, a part comes from a supplier, an order names suppliers."""
+    edges = written(line_graphs(spark, d))
+    return graphs.frequent_subgraphs(edges, _n_graphs(edges), LINES, max_edges=2, directed=True)
+
+
 def graph_file_patterns(spark, d):
     """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined to the end."""
     edges = line_graphs(spark, d)
@@ -354,7 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         seq_patterns_coded, frequent_itemsets_coded, mining_levels,
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
-        graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge,
+        graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge, directed_graph_patterns,
         graph_file_patterns, item_file_patterns, itemset_file_sequences, pattern_sink_lines,
         partition_local_support, partition_candidates, partition_merged_support, min_frontier,
         pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, pattern_tree_intervals, parsed_item_lines, parsed_itemset_lines,
@@ -436,6 +442,21 @@ p2 as (select {first} || ' , ' || {part(2)} as pattern, 2 as size, support from
 select pattern, size, support from (select * from p1 union all select * from p2{" union all select * from p3" if most == 3 else ""}) where support >= (select need from need)"""
 
 
+_DIRECTED = f"""with l as (select l_orderkey as gid, l_partkey * 2 + 1 as p, l_suppkey * 2 + 2 as s, 10 + n_regionkey as r from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+e as (select gid, 0::bigint as u, p as v, 0 as lu, 1 as lv, 0 as el from l union select gid, p, s, 1, r, 1 from l union select gid, 0, s, 0, r, 2 from l),
+need as (select count(distinct gid) * {LINES}::double as need from e),
+s as (select gid, u, v, lu, lv, 2 * el as el from e union all select gid, v, u, lv, lu, 2 * el + 1 from e),
+c1 as (select gid, [lu, el, lv] as c from s where lu < lv or (lu = lv and el % 2 = 0)),
+-- from the middle vertex m to x and y: a code begins at x, or at m and goes on from the vertex just found or from m
+pair as (select a.gid, list_min([[a.lv, xor(a.el, 1), a.lu, 0, b.el, b.lv], [a.lu, a.el, a.lv, 1, b.el, b.lv], [b.lv, xor(b.el, 1), b.lu, 0, a.el, a.lv], [b.lu, b.el, b.lv, 1, a.el, a.lv]]) as c
+         from s a join s b on a.gid = b.gid and a.u = b.u and a.v < b.v),
+w as (select 1 as size, gid, c from c1 union all select 2, gid, c from pair),
+n as (select size, c, count(distinct gid) as support from w group by all)
+select '0 1 ' || c[1] || ' ' || (c[2] >> 1) || case c[2] % 2 when 0 then '>' else '<' end || ' ' || c[3]
+       || case when size = 1 then '' else ' , ' || (1 - c[4]) || ' 2 -1 ' || (c[5] >> 1) || case c[5] % 2 when 0 then '>' else '<' end || ' ' || c[6] end as pattern, size, support
+from n where support >= (select need from need)"""
+
+
 _ITEMSET_LINES = """with b as (select distinct o_custkey, o_orderkey, length(p_type) as item from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
         s as (select o_custkey, o_orderkey, string_agg(item::varchar, ' ' order by item::varchar) as items from b group by 1, 2)
         select o_custkey::int as tran_id, '(' || string_agg(items, ') (' order by o_orderkey) || ')' as sequence from s group by 1"""
@@ -474,6 +495,7 @@ ORACLES: dict[str, str] = {
     "graph_patterns_2edge": _two_edges(GRAPH),
     "graph_patterns": _two_edges(0.1),
     "graph_patterns_3edge": _line_patterns(3),
+    "directed_graph_patterns": _DIRECTED,
     "graph_file_patterns": _line_patterns(3, FILES),
     "item_file_patterns": f"with {_SEQ} select pattern, size, support from f",
     "pattern_sink_lines": f"with {_SEQ} select pattern || ': ' || support as line from f",

@@ -104,8 +104,6 @@ def test_run_from_files(spark, tmp_path):
 def test_edge_before_its_vertices(spark, tmp_path):
     with pytest.raises(Exception, match="edge before its vertices"):
         mined(spark, "t # 0\nv 0 1\ne 0 1 1\nv 1 1\n", 1.0, tmp_path)
-    with pytest.raises(ValueError, match="directed"):
-        graphs.frequent_subgraphs(None, 1, 1.0, directed=True)
 
 
 def test_pruning_is_symmetric(spark):
@@ -203,3 +201,44 @@ def test_least_code_is_canonical():
                 codes.add(tuple(dfscode.least_code({renamed[v]: labels[v] for v in used}, [(renamed[u], renamed[v], el) for u, v, el in subset])))
             assert len(codes) == 1
             assert dfscode.is_least(list(codes.pop()))
+
+
+def class_of(labels, edges):
+    """A name of a directed graph up to isomorphism: the least of all ways to number its vertices."""
+    used = sorted({v for e in edges for v in e[:2]})
+    names = []
+    for order in itertools.permutations(range(len(used))):
+        place = dict(zip(used, order, strict=True))
+        names.append((sorted((place[v], labels[v]) for v in used), sorted((place[u], place[v], el) for u, v, el in edges)))
+    return repr(min(names))
+
+
+def drawn(pattern):
+    """Labels and directed edges of a rendered code."""
+    labels, edges = {}, []
+    for e in pattern.split(" , "):
+        f, t, lf, le, lt = e.split()
+        f, t = int(f), int(t)
+        for v, label in ((f, lf), (t, lt)):
+            if label != "-1":
+                labels[v] = int(label)
+        edges.append((f, t, int(le[:-1])) if le[-1] == ">" else (t, f, int(le[:-1])))
+    return labels, edges
+
+
+def test_directed_brute_force(spark):
+    """Edges both ways between two vertices, with equal labels too, are edges of their own."""
+    rng = random.Random(3)
+    rows, groups = [], {}
+    for gid in range(5):
+        labels = {v: rng.randint(0, 1) for v in range(4)}
+        edges = sorted({(u, v, rng.randint(0, 1)) for u in range(4) for v in range(4) if u != v and rng.random() < 0.55})
+        rows += [(gid, u, v, labels[u], labels[v], el) for u, v, el in edges]
+        for subset in connected_subsets(edges, 4):
+            groups.setdefault(class_of(labels, subset), set()).add(gid)
+    df = spark.createDataFrame(rows, "gid int, u int, v int, lu int, lv int, el int")
+    found = graphs.frequent_subgraphs(df.unionByName(df), 5, 0.4, max_edges=4, directed=True).collect()
+    got = {class_of(*drawn(r["pattern"])): r["support"] for r in found}
+    assert len(got) == len(found)
+    assert got == {c: len(g) for c, g in groups.items() if len(g) >= 2}
+    assert any(" 1 0 -1" in r["pattern"] for r in found)
