@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat verb, intent, target, negation, reported speech, other) by a lexicon transducer: a
+Words become symbols (insult, threat verb, intent, target, subject pronoun, negation, reported speech, other) by a lexicon transducer: a
 trie of stems (accepted with anything after them) and whole words, whose arcs are seed words and stems learned from
 labels; the weight of a word is that of the last accepting state on its path. Two machines read the symbols of a clause,
-a bimachine: one from the right, which knows whether a target follows within reach, and one from the left, the
+a bimachine: one from the right, which knows whether a target or an object follows within reach, and one from the left, the
 composition of five small ones (how far back the last target, the last possible object, the last negation and the last
-intent are, and whether speech is reported). Where they meet, each insult or threat is an event of a kind (plain,
+intent are, and whether speech is reported). Quotation marks and colons are symbols too: no target, object, negation or
+intent reaches across them, but a report does, so it reaches into what it quotes. Where they meet, each insult or threat is an event of a kind (plain,
 targeted, negated, reported, threat); the arc that emits it multiplies the word's weight by the factors of the machines
 it was composed of. A text's sums of path weights by kind go through a logistic model.
 
-A pronoun right before an intent is its subject, so "they will beat the deadline" has no object and is no threat, while
-"they will beat you" has one.
+A pronoun right before an intent is its subject, so "you will beat the deadline" has no object and is no threat, while
+"they will beat you" has one. Pronouns that are subjects only (he, they) can be insulted, but are no objects: "we will kill
+the process they started" is no threat. Contractions are parted: "I'll" is an intent, "don't" a negation.
 
 Learning uses a bounded, hash-chosen sample of labelled rows (``max_docs_per_class``, one text for each doc_id): all stems
 whose texts are mostly toxic, that occur often enough and in enough different contexts (so copies of one text do not count
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._common import bounded, scratch, with_results
 
-INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, REST = range(7)
+INSULT, THREAT, INTENT, TARGET, SUBJECT, NEGATION, REPORT, BREAK, REST = range(9)
 PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)
 KINDS = 5
 #: What the small machines multiply a word's weight by where they take part in an event.
@@ -47,16 +49,21 @@ FACTORS = {PLAIN: 1.0, TARGETED: 1.5, NEGATED: 0.2, REPORTED: 0.3, THREATENED: 1
 
 SEEDS: dict[int, str] = {
     INSULT: "idiot idiots idiotic moron morons stupid scum loser losers pathetic worthless disgusting trash clown clowns imbecile dumbass abruti imbécile salaud crétin dummkopf arschloch trottel abschaum idiota imbécil estúpido basura",
-    THREAT: "kill hurt destroy burn beat shoot stab tuer frapper brûler töten umbringen schlagen matar golpear quemar",
-    INTENT: "will gonna going should must shall vais va allons werde wird wirst voy va vamos",
-    TARGET: "you your youre ur he she they them tu toi vous votre ton du dich dir ihr sie tú usted te vosotros ustedes",
-    NEGATION: "not never no isnt arent dont nobody pas jamais aucun nicht kein keine nie nunca jamás ningún",
-    REPORT: "said says told called wrote quoted reported claims alleged dit appelé écrit sagte sagt nannte schrieb dijo dice llamó escribió",
+    THREAT: "kill murder hurt harm destroy burn beat shoot stab strangle choke crush smash punch attack hunt bomb poison torture hang slap tuer frapper brûler détruire étrangler töten umbringen schlagen verbrennen erschießen zerstören matar golpear quemar destruir disparar",
+    INTENT: "will gonna going wanna should must shall would could vais va allons vas vont veux dois werde wird wirst werden will soll muss voy va vamos vas van quiero debo",
+    TARGET: "you your youre ur yourself him her them us everyone everybody tu toi te vous votre ton ta lui leur eux du dich dir ihr euch ihn ihm ihnen sie tú usted te ti vosotros ustedes os lo la los",
+    SUBJECT: "he she they il elle ils elles er él ella ellos ellas",
+    NEGATION: "not never no nobody neither nor without cannot isnt arent wasnt werent dont doesnt didnt wont wouldnt cant couldnt shouldnt mustnt hasnt havent hadnt aint pas jamais aucun ne sans ni nicht kein keine keinen nie niemals ohne nunca jamás ningún tampoco sin",
+    REPORT: "said says saying told tells called calls wrote writes quoted quotes reported reports claims claimed alleged shouted yelled asked dit disait appelé écrit cite crié sagte sagt sagten nannte schrieb zitiert rief dijo dice decía llamó escribió gritó citó",
 }
 SEED_WEIGHT = 3.0
-_CLAUSE = re.compile(r"[.!?;:\n\"«»„“”()]+")
+_CLAUSE = re.compile(r"[.!?;\n()]+")
 _WORD = re.compile(r"[^\W_]+")
-REACH = 3  # words that a target, negation or intent reaches
+BREAKS = ':"«»„“”'
+_TOKEN = re.compile(rf"[^\W_]+|[{BREAKS}]+")
+_SHORT = re.compile(r"(?<=[^\W_])(?:n't|'ll)(?![^\W_])")
+REACH, NEGATION_REACH = 3, 5  # words that a target, object or intent, and that a negation reaches
+NONE, WHOM, OBJECT = range(3)  # what follows: nothing, somebody, somebody who may be an object
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 
@@ -106,7 +113,7 @@ def lexicon(stems: dict[str, float]) -> Lexicon:
 
 @dataclass(frozen=True)
 class Machine:
-    """move[state][symbol]; event[state][symbol][after]: kind (-1: none) and factor, by whether the machine from the right says that a target follows."""
+    """move[state][symbol]; event[state][symbol][after]: kind (-1: none) and factor, by what the machine from the right says that follows (NONE, WHOM, OBJECT)."""
 
     start: int
     move: list[list[int]]
@@ -114,42 +121,51 @@ class Machine:
 
 
 def compose() -> Machine:
-    """The machine from the left. States are (words since a target, since a possible object, since a negation, since an intent: REACH means none; speech reported)."""
-    span = range(REACH + 1)
-    states = list(product(span, span, span, span, (0, 1)))
+    """The machine from the left. States are (words since a target, since a possible object, since a negation, since an intent: the reach means none; speech reported)."""
+    span, wide = range(REACH + 1), range(NEGATION_REACH + 1)
+    states = list(product(span, span, wide, span, (0, 1)))
     number = {s: i for i, s in enumerate(states)}
     move, event = [], []
     for target, thing, negation, intent, report in states:
-        older = [min(x + 1, REACH) for x in (target, thing, negation, intent)]
+        older = min(target + 1, REACH), min(thing + 1, REACH), min(negation + 1, NEGATION_REACH), min(intent + 1, REACH)
         moves, events = [], []
-        for symbol in range(7):
-            t, o, n, i = (0 if symbol == s else x for s, x in zip((TARGET, TARGET, NEGATION, INTENT), older, strict=True))
+        for symbol in range(REST + 1):
+            t, o, n, i = older
+            if symbol == BREAK:
+                t, o, n, i = REACH, REACH, NEGATION_REACH, REACH
+            t = 0 if symbol in (TARGET, SUBJECT) else t
+            o = 0 if symbol == TARGET else o
+            n = 0 if symbol == NEGATION else n
+            i = 0 if symbol == INTENT else i
             if symbol == INTENT and thing == 0:
                 o = REACH  # the pronoun just before is the subject
             moves.append(number[t, o, n, i, 1 if symbol == REPORT else report])
             arcs = []
-            for after in (False, True):
+            for after in (NONE, WHOM, OBJECT):
                 kind = -1
                 if symbol == INSULT:
-                    kind = NEGATED if negation < REACH else REPORTED if report else TARGETED if target < REACH or after else PLAIN
-                elif symbol == THREAT and intent < REACH and negation == REACH and not report and (thing < REACH or after):
+                    kind = NEGATED if negation < NEGATION_REACH else REPORTED if report else TARGETED if target < REACH or after else PLAIN
+                elif symbol == THREAT and intent < REACH and negation == NEGATION_REACH and not report and (thing < REACH or after == OBJECT):
                     kind = THREATENED
                 arcs.append((kind, FACTORS.get(kind, 0.0)))
             events.append(arcs)
         move.append(moves)
         event.append(events)
-    return Machine(number[REACH, REACH, REACH, REACH, 0], move, event)
+    return Machine(number[REACH, REACH, NEGATION_REACH, REACH, 0], move, event)
 
 
 MACHINE = compose()
 
 
-def follows(symbols: list[int]) -> list[bool]:
-    """The machine from the right: whether a target is among the REACH next symbols. Its state is the distance."""
-    out, distance = [False] * len(symbols), REACH
+def follows(symbols: list[int]) -> list[int]:
+    """The machine from the right: what is among the REACH next symbols, up to a break. Its state are the distances of a pronoun and of a possible object."""
+    out, whom, thing = [NONE] * len(symbols), REACH, REACH
     for at in range(len(symbols) - 1, -1, -1):
-        out[at] = distance < REACH
-        distance = 0 if symbols[at] == TARGET else min(distance + 1, REACH)
+        out[at] = OBJECT if thing < REACH else WHOM if whom < REACH else NONE
+        symbol = symbols[at]
+        whom, thing = (REACH, REACH) if symbol == BREAK else (min(whom + 1, REACH), min(thing + 1, REACH))
+        whom = 0 if symbol in (TARGET, SUBJECT) else whom
+        thing = 0 if symbol == TARGET else thing
     return out
 
 
@@ -185,7 +201,7 @@ class Grammar:
         for clause in _CLAUSE.split(text):
             if not any(map(clause.__contains__, hot)):
                 continue
-            words = [self.symbol(w) for w in _WORD.findall(clause)]
+            words = [(BREAK, 0.0) if w[0] in BREAKS else self.symbol(w) for w in _TOKEN.findall(clause)]
             state = MACHINE.start
             for (symbol, weight), after in zip(words, follows([s for s, _ in words]), strict=True):
                 kind, factor = MACHINE.event[state][symbol][after]
@@ -200,7 +216,11 @@ class Grammar:
 
 
 def _plain(text: str) -> str:
-    return text.lower().replace("'", "").replace("’", "")
+    """Lower case, contractions parted, other apostrophes left out."""
+    text = text.lower().replace("’", "'")
+    if "'" not in text:
+        return text
+    return _SHORT.sub(lambda m: " not" if m[0] == "n't" else " will", text).replace("'", "")
 
 
 def stems_of(word: str) -> list[str]:
