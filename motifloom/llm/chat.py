@@ -12,7 +12,9 @@ long conversation needs no memory beyond its longest turn (its digest is one seq
 
 Null texts and roles count as empty. Roles other than system, user and assistant are kept as a segment of their own.
 Turns with equal numbers are ordered by role, then text; null turn numbers come first. Rows with a null conv_id make
-up one conversation. Repeated rows are repeated turns.
+up one conversation. Repeated rows are repeated turns. Texts of any length are encoded as wholes, in runs that end where
+the library would not merge across. An empty table gives an empty table. Other columns of the rows are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ DataFrame functions only. The templates' bigrams are a small table (its size is
 shuffled are matching bigrams alone, counted in each task first. Words are split once, for lines and whole texts alike.
 
 Null and empty texts match nothing. Ties go to the larger template, then to the one named first. Rows that share a
-doc_id share one result.
+doc_id share one result; a null doc_id is one like others. Texts of any length are scanned as wholes, inside the JVM and
+in the task that reads them. An empty table gives an empty table. Other columns of docs are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,10 +5,13 @@ import re
 import corpus_pipeline
 import tiktoken
 from public_tokenizers import PATTERN, path
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from motifloom.llm import bpe_tree
-from motifloom.llm._common import documents
+from motifloom.llm._common import documents, materialize
 
+from .conftest import ODD
 from .test_dedup_ops import brute, lowered
 from .test_licenses_and_mix import targets
 
@@ -58,3 +61,26 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def through(spark, docs):
+    """The rows that each stage returns; all but the last have the columns of docs."""
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = materialize(stage(spark, docs, SF))
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+        docs = out
+        counts.append(out.count())
+    return counts
+
+
+def test_odd_tables(spark, odd, empty):
+    """Nulls in all columns, repeated rows, clashing names, odd texts; tables without rows, and rows of nulls only."""
+    clashing = odd.drop("n").withColumn("row", F.lit("r")).withColumn("digest", F.lit(1)).withColumn("size", F.lit(2)).withColumn("language", F.lit("l"))
+    assert through(spark, clashing.where("false")) == [0] * 5
+    nulls = spark.createDataFrame([(None,) * len(clashing.columns)] * 3, StructType([StructField(f.name, f.dataType) for f in clashing.schema]))
+    assert through(spark, nulls) == [0] * 5
+    counts = through(spark, clashing.unionByName(clashing).unionByName(nulls))
+    letters = {lowered(t) for t in ODD if t and re.search(r"[^\W\d_]", t)}
+    assert counts[1] <= len(letters) + 1 and counts[0] >= 2 * counts[1] > 0
+    assert counts[2] <= counts[1] and counts[3] == counts[4]
