@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from motifloom.operators import itemsets, projection, prune, sequences, support
 from motifloom.plans import framework
@@ -161,3 +162,24 @@ def test_ranks_break_ties_by_item(spark):
     records = spark.createDataFrame([(1, ["b", "a"]), (2, ["c", "c"]), (3, ["c"])], "tran_id long, items array<string>")
     ranks = {r["item"]: (r["support"], r["rank"]) for r in support.item_ranks(support.item_support(records)).collect()}
     assert ranks == {"c": (2, 1), "a": (1, 2), "b": (1, 3)}
+
+
+def test_patterns_that_look_alike_have_items_of_their_own(spark):
+    """Items that hold the separators, and null items, are told apart by the typed column."""
+    from motifloom.operators.itemsets import frequent_itemsets
+    from motifloom.operators.sequences import frequent_item_sequences, frequent_itemset_sequences
+    from motifloom.plans import framework
+
+    df = spark.createDataFrame([(0, ["a,b", "c"]), (1, ["a", "b,c"]), (2, ["a", None])], "tran_id long, items array<string>")
+    alike = [r["items"] for r in frequent_itemsets(df, 0.3, typed=True).collect() if r["pattern"] == "a,b,c"]
+    assert sorted(alike) == [["a", "b,c"], ["a,b", "c"]]
+    assert ["a", None] in [r["items"] for r in frequent_itemsets(df, 0.3, typed=True).collect() if r["pattern"] == "a" and r["size"] == 2]
+    df = spark.createDataFrame([(0, ["a > b", "c"]), (1, ["a", "b > c"])], "tran_id long, items array<string>")
+    found = frequent_item_sequences(df, 0.5, typed=True).collect()
+    assert len({tuple(r["items"]) for r in found}) == len(found) > len({r["pattern"] for r in found})
+    db = df.select("tran_id", F.posexplode("items").alias("pos", "item"))
+    again = framework.mine(framework.ItemSequences(), db, 2, 0.5, typed=True).collect()
+    assert {tuple(r["items"]) for r in again} == {tuple(r["items"]) for r in found}
+    df = spark.createDataFrame([(0, [["a b", "c"]]), (1, [["a", "b c"]])], "tran_id long, sequence array<array<string>>")
+    found = frequent_itemset_sequences(df, 0.5, typed=True).collect()
+    assert len({repr(r["items"]) for r in found}) == len(found) > len({r["pattern"] for r in found})
