@@ -13,7 +13,7 @@ from motifloom.plans import framework, metrics, tree
 from motifloom.plans.checkpoints import shared_folder, written
 from motifloom.sources import sinks, tables, text
 
-PRIORITY, BRAND, TYPE, GRAPH, LINES, FILES = 0.3, 0.005, 0.85, 0.05, 0.3, 0.75
+PRIORITY, BRAND, TYPE, GRAPH, LINES, FILES = 0.3, 0.005, 0.85, 0.05, 0.3, 0.8
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
