@@ -11,6 +11,7 @@ from motifloom.functions import render
 from motifloom.operators import graphs, itemsets, partitions, projection, prune, sequences, support
 from motifloom.plans import framework, metrics, tree
 from motifloom.plans.checkpoints import shared_folder, written
+from motifloom.sources import records as formats
 from motifloom.sources import sinks, tables, text
 
 PRIORITY, BRAND, TYPE, GRAPH, LINES, FILES = 0.3, 0.005, 0.85, 0.05, 0.3, 0.8
@@ -267,6 +268,15 @@ def item_file_patterns(spark, d):
     return sequences.frequent_item_sequences(text.read_item_sequences(spark, path), PRIORITY)
 
 
+def own_format_patterns(spark, d):
+    """Records over several lines through files, parsed in SQL by a registered table function, and mined."""
+    block = F.concat(F.lit("record "), F.col("tran_id").cast("string"), F.lit("\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("item "), x)), "\n"), F.lit("\nend"))
+    path = _files(priority_sequences(spark, d).select(block.alias("value")))
+    formats.register(spark, "read_blocks", formats.Blocks, formats.Blocks.SCHEMA)
+    parsed = spark.sql("select * from read_blocks(table(select * from {lines}) partition by part order by (start, at))", lines=formats.lines(spark, path))
+    return sequences.frequent_item_sequences(parsed, PRIORITY)
+
+
 def itemset_file_sequences(spark, d):
     rows = _type_rows(spark, d).select("o_custkey", "o_orderkey", F.length("p_type").alias("item")).groupBy("o_custkey", "o_orderkey").agg(F.collect_list("item").alias("items"))
     path = _files(rows.select(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.size("items").cast("string"), F.transform("items", lambda x: x.cast("string"))).alias("value")))
@@ -361,7 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
         graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge, directed_graph_patterns,
-        graph_file_patterns, item_file_patterns, itemset_file_sequences, pattern_sink_lines,
+        graph_file_patterns, item_file_patterns, own_format_patterns, itemset_file_sequences, pattern_sink_lines,
         partition_local_support, partition_candidates, partition_merged_support, min_frontier,
         pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, pattern_tree_intervals, parsed_item_lines, parsed_itemset_lines,
     )
@@ -469,7 +479,7 @@ ORACLES: dict[str, str] = {
     "itemset_seq_patterns_levelwise": _ITEMSET_SEQ,
     "frequent_itemsets_brand": _ITEMSETS,
     "frequent_itemsets_levelwise": _ITEMSETS,
-    **dict.fromkeys(("seq_patterns_by_parts", "seq_patterns_finished", "seq_patterns_coded"), f"with {_SEQ} select pattern, size, support from f"),
+    **dict.fromkeys(("seq_patterns_by_parts", "seq_patterns_finished", "seq_patterns_coded", "own_format_patterns"), f"with {_SEQ} select pattern, size, support from f"),
     **dict.fromkeys(("frequent_itemsets_by_parts", "frequent_itemsets_finished", "frequent_itemsets_coded"), _ITEMSETS),
     **dict.fromkeys(("itemset_seq_patterns_by_parts", "itemset_seq_patterns_finished"), _ITEMSET_SEQ),
     "item_support": f"with {_BASKET} select item, count(*) as support from it group by 1",
