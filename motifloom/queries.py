@@ -113,6 +113,11 @@ def frequent_itemsets_levelwise(spark, d):
     return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND)
 
 
+def itemset_seq_patterns_bitmaps(spark, d):
+    records, miner = type_sequences(spark, d), framework.Bitmaps()
+    return framework.mine(miner, miner.bitmaps(projection.set_events_of(records)), support.record_count(records), TYPE)
+
+
 def seq_patterns_by_parts(spark, d):
     return partitions.frequent_by_parts(priority_sequences(spark, d), PRIORITY, least_parts=4)
 
@@ -366,7 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         seq_patterns_order_priority, seq_patterns_levelwise, itemset_seq_patterns_ptype, itemset_seq_patterns_levelwise, frequent_itemsets_brand, frequent_itemsets_levelwise,
-        seq_patterns_by_parts, frequent_itemsets_by_parts, itemset_seq_patterns_by_parts, seq_patterns_finished, itemset_seq_patterns_finished, frequent_itemsets_finished,
+        itemset_seq_patterns_bitmaps, seq_patterns_by_parts, frequent_itemsets_by_parts, itemset_seq_patterns_by_parts, seq_patterns_finished, itemset_seq_patterns_finished, frequent_itemsets_finished,
         seq_patterns_coded, frequent_itemsets_coded, mining_levels,
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
@@ -481,7 +486,7 @@ ORACLES: dict[str, str] = {
     "frequent_itemsets_levelwise": _ITEMSETS,
     **dict.fromkeys(("seq_patterns_by_parts", "seq_patterns_finished", "seq_patterns_coded", "own_format_patterns"), f"with {_SEQ} select pattern, size, support from f"),
     **dict.fromkeys(("frequent_itemsets_by_parts", "frequent_itemsets_finished", "frequent_itemsets_coded"), _ITEMSETS),
-    **dict.fromkeys(("itemset_seq_patterns_by_parts", "itemset_seq_patterns_finished"), _ITEMSET_SEQ),
+    **dict.fromkeys(("itemset_seq_patterns_bitmaps", "itemset_seq_patterns_by_parts", "itemset_seq_patterns_finished"), _ITEMSET_SEQ),
     "item_support": f"with {_BASKET} select item, count(*) as support from it group by 1",
     "frequent_items": f"with {_BASKET} select item, count(*) as support from it group by 1 having count(*) >= (select count(distinct tid) * 0.155::double from it)",
     "infrequent_items": f"with {_BASKET} select item, count(*) as support from it group by 1 having count(*) < (select count(distinct tid) * 0.155::double from it)",

@@ -239,3 +239,20 @@ def test_block_ends():
     assert block.code.tolist() == [1, 2, 3, 4] and block.record.tolist() == [0, 0, 0, 2]
     assert block.set_end.tolist() == [2, 2, 3, 4] and block.record_end.tolist() == [3, 3, 3, 4]
     assert np.array_equal(ragged.runs(np.array([5, 0, 9]), np.array([2, 0, 3])), [5, 6, 9, 10, 11])
+
+
+def test_bitmaps_equal_rows(spark):
+    """Also where records need several words, and where two words meet."""
+    rng = random.Random(6)
+    rows = [(i, p, x) for i in range(25) for p in range(rng.randrange(1, 5)) for x in rng.sample("abcd", rng.randrange(1, 4))]
+    edge = framework.WORD
+    for i, places in enumerate([(0, edge - 1, edge, 3 * edge), (edge - 1, edge), (edge, 2 * edge, 2 * edge + 1), (2 * edge - 1, 2 * edge)], 25):
+        rows += [(i, p, x) for p in places for x in ("ab" if p % 2 else "ac")]
+    events = spark.createDataFrame(rows, "tran_id long, pos int, item string")
+    miner = framework.Bitmaps()
+    for threshold in (0.1, 0.4):
+        expected = shown(framework.mine(framework.ItemsetSequences(), events, 29, threshold, max_size=4))
+        assert shown(framework.mine(miner, miner.bitmaps(events), 29, threshold, max_size=4)) == expected
+    lines = spark.createDataFrame([(f"{c} {s} 2 {10 * (c % 3)} {7 + s}",) for c in range(12) for s in range(3)], "value string")
+    expected = shown(framework.run(framework.ItemsetSequences(), lines, 0.3))
+    assert shown(framework.run(framework.Coded(framework.Bitmaps()), lines, 0.3)) == shown(framework.run(framework.Bitmaps(), lines, 0.3)) == expected
