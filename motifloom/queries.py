@@ -11,6 +11,7 @@ from motifloom.functions import render
 from motifloom.operators import graphs, itemsets, partitions, projection, prune, sequences, support
 from motifloom.plans import framework, metrics, tree
 from motifloom.plans.checkpoints import shared_folder, written
+from motifloom.sources import files
 from motifloom.sources import records as formats
 from motifloom.sources import sinks, tables, text
 
@@ -255,19 +256,38 @@ def directed_graph_patterns(spark, d):
     return graphs.frequent_subgraphs(edges, _n_graphs(edges), LINES, max_edges=2, directed=True)
 
 
-def graph_file_patterns(spark, d):
-    """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined to the end."""
-    edges = line_graphs(spark, d)
+def _graph_lines(edges: DataFrame) -> DataFrame:
+    """(value): the lines of each graph of (gid, u, v, lu, lv, el), its vertices before its edges."""
     ends = edges.select("gid", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("lu").alias("l")), F.struct(F.col("v").alias("id"), F.col("lv").alias("l")))).alias("x")).distinct()
     text_of = lambda *c: F.concat_ws(" ", *(x.cast("string") for x in c))
     rows = ends.select("gid", F.struct(F.lit(0).alias("k"), text_of(F.lit("v"), F.col("x.id"), F.col("x.l")).alias("s")).alias("r")).unionByName(
         edges.select("gid", F.struct(F.lit(1).alias("k"), text_of(F.lit("e"), F.col("u"), F.col("v"), F.col("el")).alias("s")).alias("r"))
     )
     lines = rows.groupBy("gid").agg(F.array_join(F.sort_array(F.collect_list("r"))["s"], "\n").alias("s"))
-    path = _files(lines.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), "s").alias("value")))
+    return lines.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), "s").alias("value"))
+
+
+def graph_file_patterns(spark, d):
+    """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined to the end."""
+    path = _files(_graph_lines(line_graphs(spark, d)))
     return framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, path), FILES)
 
 
+def graph_source_edges(spark, d):
+    """The same graphs through the data source: files that roll at a megabyte, ranges of a quarter of one that cut graphs."""
+    path = shared_folder(spark)
+    files.write_records(_graph_lines(line_graphs(spark, d)), path, roll_bytes=1 << 20)
+    parsed = text.parse_graph_blocks(files.graph_blocks(spark, path, split_bytes=1 << 18))
+    return parsed.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v", "e.lu", "e.lv", F.col("e.label").alias("el"))
+
+
+def itemset_source_sequences(spark, d):
+    """itemset_file_sequences through the data source."""
+    path = shared_folder(spark)
+    files.write_records(_itemset_lines(spark, d), path, roll_bytes=1 << 20)
+    return files.itemset_sequences(spark, path, split_bytes=1 << 18).select("tran_id", render.itemset_sequence(F.col("sequence")).alias("sequence"))
+
+
 def item_file_patterns(spark, d):
     path = _files(priority_sequences(spark, d).select(F.array_join("items", ",").alias("value")))
     return sequences.frequent_item_sequences(text.read_item_sequences(spark, path), PRIORITY)
@@ -282,9 +302,14 @@ def own_format_patterns(spark, d):
     return sequences.frequent_item_sequences(parsed, PRIORITY)
 
 
-def itemset_file_sequences(spark, d):
+def _itemset_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(value): a line `customer order size item ...` for each order, items being lengths of part types."""
     rows = _type_rows(spark, d).select("o_custkey", "o_orderkey", F.length("p_type").alias("item")).groupBy("o_custkey", "o_orderkey").agg(F.collect_list("item").alias("items"))
-    path = _files(rows.select(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.size("items").cast("string"), F.transform("items", lambda x: x.cast("string"))).alias("value")))
+    return rows.select(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.size("items").cast("string"), F.transform("items", lambda x: x.cast("string"))).alias("value"))
+
+
+def itemset_file_sequences(spark, d):
+    path = _files(_itemset_lines(spark, d))
     return text.read_itemset_sequences(spark, path).select("tran_id", render.itemset_sequence(F.col("sequence")).alias("sequence"))
 
 
@@ -361,9 +386,7 @@ def parsed_item_lines(spark, d):
 
 
 def parsed_itemset_lines(spark, d):
-    rows = _type_rows(spark, d).select("o_custkey", "o_orderkey", F.length("p_type").alias("item")).groupBy("o_custkey", "o_orderkey").agg(F.collect_list("item").alias("items"))
-    lines = rows.select(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.size("items").cast("string"), F.transform("items", lambda x: x.cast("string"))).alias("value"))
-    parsed = text.parse_itemset_lines(lines)
+    parsed = text.parse_itemset_lines(_itemset_lines(spark, d))
     return parsed.select("tran_id", render.itemset_sequence(F.col("sequence")).alias("sequence"))
 
 
@@ -376,7 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         item_support, frequent_items, infrequent_items, item_rank, record_and_required_count, pruned_item_sequences, pruned_itemset_sequences,
         seq_first_occurrence, seq_projection_step, itemset_extension_step,
         graph_label_edge_support, graph_frequent_edges, graph_pruned_edges, graph_patterns_2edge, graph_patterns, graph_patterns_3edge, directed_graph_patterns,
-        graph_file_patterns, item_file_patterns, own_format_patterns, itemset_file_sequences, pattern_sink_lines,
+        graph_file_patterns, graph_source_edges, item_file_patterns, own_format_patterns, itemset_file_sequences, itemset_source_sequences, pattern_sink_lines,
         partition_local_support, partition_candidates, partition_merged_support, min_frontier,
         pattern_tree_children, pattern_parent_support, pattern_prefix_match, pattern_subtree_removed, pattern_tree_intervals, parsed_item_lines, parsed_itemset_lines,
     )
@@ -512,6 +535,9 @@ ORACLES: dict[str, str] = {
     "graph_patterns_3edge": _line_patterns(3),
     "directed_graph_patterns": _DIRECTED,
     "graph_file_patterns": _line_patterns(3, FILES),
+    "graph_source_edges": """with l as (select l_orderkey as gid, l_partkey * 2 + 1 as p, l_suppkey * 2 + 2 as s, 10 + n_regionkey as r from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+        e as (select gid, 0 as u, p as v, 0 as lu, 1 as lv, 0 as el from l union select gid, p, s, 1, r, 1 from l union select gid, 0, s, 0, r, 2 from l)
+        select gid::int as graph_id, u::int as u, v::int as v, lu::int as lu, lv::int as lv, el::int as el from e""",
     "item_file_patterns": f"with {_SEQ} select pattern, size, support from f",
     "pattern_sink_lines": f"with {_SEQ} select pattern || ': ' || support as line from f",
     "partition_local_support": f"with {_BASKET} select tid % 4 as part, item as pattern, count(*) as local_support from it group by 1, 2",
@@ -541,4 +567,5 @@ ORACLES: dict[str, str] = {
     "parsed_item_lines": "with c as (select o_custkey, count(*)::int as n from orders group by 1) select n, count(*) as records from c group by 1",
     "parsed_itemset_lines": _ITEMSET_LINES,
     "itemset_file_sequences": _ITEMSET_LINES,
+    "itemset_source_sequences": _ITEMSET_LINES,
 }
