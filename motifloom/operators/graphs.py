@@ -13,6 +13,9 @@ each edge. Edges that close a cycle meet both of their ends in an equi-join. The
 embeddings of codes that are frequent and canonical are built, by an equi-join on vertex and labels, and none for the last
 level. Support counts graphs, not embeddings; codes that are not canonical are dropped, so a pattern is found once.
 
+Graphs of up to LONG edges need no embeddings outside a task: they are gathered, a row each, and every level is a pass over
+them (functions/embeddings.py) that gives a row for each code, edge and task. What is said above holds for larger graphs.
+
 Of directed edges u is the source. A code may walk them either way, and the label that it has for an edge says which: twice
 the label, plus 1 against the edge's direction. Codes and their order are otherwise those of undirected graphs.
 
@@ -28,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.functions import dfscode, render
+from motifloom.functions import dfscode, embeddings, render
 from motifloom.operators import prune
-from motifloom.plans.framework import mine
+from motifloom.plans.checkpoints import written
+from motifloom.plans.framework import in_blocks, mine
 from motifloom.plans.metrics import Levels
 from motifloom.sources import text
 
@@ -91,7 +95,7 @@ def _codes(column: pa.Array) -> Iterator[list[dfscode.Edge]]:
 
 
 class Subgraphs:
-    """The gSpan miner over symmetric edges (tran_id, u, v, lu, lv, el, eid). A delta is a code edge.
+    """The gSpan miner over edges (gid, u, v, lu, lv, el), or over symmetric ones (tran_id, u, v, lu, lv, el, eid). A delta is a code edge.
 
     For run(), a source is frames of graph blocks (text.read_graph_blocks): graphs are counted, edges of infrequent label
     triples pruned, then mined.
@@ -109,7 +113,45 @@ class Subgraphs:
         return prune.label_edge_support(text.labelled_edges(*text.graph_tables(records)[1:]))
 
     def encode(self, records: DataFrame, frequent: DataFrame) -> DataFrame:
-        return symmetric(prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent), self.directed)
+        return prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent)
+
+    def split(self, edges: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
+        """Graphs as rows, and the symmetric edges of those that are too large for one."""
+        if "gid" not in edges.columns:
+            return None
+        edge = F.struct("u", "v", *(F.col(c).cast("int").alias(c) for c in ("lu", "lv", "el")))
+        edges = edges.where(F.col("u") != F.col("v"))
+        graphs, large = in_blocks(edges, "gid", F.collect_list(edge), F.lit(False))
+        return graphs, None if large is None else written(symmetric(large, self.directed))
+
+    def delta_type(self, graphs: DataFrame) -> str:
+        return "struct<f:int,t:int,lf:int,le:int,lt:int>"
+
+    def tally(self, patterns: list[tuple], size: int, first: list | None):
+        """For mapInArrow over graphs."""
+        directed = self.directed
+        codes = [(number, [tuple(e) for e in code]) for number, code in patterns]
+        triples = None if first is None else {tuple(code[0])[2:] for code in first}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = embeddings.Counts()
+            tree = embeddings.tree_of((n, code, growth_places(code)) for n, code in codes)
+            for batch in batches:
+                block = embeddings.Block(batch.column(0), directed)
+                if not size:
+                    for edge, n in block.begun():
+                        counts.add((0, *edge), n)
+                else:
+                    if triples is not None:
+                        block.only(triples)
+                    embeddings.counted(block, tree, size, counts)
+                if len(counts.n) >= _FLUSHED:
+                    yield _deltas(counts)
+                    counts = embeddings.Counts()
+            if counts.n:
+                yield _deltas(counts)
+
+        return run
 
     def start(self, delta: Column) -> Column:
         return F.array(delta)
@@ -185,6 +227,17 @@ class Subgraphs:
         return render.dfs_code(pattern, self.directed)
 
 
+#: Counts that a task holds, about.
+_FLUSHED = 1 << 18
+
+
+def _deltas(counts: embeddings.Counts) -> pa.RecordBatch:
+    pid, f, t, le, lt = (pa.array(c) for c in ([k[0] for k in counts.n], [k[1] for k in counts.n], [k[2] for k in counts.n], [k[-2] for k in counts.n], [k[-1] for k in counts.n]))
+    lf = pa.array([k[3] if len(k) == 6 else -1 for k in counts.n])
+    delta = pa.StructArray.from_arrays([x.cast(pa.int32()) for x in (f, t, lf, le, lt)], ["f", "t", "lf", "le", "lt"])
+    return pa.RecordBatch.from_arrays([pid.cast(pa.int64()), delta, pa.array(list(counts.n.values()), pa.int64())], ["pid", "delta", "support"])
+
+
 _PLACES = pa.list_(pa.struct([
     ("at", pa.int32()), ("last", pa.bool_()), ("least", pa.int32()), ("el", pa.int32()), ("lv", pa.int32()),
     ("back", pa.list_(pa.struct([("el", pa.int32()), ("open", pa.bool_())]))),
@@ -194,8 +247,7 @@ _PLACES = pa.list_(pa.struct([
 def frequent_subgraphs(edges: DataFrame, n_graphs: int, threshold: float, max_edges: int | None = None, directed: bool = False, levels: Levels | None = None) -> DataFrame:
     """(pattern, size, support): size in edges, pattern as its least DFS code. n_graphs counts graphs without edges too.
 
-    Edges whose label triple is infrequent are pruned before mining. Directed edges go from u to v; in a pattern the label
+    Edges whose label triple is infrequent go with the first level. Directed edges go from u to v; in a pattern the label
     of one is followed by > if the code walks it so, by < if it walks against it.
     """
-    kept = prune.prune_edges(edges, prune.label_edge_support(edges).where(F.col("support") >= n_graphs * threshold))
-    return mine(Subgraphs(directed), symmetric(kept, directed), n_graphs, threshold, max_edges, levels=levels)
+    return mine(Subgraphs(directed), edges, n_graphs, threshold, max_edges, levels=levels)

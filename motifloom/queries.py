@@ -57,6 +57,7 @@ def order_graphs(spark: SparkSession, d: str) -> DataFrame:
         F.struct(o.alias("u"), p.alias("v"), F.lit(0).alias("lu"), F.col("type_label").alias("lv"), flag.alias("el")),
         F.struct(p.alias("u"), s.alias("v"), F.col("type_label").alias("lu"), (F.lit(1000) + F.col("n_regionkey")).alias("lv"), F.lit(3).alias("el")),
     )
+    rows = rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "type_label", "n_regionkey").repartition("l_orderkey")  # narrow rows move, and an order's edges meet where they are made
     return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
 
 
@@ -68,6 +69,7 @@ def line_graphs(spark: SparkSession, d: str) -> DataFrame:
     region = F.lit(10) + F.col("n_regionkey")
     edge = lambda u, v, lu, lv, el: F.struct(u.alias("u"), v.alias("v"), lu.cast("int").alias("lu"), lv.cast("int").alias("lv"), F.lit(el).alias("el"))
     e = F.array(edge(o, p, F.lit(0), F.lit(1), 0), edge(p, s, F.lit(1), region, 1), edge(o, s, F.lit(0), region, 2))
+    rows = rows.select("l_orderkey", "l_partkey", "l_suppkey", "n_regionkey").repartition("l_orderkey")
     return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
 
 

@@ -242,3 +242,26 @@ def test_directed_brute_force(spark):
     assert len(got) == len(found)
     assert got == {c: len(g) for c, g in groups.items() if len(g) >= 2}
     assert any(" 1 0 -1" in r["pattern"] for r in found)
+
+
+@pytest.mark.parametrize("long", [4096, 9, 0])
+@pytest.mark.parametrize("directed", [False, True])
+def test_graphs_in_blocks_and_by_rows(spark, long, directed, monkeypatch):
+    """Graphs that are gathered and graphs that are not give the same patterns, also when slices are smaller than a graph's embeddings."""
+    from motifloom.functions import embeddings
+
+    monkeypatch.setattr(framework, "LONG", long)
+    rows = [(gid, u, v, labels[u], labels[v], el) for gid, labels, edges in random_graphs(5, 8, 5) for u, v, el in edges]
+    df = spark.createDataFrame(rows, "gid int, u int, v int, lu int, lv int, el int")
+    symmetric = graphs.symmetric(df, directed)
+    expected = {(r["pattern"], r["support"]) for r in framework.mine(graphs.Subgraphs(directed), symmetric, 8, 0.6, 3).collect()}
+    assert expected == {(r["pattern"], r["support"]) for r in graphs.frequent_subgraphs(df, 8, 0.6, max_edges=3, directed=directed).collect()}
+    edges = df.groupBy("gid").agg(graphs.F.collect_list(graphs.F.struct("u", "v", "lu", "lv", "el")).alias("e")).toArrow()["e"]
+    block = embeddings.Block(edges, directed)
+    codes = [[e, (1, 2, -1, int(el), int(lv))] for e, _ in block.begun() for el in block.edge_labels for lv in block.vertex_labels]
+    tree, found = embeddings.tree_of((i, c, graphs.growth_places(c)) for i, c in enumerate(codes)), []
+    for held in (1 << 20, 60, 1):
+        counts = embeddings.Counts()
+        embeddings.counted(block, tree, 2, counts, held)
+        found.append(counts.n)
+    assert found[0] and found[0] == found[1] == found[2]
