@@ -168,6 +168,12 @@ class Tree:
     owner: np.ndarray
     width: int
 
+    def owners(self) -> np.ndarray:
+        """By node, the root first."""
+        out = np.full(len(self.key) + 1, -1, np.int64)
+        out[self.child] = self.owner
+        return out
+
 
 def tree_of(candidates: list[tuple[int, ...]], width: int) -> Tree:
     """The tree of candidates and all their prefixes. Node 0 is the root; steps of width or more occur in no record of the block."""
@@ -214,3 +220,27 @@ def counted(block: Block, candidates: list[tuple[int, ...]], held: int = HELD) -
             part = slice(*np.searchsorted(own, [begin, end]))
             stack.append((ids[begin:end], grown(block, own[part] - begin, place[part])))
     return support
+
+
+def extended(block: Block, candidates: list[tuple[int, ...]], held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the candidate, step, support) of all steps that distinct candidates can grow by in the block."""
+    tree = tree_of(candidates, block.width)
+    if not len(tree.key):
+        return
+    owners, inner = tree.owners(), np.unique(tree.key // tree.width)
+    stack = [(np.zeros(1, np.int64), begun(block))]
+    while stack:
+        ids, found = stack.pop()
+        node, step = np.divmod(found.key, tree.width)
+        owned = owners[ids[node]] >= 0
+        if owned.any():
+            yield owners[ids[node[owned]]], step[owned], found.support[owned]
+        on = np.isin(ids[node], inner)
+        key = ids[node] * tree.width + step
+        at = np.minimum(np.searchsorted(tree.key, key), len(tree.key) - 1)
+        chosen = np.flatnonzero(on & (tree.key[at] == key))
+        ids = tree.child[at[chosen]]
+        own, place = found.places(chosen)
+        for begin, end in _batches(_cost(block, own, place, len(chosen)), held):
+            part = slice(*np.searchsorted(own, [begin, end]))
+            stack.append((ids[begin:end], grown(block, own[part] - begin, place[part])))

@@ -102,7 +102,7 @@ def itemset_seq_patterns_ptype(spark, d):
 
 
 def itemset_seq_patterns_levelwise(spark, d):
-    records = type_sequences(spark, d)
+    records = written(type_sequences(spark, d))
     return framework.mine(framework.ItemsetSequences(), projection.set_events_of(records), support.record_count(records), TYPE)
 
 
@@ -111,13 +111,13 @@ def frequent_itemsets_brand(spark, d):
 
 
 def frequent_itemsets_levelwise(spark, d):
-    records = brand_baskets(spark, d)
+    records = written(brand_baskets(spark, d))
     db = records.select("tran_id", F.explode("items").alias("item"))
     return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND)
 
 
 def itemset_seq_patterns_bitmaps(spark, d):
-    records, miner = type_sequences(spark, d), framework.Bitmaps()
+    records, miner = written(type_sequences(spark, d)), framework.Bitmaps()
     return framework.mine(miner, miner.bitmaps(projection.set_events_of(records)), support.record_count(records), TYPE)
 
 
@@ -140,13 +140,13 @@ def seq_patterns_finished(spark, d):
 
 
 def itemset_seq_patterns_finished(spark, d):
-    records = type_sequences(spark, d)
+    records = written(type_sequences(spark, d))
     db = written(projection.set_events_of(records))
     return framework.mine(framework.ItemsetSequences(), db, support.record_count(records), TYPE, finish_below=db.count() * 9 // 10)
 
 
 def frequent_itemsets_finished(spark, d):
-    records = brand_baskets(spark, d)
+    records = written(brand_baskets(spark, d))
     db = written(records.select("tran_id", F.explode("items").alias("item")))
     return framework.mine(framework.Itemsets(), db, support.record_count(records), BRAND, finish_below=db.count() // 5)
 

@@ -256,3 +256,21 @@ def test_bitmaps_equal_rows(spark):
     lines = spark.createDataFrame([(f"{c} {s} 2 {10 * (c % 3)} {7 + s}",) for c in range(12) for s in range(3)], "value string")
     expected = shown(framework.run(framework.ItemsetSequences(), lines, 0.3))
     assert shown(framework.run(framework.Coded(framework.Bitmaps()), lines, 0.3)) == shown(framework.run(framework.Bitmaps(), lines, 0.3)) == expected
+
+
+@pytest.mark.parametrize("long", [4096, 4])
+def test_records_in_blocks_and_by_rows(spark, long, monkeypatch):
+    """Counted in blocks, by rows, or partly so, patterns are the same; null items and places that tie too."""
+    monkeypatch.setattr(framework, "LONG", long)
+    rng = random.Random(9)
+    rows = sorted({(i, rng.randrange(5), rng.choice("abcd") if i < 38 else rng.choice(["a", "b", None])) for i in range(40) for _ in range(rng.randrange(3, 12))}, key=str)
+    events = spark.createDataFrame(rows, "tran_id long, pos int, item string")
+    for miner in (framework.ItemSequences(), framework.ItemsetSequences(), framework.Itemsets()):
+        found = []
+        for below in (10**6, 0):  # frames with more rows are counted in blocks
+            monkeypatch.setattr(framework, "FINISH_BELOW", below)
+            assert (miner.split(events) is None) == (below > 0)
+            kept = [(r["pattern"], r["size"], r["support"], repr(r["items"])) for r in framework.mine(miner, events, 40, 0.1, max_size=3, typed=True).collect()]
+            found.append(sorted(kept))
+        assert found[0] == found[1]
+        assert max(size for _, size, *_ in found[0]) > 2
