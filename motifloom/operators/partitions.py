@@ -87,6 +87,7 @@ def frequent_by_parts(records: DataFrame, threshold: float, as_sets: bool = Fals
     many parts as part_items items each ask for, at least least_parts.
     """
     nested = "sequence" in records.columns
+    records = written(records)  # read five times
     n = records.count()
     flat = records.select("tran_id", (F.flatten("sequence") if nested else F.col("items")).alias("items"))
     counts = written(support.item_support(flat).where(F.col("item").isNotNull()))
@@ -107,7 +108,7 @@ def frequent_by_parts(records: DataFrame, threshold: float, as_sets: bool = Fals
     if not asked.isEmpty():
         known = known.unionByName(candidate_supports(coded, asked, parts, tree))
     found = written(coding.decoded(known.where(F.col("support") >= n * threshold), codes))
-    for frame in (coded, sizes, local, merged, codes, counts):
+    for frame in (records, coded, sizes, local, merged, codes, counts):
         dropped(frame)
     flat_items = F.flatten("pattern")
     shown = render.itemset_sequence(F.col("pattern")) if nested else render.itemset(flat_items) if as_sets else render.item_sequence(flat_items)
