@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from motifloom.plans.checkpoints import written
+
 from .text import parse_itemset_lines
 
 NAME = "record_files"
@@ -278,7 +280,7 @@ def write_records(lines: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, mod
 
 def graph_blocks(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(gid, value) like text.read_graph_blocks: graphs numbered from 0 by path and place. The numbers come from the counts of the parts, a row for each."""
-    rows = read_records(spark, path, "graph", split_bytes)
+    rows = written(read_records(spark, path, "graph", split_bytes).select("part", "place", "value"))  # read for the counts and for the records
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(F.col("part").alias("number")).agg(F.count("*").alias("n")).select("number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return rows.join(counts, F.col("part") == F.col("number")).select((F.col("before") + F.col("place")).alias("gid"), "value")

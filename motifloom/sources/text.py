@@ -69,7 +69,9 @@ def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
     left out; numbers that are none raise, as do vertices or edges that no `t` line stands before.
     """
     fields = F.transform(F.split("value", r"\r?\n|\r"), lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "))
-    rows = blocks.select("gid", F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line"))).alias("lines"))
+    parsed = F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line")))
+    # a generated column: conditions on it are not pushed below, where each would parse the lines again
+    rows = blocks.select("gid", F.explode(F.array(parsed)).alias("lines"))
     head = F.col("lines")[0]["f"]
     opened = (head[0] == "t") & (F.size(head) >= 3)
     vertex = F.filter("lines", lambda x: (x["f"][0] == "v") & (F.size(x["f"]) >= 3))
@@ -82,17 +84,17 @@ def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
         F.transform(vertex, lambda x: F.struct(x["f"][1].cast("int").alias("vid"), x["f"][2].cast("int").alias("label"), x["line"].alias("line"))).cast(_VERTICES).alias("vertices"),
         F.transform(edge, lambda x: F.struct(x["f"][1].cast("int").alias("u"), x["f"][2].cast("int").alias("v"), x["f"][3].cast("int").alias("label"), x["line"].alias("line"))).alias("edges"),
     )
-    rows = rows.withColumn("sorted", F.array_sort(F.transform("vertices", lambda x: F.struct(x["vid"], x["line"], x["label"]))))
-
-    def end(vid: Column) -> Column:
-        """The vertex: at its own place where ids are 0, 1, 2, ..., as they mostly are."""
-        return F.when(F.get("sorted", vid)["vid"] == vid, F.get("sorted", vid)).otherwise(F.get(F.reverse(F.filter("sorted", lambda x: x["vid"] == vid)), F.lit(0)))
-
-    def labelled(e: Column) -> Column:
-        u, v = end(e["u"]), end(e["v"])
+    # vertices by id, of one id the last line first: the first place of an id is the vertex that counts
+    rows = rows.withColumn("sorted", F.reverse(F.array_sort(F.transform("vertices", lambda x: F.struct(x["vid"], x["line"], x["label"])))))
+    rows = rows.select("gid", "graph_id", "vertices", "edges", F.explode(F.array(F.struct("sorted", F.col("sorted.vid").alias("ids")))).alias("v"))
+    end = lambda vid: F.get("v.sorted", F.array_position("v.ids", vid).cast("int") - 1)
+    met = F.transform("edges", lambda e: F.struct(e.alias("e"), end(e["u"]).alias("u"), end(e["v"]).alias("v")))
+
+    def labelled(x: Column) -> Column:
+        e, u, v = x["e"], x["u"], x["v"]
         return F.struct(e["u"], e["v"], e["label"], e["line"], u["label"].alias("lu"), v["label"].alias("lv"), F.when(u.isNotNull() & v.isNotNull(), F.greatest(u["line"], v["line"])).alias("at"))
 
-    return rows.select("gid", "graph_id", "vertices", F.transform("edges", labelled).cast(_EDGES).alias("edges"))
+    return rows.select("gid", "graph_id", "vertices", F.transform(met, labelled).cast(_EDGES).alias("edges"))
 
 
 def graph_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

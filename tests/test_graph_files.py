@@ -84,3 +84,11 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "b").write_text("\n \n")
     assert text.read_graphs(spark, str(tmp_path))[0].collect() == []
     assert framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, str(tmp_path)), 0.5).collect() == []
+
+
+def test_last_line_of_a_vertex_counts(spark):
+    """Also where ids are 0, 1, 2, ...; and lines are parsed once, whatever reads them."""
+    blocks = spark.createDataFrame([(0, "t # 5\nv 0 1\nv 1 2\nv 1 3\nv 2 4\ne 0 1 7\ne 1 2 8\ne 2 9 9")], "gid long, value string")
+    parsed = text.parse_graph_blocks(blocks)
+    assert [(e["lu"], e["lv"], e["at"]) for e in parsed.first()["edges"]] == [(1, 3, 3), (3, 4, 4), (4, None, None)]
+    assert parsed.where("graph_id > 4")._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
