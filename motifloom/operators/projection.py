@@ -37,7 +37,11 @@ def itemset_step(projected: DataFrame, events: DataFrame) -> DataFrame:
 
     Returns (pattern, joined boolean, item, tran_id, pos), all places.
     """
-    p, e = projected.alias("p"), events.alias("e")
-    same = (F.col("e.pos") == F.col("p.pos")) & (F.col("e.item") > F.col("p.last"))
-    grown = p.join(e, (F.col("p.tran_id") == F.col("e.tran_id")) & (same | (F.col("e.pos") > F.col("p.pos"))))
-    return grown.select("p.pattern", (F.col("e.pos") == F.col("p.pos")).alias("joined"), "e.item", "p.tran_id", "e.pos").distinct()
+    e = events.select("tran_id", "pos", "item").distinct().alias("e")
+    # a later item is met once, from the first place: no row is made that distinct() would drop
+    first = projected.groupBy("pattern", "tran_id").agg(F.min("pos").alias("pos")).alias("p")
+    later = first.join(e, (F.col("p.tran_id") == F.col("e.tran_id")) & (F.col("e.pos") > F.col("p.pos")))
+    p = projected.select("pattern", "last", "tran_id", "pos").distinct().alias("p")
+    same = p.join(e, (F.col("p.tran_id") == F.col("e.tran_id")) & (F.col("p.pos") == F.col("e.pos")) & (F.col("e.item") > F.col("p.last")))
+    shown = lambda rows, joined: rows.select("p.pattern", F.lit(joined).alias("joined"), "e.item", "p.tran_id", "e.pos")
+    return shown(later, False).unionByName(shown(same, True))

@@ -183,3 +183,13 @@ def test_patterns_that_look_alike_have_items_of_their_own(spark):
     df = spark.createDataFrame([(0, [["a b", "c"]]), (1, [["a", "b c"]])], "tran_id long, sequence array<array<string>>")
     found = frequent_itemset_sequences(df, 0.5, typed=True).collect()
     assert len({repr(r["items"]) for r in found}) == len(found) > len({r["pattern"] for r in found})
+
+
+def test_itemset_step_makes_each_row_once(spark):
+    """Later items are met from a pattern's first place only, and nothing is left to a distinct() over the grown rows."""
+    events = spark.createDataFrame([(1, p, i) for p in range(4) for i in "ab"], "tran_id long, pos int, item string")
+    one = events.selectExpr("item as pattern", "item as last", "tran_id", "pos")
+    grown = projection.itemset_step(one, events)
+    rows = [tuple(r) for r in grown.collect()]
+    assert len(rows) == len(set(rows)) == 2 * 3 * 2 + 4 and ("a", True, "b", 1, 3) in rows and ("b", False, "a", 1, 1) in rows
+    assert not grown._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
