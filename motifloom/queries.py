@@ -61,16 +61,20 @@ def order_graphs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
 
 
-def line_graphs(spark: SparkSession, d: str) -> DataFrame:
-    """A graph for each order, with a triangle for each line: order (vertex 0, label 0) - 0 - part (label 1) - 1 - supplier (10 + region) - 2 - order."""
+def _order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(gid, p, s, r): of each line its order, the vertices of its part and supplier, and the supplier's label (10 + region). An order's lines are in one task."""
     lines, supplier, nation = (_table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
     rows = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    o, p, s = F.lit(0).cast("long"), F.col("l_partkey") * 2 + 1, F.col("l_suppkey") * 2 + 2
-    region = F.lit(10) + F.col("n_regionkey")
+    rows = rows.select("l_orderkey", "l_partkey", "l_suppkey", "n_regionkey").repartition("l_orderkey")
+    return rows.select(F.col("l_orderkey").alias("gid"), (F.col("l_partkey") * 2 + 1).alias("p"), (F.col("l_suppkey") * 2 + 2).alias("s"), (F.lit(10) + F.col("n_regionkey")).cast("int").alias("r"))
+
+
+def line_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A graph for each order, with a triangle for each line: order (vertex 0, label 0) - 0 - part (label 1) - 1 - supplier (10 + region) - 2 - order."""
+    o, p, s, region = F.lit(0).cast("long"), F.col("p"), F.col("s"), F.col("r")
     edge = lambda u, v, lu, lv, el: F.struct(u.alias("u"), v.alias("v"), lu.cast("int").alias("lu"), lv.cast("int").alias("lv"), F.lit(el).alias("el"))
     e = F.array(edge(o, p, F.lit(0), F.lit(1), 0), edge(p, s, F.lit(1), region, 1), edge(o, s, F.lit(0), region, 2))
-    rows = rows.select("l_orderkey", "l_partkey", "l_suppkey", "n_regionkey").repartition("l_orderkey")
-    return rows.select(F.col("l_orderkey").alias("gid"), F.explode(e).alias("e")).select("gid", "e.*").distinct()
+    return _order_lines(spark, d).select("gid", F.explode(e).alias("e")).select("gid", "e.*").distinct()
 
 
 def _n_graphs(edges: DataFrame) -> int:
@@ -258,27 +262,32 @@ def directed_graph_patterns(spark, d):
     return graphs.frequent_subgraphs(edges, _n_graphs(edges), LINES, max_edges=2, directed=True)
 
 
-def _graph_lines(edges: DataFrame) -> DataFrame:
-    """(value): the lines of each graph of (gid, u, v, lu, lv, el), its vertices before its edges."""
-    ends = edges.select("gid", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("lu").alias("l")), F.struct(F.col("v").alias("id"), F.col("lv").alias("l")))).alias("x")).distinct()
-    text_of = lambda *c: F.concat_ws(" ", *(x.cast("string") for x in c))
-    rows = ends.select("gid", F.struct(F.lit(0).alias("k"), text_of(F.lit("v"), F.col("x.id"), F.col("x.l")).alias("s")).alias("r")).unionByName(
-        edges.select("gid", F.struct(F.lit(1).alias("k"), text_of(F.lit("e"), F.col("u"), F.col("v"), F.col("el")).alias("s")).alias("r"))
+def _graph_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(value): the lines of each of line_graphs, its vertices before its edges. An order's lines are gathered once, as numbers."""
+    x = F.sort_array(F.collect_set(F.struct("p", "s", "r")))
+    rows = _order_lines(spark, d).groupBy("gid").agg(x.alias("x")).select("gid", "x", F.array_distinct("x.p").alias("parts"), F.array_distinct("x.s").alias("suppliers"))
+    line = lambda *c: F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    lines = F.concat(
+        F.array(F.lit("v 0 0")),
+        F.transform("parts", lambda p: line("v", p, "1")),
+        F.array_distinct(F.transform("x", lambda x: line("v", x["s"], x["r"]))),
+        F.transform("parts", lambda p: line("e 0", p, "0")),
+        F.transform("x", lambda x: line("e", x["p"], x["s"], "1")),
+        F.transform("suppliers", lambda s: line("e 0", s, "2")),
     )
-    lines = rows.groupBy("gid").agg(F.array_join(F.sort_array(F.collect_list("r"))["s"], "\n").alias("s"))
-    return lines.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), "s").alias("value"))
+    return rows.select(F.concat(F.lit("t # "), F.col("gid").cast("string"), F.lit("\n"), F.array_join(lines, "\n")).alias("value"))
 
 
 def graph_file_patterns(spark, d):
     """The same graphs through files: blocks of lines written, read back, parsed, counted, pruned and mined to the end."""
-    path = _files(_graph_lines(line_graphs(spark, d)))
+    path = _files(_graph_lines(spark, d))
     return framework.run(graphs.Subgraphs(), text.read_graph_blocks(spark, path), FILES)
 
 
 def graph_source_edges(spark, d):
     """The same graphs through the data source: files that roll at a megabyte, ranges of a quarter of one that cut graphs."""
     path = shared_folder(spark)
-    files.write_records(_graph_lines(line_graphs(spark, d)), path, roll_bytes=1 << 20)
+    files.write_records(_graph_lines(spark, d), path, roll_bytes=1 << 20)
     parsed = text.parse_graph_blocks(files.graph_blocks(spark, path, split_bytes=1 << 18))
     return parsed.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v", "e.lu", "e.lv", F.col("e.label").alias("el"))
 

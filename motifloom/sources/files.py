@@ -9,8 +9,8 @@ files and ranges. Layouts say which lines open a record:
 * ``line``: every line.
 
 A file is cut every ``splitBytes``; a record belongs to the range in which it begins, and its task reads on to its end,
-so a record may be longer than a range and the rows do not depend on where files are cut. Small files share a part. A
-task holds one record and one batch of rows. Lines before a file's first record are a record of their own. Blank lines
+so a record may be longer than a range and the rows do not depend on where files are cut. Small files and ranges share a
+part, up to PART_BYTES. A task holds one record and one batch of rows. With ``values`` false, value is null. Lines before a file's first record are a record of their own. Blank lines
 are left out, and line ends (LF or CR LF).
 
 ``df.write.format("record_files").option("rollBytes", ...).mode("append" or "overwrite").save(path)`` writes a column of
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from motifloom.plans.checkpoints import written
-
 from .text import parse_itemset_lines
 
 NAME = "record_files"
 SCHEMA = "file string, start long, part int, place long, value string"
 SPLIT_BYTES = ROLL_BYTES = 128 << 20
+#: Ranges in a row of less than this in all are one task's work.
+PART_BYTES = 4 << 20
 _BATCH_BYTES, _BATCH_ROWS = 4 << 20, 10_000
 
 
@@ -140,23 +140,23 @@ class _Part(InputPartition):
 
 
 def _parts(files: Iterable[tuple[str, int]], split: int) -> list[_Part]:
-    """Ranges of (path, size), as many in a row to a part as fit into `split` bytes."""
+    """Ranges of (path, size), as many in a row to a part as fit into `split` bytes, or PART_BYTES if that is more."""
     parts: list[_Part] = []
-    room = 0
+    room, most = 0, max(split, PART_BYTES)
     for path, size in files:
         for start in range(0, size, split):
             end = min(start + split, size)
             if not parts or end - start > room:
                 parts.append(_Part(len(parts), []))
-                room = split
+                room = most
             parts[-1].ranges.append((path, start, end))
             room -= end - start
     return parts
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, layout: str, split: int):
-        self.path, self.layout, self.split = path, layout, split
+    def __init__(self, path: str, layout: str, split: int, values: bool = True):
+        self.path, self.layout, self.split, self.values = path, layout, split, values
 
     def partitions(self) -> list[_Part]:
         store, path = _store(self.path)
@@ -164,13 +164,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
-        rows: list[tuple[str, int, int, int, str]] = []
+        rows: list[tuple[str, int, int, int, str | None]] = []
         size = place = 0
         for path, start, end in partition.ranges:
             with store.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 18) as file:
                 for at, lines in records_of(file, start, end, self.layout):
-                    value = b"\n".join(lines)
-                    rows.append((path, at, partition.number, place, value.decode(errors="replace")))
+                    value = b"\n".join(lines) if self.values else b""
+                    rows.append((path, at, partition.number, place, value.decode(errors="replace") if self.values else None))
                     place, size = place + 1, size + len(value)
                     if size >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
                         yield _batch(rows)
@@ -178,7 +178,7 @@ class _Reader(DataSourceReader):
         yield _batch(rows)
 
 
-def _batch(rows: list[tuple[str, int, int, int, str]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[str, int, int, int, str | None]]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ((),) * 5
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "start", "part", "place", "value"])
@@ -254,7 +254,7 @@ class RecordFiles(DataSource):
         layout = self.options.get("layout", "line")
         if layout not in LAYOUTS:
             raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}")
-        return _Reader(self.options["path"], layout, self._number("splitBytes", SPLIT_BYTES))
+        return _Reader(self.options["path"], layout, self._number("splitBytes", SPLIT_BYTES), self.options.get("values", "true").lower() != "false")
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         if [f.dataType.typeName() for f in schema.fields] != ["string"]:
@@ -267,9 +267,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordFiles)
 
 
-def read_records(spark: SparkSession, path: str, layout: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_records(spark: SparkSession, path: str, layout: str, split_bytes: int = SPLIT_BYTES, values: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format(NAME).option("layout", layout).option("splitBytes", split_bytes).load(path)
+    return spark.read.format(NAME).option("layout", layout).option("splitBytes", split_bytes).option("values", values).load(path)
 
 
 def write_records(lines: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, mode: str = "append") -> None:
@@ -279,11 +279,16 @@ def write_records(lines: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, mod
 
 
 def graph_blocks(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(gid, value) like text.read_graph_blocks: graphs numbered from 0 by path and place. The numbers come from the counts of the parts, a row for each."""
-    rows = written(read_records(spark, path, "graph", split_bytes).select("part", "place", "value"))  # read for the counts and for the records
+    """(gid, value) like text.read_graph_blocks: graphs numbered from 0 by path and place.
+
+    The numbers come from the counts of the parts, a row for each. Where gid is not used, nothing is counted and nothing
+    joined: the files are read once, and no text is shuffled or written.
+    """
+    rows = read_records(spark, path, "graph", split_bytes).select("part", "place", "value")
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(F.col("part").alias("number")).agg(F.count("*").alias("n")).select("number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(counts, F.col("part") == F.col("number")).select((F.col("before") + F.col("place")).alias("gid"), "value")
+    counts = read_records(spark, path, "graph", split_bytes, values=False).groupBy(F.col("part").alias("number")).agg(F.count("*").alias("n"))
+    counts = counts.select("number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).groupBy("number").agg(F.first("before").alias("before"))  # says that numbers are unique
+    return rows.join(counts, F.col("part") == F.col("number"), "left").select((F.col("before") + F.col("place")).alias("gid"), "value")
 
 
 def itemset_sequences(spark: SparkSession, path: str, strict: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ def read_graph_blocks(spark: SparkSession, path: str) -> DataFrame:
     Each line whose first field is t, of three fields or more, opens a graph; fields are parted by any white space. gid
     numbers graphs from 0, by path and place, over all files: ids in the files need not be unique, and however files are
     split over tasks, the numbers are the same. Files are parted where a line begins with t, so a task holds one graph at
-    a time; the numbers come from the counts of the splits, a row for each.
+    a time; the numbers come from the counts of the splits, a row for each. Where gid is not used, files are read once.
     """
     raw = spark.read.text(path, lineSep="\nt").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     # what lineSep took away; the first piece of a file still has it
@@ -53,7 +56,8 @@ def read_graph_blocks(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     splits = parts.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     splits = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    met = parts.join(splits, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    splits = splits.groupBy("f", "s").agg(F.first("first").alias("first"), F.first("before").alias("before"))  # says that a split has one row: where gid is not used, nothing is joined
+    met = parts.join(splits, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")), "left")
     return met.select((F.col("before") + F.col("at") - F.col("first")).cast("long").alias("gid"), "value")
 
 
@@ -68,14 +72,17 @@ def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
     graphs after it count as well. Of several lines of one vertex the last counts. Lines of other kinds, or too short, are
     left out; numbers that are none raise, as do vertices or edges that no `t` line stands before.
     """
-    fields = F.transform(F.split("value", r"\r?\n|\r"), lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "))
+    # white space and line ends become blanks and line feeds for all lines at once, where there are others; what is split at one character needs no pattern
+    other = reduce(or_, (F.contains(F.col("value"), F.lit(c)) for c in "\r\t\x0b\f"))
+    plain = F.when(other, F.translate(F.regexp_replace("value", r"\r\n?", "\n"), "\t\x0b\f", "   ")).otherwise(F.col("value"))
+    fields = F.transform(F.split(plain, "\n"), lambda x: F.filter(F.split(x, " "), lambda f: f != ""))
     parsed = F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("line")))
     # a generated column: conditions on it are not pushed below, where each would parse the lines again
     rows = blocks.select("gid", F.explode(F.array(parsed)).alias("lines"))
     head = F.col("lines")[0]["f"]
-    opened = (head[0] == "t") & (F.size(head) >= 3)
-    vertex = F.filter("lines", lambda x: (x["f"][0] == "v") & (F.size(x["f"]) >= 3))
-    edge = F.filter("lines", lambda x: (x["f"][0] == "e") & (F.size(x["f"]) >= 4))
+    opened = (F.size(head) >= 3) & (F.get(head, F.lit(0)) == "t")
+    vertex = F.filter("lines", lambda x: (F.size(x["f"]) >= 3) & (F.get(x["f"], F.lit(0)) == "v"))
+    edge = F.filter("lines", lambda x: (F.size(x["f"]) >= 4) & (F.get(x["f"], F.lit(0)) == "e"))
     stray = ~opened & ((F.size(vertex) > 0) | (F.size(edge) > 0))
     rows = rows.where(F.when(stray, F.raise_error(F.concat(F.lit("lines of a graph before its t line: "), F.array_join(head, " "))).cast("boolean")).otherwise(opened))
     rows = rows.withColumn("graph_id", F.col("lines")[0]["f"][2].cast("int")).where(F.col("graph_id") >= 0)
@@ -85,7 +92,7 @@ def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
         F.transform(edge, lambda x: F.struct(x["f"][1].cast("int").alias("u"), x["f"][2].cast("int").alias("v"), x["f"][3].cast("int").alias("label"), x["line"].alias("line"))).alias("edges"),
     )
     # vertices by id, of one id the last line first: the first place of an id is the vertex that counts
-    rows = rows.withColumn("sorted", F.reverse(F.array_sort(F.transform("vertices", lambda x: F.struct(x["vid"], x["line"], x["label"])))))
+    rows = rows.withColumn("sorted", F.sort_array(F.transform("vertices", lambda x: F.struct(x["vid"], x["line"], x["label"])), asc=False))
     rows = rows.select("gid", "graph_id", "vertices", "edges", F.explode(F.array(F.struct("sorted", F.col("sorted.vid").alias("ids")))).alias("v"))
     end = lambda vid: F.get("v.sorted", F.array_position("v.ids", vid).cast("int") - 1)
     met = F.transform("edges", lambda e: F.struct(e.alias("e"), end(e["u"]).alias("u"), end(e["v"]).alias("v")))
@@ -97,6 +104,18 @@ def parse_graph_blocks(blocks: DataFrame) -> DataFrame:
     return rows.select("gid", "graph_id", "vertices", F.transform(met, labelled).cast(_EDGES).alias("edges"))
 
 
+def labelled_graphs(records: DataFrame) -> DataFrame:
+    """(edges), a row for each parsed graph: its edges as (u, v, lu, lv, el). An edge that stands before its vertices raises."""
+    early = F.get(F.filter("edges", lambda e: e["at"].isNull() | (e["at"] > e["line"])), F.lit(0))
+    rows = records.select("graph_id", "edges", early["line"].alias("early"))
+    rows = rows.where(F.when(F.col("early").isNotNull(), F.raise_error(_early(F.col("early"))).cast("boolean")).otherwise(True))
+    return rows.select(F.transform("edges", lambda e: F.struct(e["u"], e["v"], e["lu"], e["lv"], e["label"].alias("el"))).alias("edges"))
+
+
+def _early(line: Column) -> Column:
+    return F.concat(F.lit("edge before its vertices: graph "), F.col("graph_id").cast("string"), F.lit(" line "), line.cast("string"))
+
+
 def graph_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """graphs(graph_id, gid), vertices(graph_id, gid, vid, label, line), edges(graph_id, gid, u, v, label, line, lu, lv, at) of parsed graphs; gid names a graph."""
     vertices = records.select("graph_id", "gid", F.explode("vertices").alias("x")).select("graph_id", "gid", "x.*")
@@ -116,8 +135,7 @@ def labelled_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     if {"gid", "lu", "lv", "at", "line"} <= set(edges.columns):
         early = F.col("at").isNull() | (F.col("at") > F.col("line"))
-        said = F.concat(F.lit("edge before its vertices: graph "), F.col("graph_id").cast("string"), F.lit(" line "), F.col("line").cast("string"))
-        own = edges.where(F.when(early, F.raise_error(said).cast("boolean")).otherwise(True))
+        own = edges.where(F.when(early, F.raise_error(_early(F.col("line"))).cast("boolean")).otherwise(True))
         return own.select("gid", "u", "v", "lu", "lv", F.col("label").alias("el"))
     own = edges.select("graph_id", "u", "v", "label")
     for end in ("u", "v"):

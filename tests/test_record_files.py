@@ -67,6 +67,19 @@ def test_stray_lines_raise_and_graphs_are_mined(spark, tmp_path):
         text.parse_graph_blocks(files.graph_blocks(spark, str(tmp_path / "stray"), 4)).collect()
 
 
+def test_graphs_without_numbers_are_read_once(spark, tmp_path):
+    """Where gid is not used, no join, no shuffle and no written copy; small ranges in a row are one task's work."""
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a").write_text(GRAPHS)
+    for blocks in (files.graph_blocks(spark, str(tmp_path / "g"), 3), text.read_graph_blocks(spark, str(tmp_path / "g"))):
+        parsed = text.parse_graph_blocks(blocks).select("graph_id", "edges")
+        plan = parsed._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "parquet" not in plan
+        assert sorted(r["graph_id"] for r in parsed.collect()) == [0, 0, 7]
+    parts = files._parts([("a", 10 << 20), ("b", 5)], 1 << 18)
+    assert len(parts) == 3 and [r for p in parts for r in p.ranges] == [("a", s, s + (1 << 18)) for s in range(0, 10 << 20, 1 << 18)] + [("b", 0, 5)]
+
+
 def test_itemsets(spark, tmp_path):
     (tmp_path / "a").write_text(ITEMSETS)
     (tmp_path / "b").write_text("1 0 1 4\n")
