@@ -13,8 +13,9 @@ each edge. Edges that close a cycle meet both of their ends in an equi-join. The
 embeddings of codes that are frequent and canonical are built, by an equi-join on vertex and labels, and none for the last
 level. Support counts graphs, not embeddings; codes that are not canonical are dropped, so a pattern is found once.
 
-Graphs of up to LONG edges need no embeddings outside a task: they are gathered, a row each, and every level is a pass over
-them (functions/embeddings.py) that gives a row for each code, edge and task. What is said above holds for larger graphs.
+Graphs of up to LONG edges need no embeddings outside a task: they are gathered, a row each, those that are equal but for the
+names of their vertices become one row with their number, and every level is a pass over these
+(functions/embeddings.py) that gives a row for each code, edge and task. What is said above holds for larger graphs.
 
 Of directed edges u is the source. A code may walk them either way, and the label that it has for an edge says which: twice
 the label, plus 1 against the edge's direction. Codes and their order are otherwise those of undirected graphs.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import dfscode, embeddings, render
 from motifloom.operators import prune
+from motifloom.plans import framework
 from motifloom.plans.checkpoints import written
 from motifloom.plans.framework import in_blocks, mine
 from motifloom.plans.metrics import Levels
@@ -97,8 +99,8 @@ def _codes(column: pa.Array) -> Iterator[list[dfscode.Edge]]:
 class Subgraphs:
     """The gSpan miner over edges (gid, u, v, lu, lv, el), or over symmetric ones (tran_id, u, v, lu, lv, el, eid). A delta is a code edge.
 
-    For run(), a source is frames of graph blocks (text.read_graph_blocks): graphs are counted, edges of infrequent label
-    triples pruned, then mined.
+    For run(), a source is frames of graph blocks (text.read_graph_blocks): graphs are parsed, equal ones merged, counted, edges
+    of infrequent label triples pruned, then mined. No graph is shuffled but the different ones of each task.
     """
 
     one_each = True  # of candidates()
@@ -107,21 +109,39 @@ class Subgraphs:
         self.directed = directed
 
     def parse(self, blocks: DataFrame) -> DataFrame:
-        return text.parse_graph_blocks(blocks)
+        """(rows, own, n) of the graphs of the blocks."""
+        return self._merged(text.labelled_graphs(text.parse_graph_blocks(blocks)).select(F.col("edges").alias("rows")))
+
+    def counted(self, records: DataFrame) -> int:
+        return records.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def items(self, records: DataFrame) -> DataFrame:
-        return prune.label_edge_support(text.labelled_edges(*text.graph_tables(records)[1:]))
+        triple = lambda e: F.struct(F.least(e["lu"], e["lv"]).alias("from_label"), F.greatest(e["lu"], e["lv"]).alias("to_label"), e["el"].alias("edge_label"))
+        each = records.select("n", F.explode(F.array_distinct(F.transform("rows", triple))).alias("t"))
+        return each.groupBy("t").agg(F.sum("n").alias("support")).select("t.*", "support")
 
     def encode(self, records: DataFrame, frequent: DataFrame) -> DataFrame:
-        return prune.prune_edges(text.labelled_edges(*text.graph_tables(records)[1:]), frequent)
+        """Records as they are: of gathered graphs tasks leave infrequent edges out, of large ones split() does."""
+        self.frequent = frequent
+        return records
+
+    def _merged(self, graphs: DataFrame) -> DataFrame:
+        """(rows, own, n): equal graphs as one row, merged in each task and then in all; own is a number of each graph that is too large for it."""
+        tasks = graphs.mapInArrow(embeddings.merged(self.directed, framework.LONG), f"rows {_ROWS}, own long, n long")
+        # few rows may hold much work: they are dealt to all tasks of the levels
+        return tasks.groupBy("rows", "own").agg(F.sum("n").alias("n")).repartition(int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(self, edges: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
         """Graphs as rows, and the symmetric edges of those that are too large for one."""
+        if "rows" in edges.columns:
+            large = edges.where("own is not null").select(F.col("own").alias("gid"), F.explode("rows").alias("e")).select("gid", "e.*")
+            large = None if large.isEmpty() else prune.prune_edges(large, self.frequent)
+            return edges.where("own is null").select("rows", "n"), None if large is None else written(symmetric(large, self.directed))
         if "gid" not in edges.columns:
             return None
         edge = F.struct("u", "v", *(F.col(c).cast("int").alias(c) for c in ("lu", "lv", "el")))
         edges = edges.where(F.col("u") != F.col("v"))
-        graphs, large = in_blocks(edges, "gid", F.collect_list(edge), F.lit(False))
+        graphs, large = in_blocks(edges, "gid", F.collect_list(edge), F.lit(False), lambda records: self._merged(records).select("rows", "n"))
         return graphs, None if large is None else written(symmetric(large, self.directed))
 
     def delta_type(self, graphs: DataFrame) -> str:
@@ -137,7 +157,7 @@ class Subgraphs:
             counts = embeddings.Counts()
             tree = embeddings.tree_of((n, code, growth_places(code)) for n, code in codes)
             for batch in batches:
-                block = embeddings.Block(batch.column(0), directed)
+                block = embeddings.Block(batch.column(0), directed, batch.column(1).to_numpy())
                 if not size:
                     for edge, n in block.begun():
                         counts.add((0, *edge), n)
@@ -230,6 +250,8 @@ class Subgraphs:
 #: Counts that a task holds, about.
 _FLUSHED = 1 << 18
 
+_ROWS = "array<struct<u:int,v:int,lu:int,lv:int,el:int>>"
+
 
 def _deltas(counts: embeddings.Counts) -> pa.RecordBatch:
     pid, f, t, le, lt = (pa.array(c) for c in ([k[0] for k in counts.n], [k[1] for k in counts.n], [k[2] for k in counts.n], [k[-2] for k in counts.n], [k[-1] for k in counts.n]))

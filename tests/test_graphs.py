@@ -265,3 +265,73 @@ def test_graphs_in_blocks_and_by_rows(spark, long, directed, monkeypatch):
         embeddings.counted(block, tree, 2, counts, held)
         found.append(counts.n)
     assert found[0] and found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_equal_graphs_are_one_row(directed):
+    """However vertices are named and edges are listed; what differs stays apart, large graphs stay as they are."""
+    import pyarrow as pa
+
+    from motifloom.functions import embeddings
+
+    kind = pa.list_(pa.struct([(c, pa.string() if c in "uv" else pa.int32()) for c in ("u", "v", "lu", "lv", "el")]))
+    rng = random.Random(4)
+    made = []
+    for _, labels, edges in random_graphs(12, 6, 5):
+        edges = [e for e in edges if e[0] != e[1]]
+        for _ in range(20):
+            name = dict(zip(labels, rng.sample(range(100), len(labels)), strict=True))
+            listed = [(u, v, el) if directed or rng.random() < 0.5 else (v, u, el) for u, v, el in rng.sample(edges, len(edges))]
+            made.append([{"u": f"x{name[u]}", "v": f"x{name[v]}", "lu": labels[u], "lv": labels[v], "el": el} for u, v, el in listed])
+    made += [[], None]
+    batch = pa.RecordBatch.from_arrays([pa.array(made, kind)], ["rows"])
+    rows = [r for out in embeddings.merged(directed, 4096)(iter([batch, batch])) for r in out.to_pylist()]
+    assert sum(r["n"] for r in rows) == 2 * len(made) and len(rows) < len(made) / 4
+    assert all(r["own"] is None for r in rows)
+    for r in rows:  # vertices are numbered from 0
+        ends = {e[c] for e in r["rows"] for c in "uv"}
+        assert ends == set(range(len(ends)))
+    large = [r for out in embeddings.merged(directed, 0)(iter([batch])) for r in out.to_pylist()]
+    assert sum(r["own"] is not None for r in large) == sum(bool(g) for g in made) == len({r["own"] for r in large} - {None})
+
+
+def test_equal_leaves_are_built_in_one_order():
+    """Of three equal neighbours of seven 35 embeddings, not 210; the counts are those of graphs, each with its number."""
+    import numpy as np
+    import pyarrow as pa
+
+    from motifloom.functions import embeddings
+
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("u", "v", "lu", "lv", "el")]))
+    star = [{"u": 0, "v": v, "lu": 5, "lv": 6, "el": 1} for v in range(1, 8)]
+    block = embeddings.Block(pa.array([star, star[:3]], kind), False, np.array([10, 100]))
+    assert list(block.begun()) == [((0, 1, 5, 1, 6), 110)]
+    code = [(0, 1, 5, 1, 6), (0, 2, -1, 1, 6), (0, 3, -1, 1, 6)]
+    vertices, used = block.first(code[0])
+    for before, edge in itertools.pairwise(code):
+        vertices, used = block.longer(block.near(), vertices, used, edge, before)
+    assert len(vertices) == 35 + 1
+    for held in (1 << 20, 1):
+        counts = embeddings.Counts()
+        embeddings.counted(block, embeddings.tree_of([(7, code, graphs.growth_places(code))]), 3, counts, held)
+        assert counts.n == {(7, 0, 4, 1, 6): 10}
+
+
+def test_files_of_equal_graphs(spark, tmp_path, monkeypatch):
+    """Patterns from files are those of the edges, also where some graphs are too large to be gathered."""
+    made = list(random_graphs(9, 4, 5))
+    rows, lines = [], []
+    for k in range(5):
+        for gid, labels, edges in made:
+            edges = [(u, v, el) for u, v, el in edges if u != v]
+            lines.append(f"t # {gid}\n" + "".join(f"v {v + k} {label}\n" for v, label in labels.items()) + "".join(f"e {u + k} {v + k} {el}\n" for u, v, el in edges))
+            rows += [(100 * k + gid, u, v, labels[u], labels[v], el) for u, v, el in edges]
+    (tmp_path / "g").write_text("".join(lines))
+    df = spark.createDataFrame(rows, "gid int, u int, v int, lu int, lv int, el int")
+    expected = {(r["pattern"], r["support"]) for r in graphs.frequent_subgraphs(df, 20, 0.4, max_edges=3).collect()}
+    for long in (4096, 6):
+        monkeypatch.setattr(framework, "LONG", long)
+        miner = graphs.Subgraphs()
+        records = miner.parse(text.read_graph_blocks(spark, str(tmp_path / "g"))).collect()
+        assert sum(r["n"] for r in records) == 20 and (len(records) < 20 if long > 6 else any(r["own"] is not None for r in records))
+        assert {(r["pattern"], r["support"]) for r in framework.run(miner, text.read_graph_blocks(spark, str(tmp_path / "g")), 0.4, 3).collect()} == expected
