@@ -36,6 +36,14 @@ def test_query(spark, duck, name):
     assert sorted(map(tuple, rows)) == expected
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_graph_files_are_mined_to_the_end(spark):
+    """All patterns of graph_patterns_3edge, at its threshold, and all larger ones."""
+    found = sorted(map(tuple, queries.QUERIES["graph_file_patterns"](spark, DATA).collect()))
+    assert [r for r in found if r[1] <= 3] == sorted(map(tuple, queries.QUERIES["graph_patterns_3edge"](spark, DATA).collect()))
+    assert max(r[1] for r in found) == 8
+
+
 def test_entry(spark):
     import __spark_entry__
 
